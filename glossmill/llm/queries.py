@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .langid import op6_cross_parsing
+from .linededup import op4_log_templates
 from .media import op3_lossless_webp
 from .mixing import op7_min_cost_flow
+from .neardup import op9_containment_ensemble
 from .packing import op1_best_fit
 from .quality import op2_cotraining
 from .sharding import op10_histogram_sort
@@ -13,7 +15,7 @@ from .toxicity import op8_weak_supervision
 
 
 def queries():
-    return {f.__name__: f for f in (op1_best_fit, op2_cotraining, op3_lossless_webp, op5_bit_sliced_index, op6_cross_parsing, op7_min_cost_flow, op8_weak_supervision, op10_histogram_sort)}
+    return {f.__name__: f for f in (op1_best_fit, op2_cotraining, op3_lossless_webp, op4_log_templates, op5_bit_sliced_index, op6_cross_parsing, op7_min_cost_flow, op8_weak_supervision, op9_containment_ensemble, op10_histogram_sort)}
 
 
 def oracle_sql() -> dict[str, str]:
