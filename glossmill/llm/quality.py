@@ -98,7 +98,7 @@ def _views(docs: DataFrame, text: str, lang: str, source: str):
     return F.coalesce(F.col(text), F.lit("")), place(lang), place(source)
 
 
-def learn(docs: DataFrame, labels: DataFrame, text="text", lang="lang", source="source", key="doc_id", label="quality", labelled=10_000, unlabelled=6_000, seeds=0.5, rounds=4, share=0.08) -> Model | None:
+def learn(docs: DataFrame, labels: DataFrame, text="text", lang="lang", source="source", key="doc_id", label="quality", labelled=6_000, unlabelled=4_000, seeds=0.5, rounds=4, share=0.08) -> Model | None:
     """Fits on a sample of at most about ``labelled`` labelled and ``unlabelled`` other documents.
 
     seeds: share of the labelled ones that both views start from; the rest calibrates.  In each of
@@ -108,9 +108,13 @@ def learn(docs: DataFrame, labels: DataFrame, text="text", lang="lang", source="
     x, lg, sc = _views(docs, text, lang, source)
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
     n, total = marks.count(), docs.count()
-    draw = F.pmod(F.xxhash64(F.lit("quality"), F.col(key).cast("string")), F.lit(1_000_000))
-    ids = docs.select(F.col(key).alias("_k"), draw.alias("_r"), x.alias("_t"), lg.alias("_l"), sc.alias("_s")).join(marks, "_k", "left")
-    some = ids.where(F.when(F.col("_y").isNull(), F.col("_r") < int(1e6 * min(1, unlabelled / max(1, total)))).otherwise(F.col("_r") < int(1e6 * min(1, labelled / max(1, n)))))
+    draw = lambda k: F.pmod(F.xxhash64(F.lit("quality"), F.col(k).cast("string")), F.lit(1_000_000))
+    known, other = int(1e6 * min(1, labelled / max(1, n))), int(1e6 * min(1, unlabelled / max(1, total)))
+    # the sample is drawn on both sides before they meet: the marks are as few as ``labelled`` says
+    some = docs.withColumn("_r", draw(key)).where(F.col("_r") < max(known, other)).select(F.col(key).alias("_k"), "_r", x.alias("_t"), lg.alias("_l"), sc.alias("_s"))
+    marks = marks.withColumn("_m", draw("_k"))
+    some = some.join(F.broadcast(marks.where(F.col("_m") < known)), "_k", "left")
+    some = some.where(F.col("_y").isNotNull() | (F.col("_r") < other))  # a labelled one beyond the sample counts as unlabelled
 
     def features(batches):
         for batch in batches:
