@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import as_text, crc_of_id, fresh, table
 from .features import WORD, chunks, fit_dense, fit_logistic, prefix_sums, sigmoid, span_hash, spans
 
-BITS = 22
 LENGTHS = (4, 5, 6, 8)
+REACH = 6.0  # what lies further out doesn't bear on calibration
 LEXICON = (
     "arsehole asshole bastard bitch bullshit clown coward creep crap cretin damn degenerate disgusting dumb dumbass fool freak fuck fucking "
     "garbage halfwit hate hideous idiot idiotic imbecile jackass jerk kill liar loser lowlife maggot moron moronic numbskull parasite pathetic "
@@ -39,13 +39,13 @@ def stems(part: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
         ok = e - s >= k
         who.append(at[ok])
         what.append(span_hash(sums, s[ok], s[ok] + k))
-    return np.concatenate(who), (np.concatenate(what) >> np.uint64(64 - BITS)).astype(np.int64), np.bincount(at, minlength=len(lo))
+    return np.concatenate(who), np.concatenate(what).view(np.int64), np.bincount(at, minlength=len(lo))
 
 
 def _lexicon() -> np.ndarray:
     raw, lo, hi = as_text(pa.array([" ".join(LEXICON)]))
     s, e = spans(WORD[raw], lo, hi)
-    return ((span_hash(prefix_sums(raw), s, e) ^ np.uint64(0x5BD1E995)) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (span_hash(prefix_sums(raw), s, e) ^ np.uint64(0x5BD1E995)).view(np.int64)
 
 
 def label_model(fires: np.ndarray, prior: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -73,25 +73,31 @@ def label_model(fires: np.ndarray, prior: np.ndarray, rounds: int = 25) -> tuple
 
 @dataclass
 class Model:
-    place: np.ndarray  # hash -> feature, or -1
+    chosen: np.ndarray  # the features' hashes, sorted
     weight: np.ndarray
     bias: float
     voter: np.ndarray  # which features are voters
     cal: tuple[np.ndarray, float]
 
+    def __post_init__(self):
+        self.maybe = np.zeros(1 << 16, bool)  # by low bits: most words are none of the features
+        self.maybe[self.chosen & 0xFFFF] = True
+
     def matrix(self, who: np.ndarray, what: np.ndarray, count: np.ndarray | None, n: int) -> np.ndarray:
-        f = self.place[what]
-        ok = f >= 0
-        size = int(self.place.max()) + 1
-        return np.bincount(who[ok] * size + f[ok], weights=None if count is None else count[ok], minlength=n * size).reshape(n, size)
+        size = len(self.chosen)
+        near = np.flatnonzero(self.maybe[what & 0xFFFF])
+        f = np.minimum(np.searchsorted(self.chosen, what[near]), size - 1)
+        ok = self.chosen[f] == what[near]
+        f, near = f[ok], near[ok]
+        return np.bincount(who[near] * size + f, weights=None if count is None else count[near], minlength=n * size).reshape(n, size).astype(np.float32)
 
     def rows(self, counts: np.ndarray, words: np.ndarray) -> np.ndarray:
         hits = counts[:, self.voter].sum(1)
-        return np.c_[np.log1p(counts), np.log1p(hits), np.minimum(10 * hits / np.maximum(words, 1), 3)]
+        return np.c_[np.log1p(counts), np.log1p(hits), hits > 0, hits > 1, np.minimum(10 * hits / np.maximum(words, 1), 3)]
 
     def score(self, raw, lo, hi) -> np.ndarray:
         out = np.zeros(len(lo))
-        size = int(self.place.max()) + 1
+        size = len(self.chosen)
         for part, rows, a, b in chunks(raw, lo, hi):
             full = b > a
             counts, words = np.zeros((len(rows), size)), np.zeros(len(rows))
@@ -109,15 +115,18 @@ class Model:
         return sigmoid(out * self.cal[0][0] + self.cal[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, text="text", key="doc_id", label="toxic", labelled=12_000, voters=96, features=1024) -> Model | None:
-    """Fits on about ``labelled`` of the labelled documents at most (all: if fewer).
+def learn(docs: DataFrame, labels: DataFrame, text="text", key="doc_id", label="toxic", positive=2_000, negative=4_000, voters=96, features=1024) -> Model | None:
+    """Fits on about ``positive`` and ``negative`` documents of each label at most (all, if fewer).
 
     None if the labels hold fewer than two classes or nothing sets them apart.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
     ids = docs.select(F.col(key).alias("_k"), F.xxhash64(F.lit("toxic"), F.col(key).cast("string")).alias("_r"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
-    n = marks.count()
-    some = ids.join(marks, "_k").where(F.pmod("_r", F.lit(1_000_000)) < int(1e6 * min(1, labelled / max(1, n))))
+    n = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
+    share = {1: min(1.0, positive / max(1, n.get(1, 0))), 0: min(1.0, negative / max(1, n.get(0, 0)))}
+    draw = lambda k: F.pmod(F.xxhash64(F.lit("toxic"), F.col(k).cast("string")), F.lit(1_000_000))
+    marks = marks.where(draw("_k") < F.when(F.col("_y") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0])))
+    some = ids.join(F.broadcast(marks), "_k")  # as few as the bounds say
 
     def collect(batches):
         for batch in batches:
@@ -131,41 +140,35 @@ def learn(docs: DataFrame, labels: DataFrame, text="text", key="doc_id", label="
                     got.append(h)
                     w += int(m.sum())
                 c, v = np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True)
-                cols.append(c.astype(np.int32)), vals.append(v.astype(np.int32)), words.append(w)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.int64()), pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.int32()))], ["r", "y", "words", "cols", "vals"])
+                cols.append(c), vals.append(v.astype(np.int32)), words.append(w)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.int64()), pa.array(cols, pa.list_(pa.int64())), pa.array(vals, pa.list_(pa.int32()))], ["r", "y", "words", "cols", "vals"])
 
-    got = some.select("_t", "_r", "_y").mapInArrow(collect, "r long, y int, words long, cols array<int>, vals array<int>").toArrow().combine_chunks()
+    got = some.select("_t", "_r", "_y").mapInArrow(collect, "r long, y int, words long, cols array<long>, vals array<int>").toArrow().combine_chunks()
     got = got.take(pa.array(np.lexsort((np.asarray(got["y"]), np.asarray(got["r"])))))
     y = np.asarray(got["y"]).astype(int)
     if not {0, 1} <= {*y.tolist()}:
         return None
     lens = np.asarray(pyarrow.compute.list_value_length(got["cols"].combine_chunks()))
     rows = np.repeat(np.arange(len(y)), lens)
-    return fit(rows, np.asarray(got["cols"].combine_chunks().flatten()).astype(np.int64), np.asarray(got["vals"].combine_chunks().flatten()).astype(float), np.asarray(got["words"]).astype(float), y, voters, features)
+    return fit(rows, np.asarray(got["cols"].combine_chunks().flatten()).astype(np.int64), np.asarray(got["vals"].combine_chunks().flatten()).astype(float), np.asarray(got["words"]).astype(float), y, voters, features, n)
 
 
-def fit(rows, cols, vals, words, y, voters=96, features=1024) -> Model | None:
+def fit(rows, cols, vals, words, y, voters=96, features=1024, whole=None) -> Model | None:
+    """whole: numbers of labels 0 and 1 that the sample stands for."""
     n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    c1, c0 = np.bincount(cols, weights=(y == 1)[rows], minlength=1 << BITS), np.bincount(cols, weights=(y == 0)[rows], minlength=1 << BITS)
+    kinds, of = np.unique(cols, return_inverse=True)
+    c1, c0 = np.bincount(of, weights=(y == 1)[rows]), np.bincount(of, weights=(y == 0)[rows])
     p, r1, r0 = (c1 + c0) / (n1 + n0), (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (c1 * np.log(np.maximum(c1, 1e-9) / (n1 * p)) + c0 * np.log(np.maximum(c0, 1e-9) / (n0 * p)))
-    g = np.nan_to_num(np.where(c1 + c0 > 0, g, 0.0))
+    g = 2 * (c1 * np.log(np.maximum(c1, 1e-9) / (n1 * p)) + c0 * np.log(np.maximum(c0, 1e-9) / (n0 * p)))
     lexicon = _lexicon()
-    good = (r1 > 2.5 * r0) & (c1 >= 3)
-    chosen = np.flatnonzero(good & (g > 8))
-    chosen = chosen[np.argsort(-g[chosen], kind="stable")][:features]
-    chosen = np.unique(np.r_[chosen, lexicon])
-    if not len(chosen):
-        return None
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    model = Model(place, np.zeros(0), 0.0, np.zeros(len(chosen), bool), (np.ones(1), 0.0))
+    good = np.flatnonzero((r1 > 2.5 * r0) & (c1 >= 3) & (g > 8))
+    chosen = np.unique(np.r_[kinds[good[np.argsort(-g[good], kind="stable")][:features]], lexicon])
+    model = Model(chosen, np.zeros(0), 0.0, np.zeros(len(chosen), bool), (np.ones(1), 0.0))
     counts = model.matrix(rows, cols, vals, len(y))
     has = counts > 0
     # voters: stems that each add toxic documents to those before, then the lexicon and densities
     left, picked = (y == 1).astype(float), []
-    gain = has.T.astype(float)
+    gain = has.T.astype(np.float32)
     cost = gain @ (y == 0)
     for _ in range(voters):
         best = gain @ left - 2 * cost
@@ -176,7 +179,8 @@ def fit(rows, cols, vals, words, y, voters=96, features=1024) -> Model | None:
         left = left * np.where(has[:, k], 0.5, 1)
         cost[k] = np.inf
     model.voter[picked] = True
-    model.voter |= np.isin(chosen, lexicon) & (c1[chosen] > c0[chosen])
+    model.voter |= np.isin(chosen, lexicon) & (gain @ (y == 1) > gain @ (y == 0))
+    del gain
     hits = counts[:, model.voter].sum(1)
     in_lexicon = counts[:, np.isin(chosen, lexicon)].sum(1)
     fires = np.c_[has[:, picked], in_lexicon > 0, in_lexicon > 1, hits > 1, hits > 2, hits / np.maximum(words, 1) > 0.01].astype(float)
@@ -184,9 +188,11 @@ def fit(rows, cols, vals, words, y, voters=96, features=1024) -> Model | None:
     q, _, _ = label_model(fires, np.where(y == 1, 0.95, 0.02))
     x = model.rows(counts, words)
     r, c = np.nonzero(x)
-    model.weight, model.bias = fit_logistic(r, c, x[r, c], q, x.shape[1], l2=2e-5, steps=250, rate=0.1)
-    z = x @ model.weight + model.bias
+    model.weight, model.bias = fit_logistic(r, c, x[r, c], q, x.shape[1], l2=1e-6, steps=1000, rate=0.2)
+    z = np.clip(x @ model.weight + model.bias, -REACH, REACH)
     slope, shift = fit_dense(z[:, None], 0.98 * y + 0.01, l2=1e-4)
+    if whole:  # the sample's share of label 1 isn't the whole's
+        shift += np.log(max(1, whole.get(1, 0)) / max(1, whole.get(0, 0)) * n0 / n1)
     model.cal = (slope, shift) if slope[0] > 0 else (np.ones(1), 0.0)
     return model
 
