@@ -63,6 +63,7 @@ def automaton(text: bytes, symbol: np.ndarray, width: int) -> np.ndarray:
     s = np.repeat(np.arange(len(nxt)), [len(x) for x in nxt])
     out[s, np.fromiter((c for x in nxt for c in x), np.int64, len(s))] = np.fromiter((v for x in nxt for v in x.values()), np.int64, len(s))
     root = np.where(out[0] >= 0, out[0], 0)
+    out[0] = -1  # at the root, where texts begin and after unknown symbols, each symbol begins a phrase
     return np.where(out >= 0, out * width * 2, root * width * 2 + 1).astype(np.int32).ravel()
 
 
@@ -91,8 +92,7 @@ def phrases(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: tuple[
     order = np.argsort(-lens, kind="stable")
     pos, lens = starts[order], lens[order]
     n = len(lens)
-    out = np.ones((len(texts), n), np.int32)
-    out[:, lens == 0] = 0
+    out = np.zeros((len(texts), n), np.int32)
     state = np.repeat(roots[:, None], n, 1)
     if n and lens[0]:
         active = np.searchsorted(-lens, -np.arange(int(lens[0])), "left")
@@ -160,9 +160,10 @@ def predict(docs: DataFrame, trained: dict[str, bytes], text: str = "text") -> D
         p = 1 / np.exp(np.maximum(-0.1 * (cost - cost.min(0)), -60)).sum(0)
         return pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(p)], ["k", "score"])
 
-    out = docs.withColumn(low, F.when(F.col(text).rlike(r"\p{L}"), walk(F.lower(F.coalesce(F.col(text), F.lit(""))))))
+    some = fresh(docs.columns, "_letters")
+    out = docs.withColumn(some, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))).withColumn(low, walk(F.lower(F.coalesce(F.col(text), F.lit("")))))
     name = F.element_at(F.array(*[F.lit(x) for x in langs]), F.col(low)["k"] + 1)
-    return out.select(*names, F.coalesce(name, F.lit("und")).alias(pred), F.coalesce(F.col(low)["score"], F.lit(0.0)).alias(score))
+    return out.select(*names, F.when(F.col(some), name).otherwise("und").alias(pred), F.when(F.col(some), F.col(low)["score"]).otherwise(0.0).alias(score))
 
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
