@@ -48,7 +48,7 @@ def _lexicon() -> np.ndarray:
     return (span_hash(prefix_sums(raw), s, e) ^ np.uint64(0x5BD1E995)).view(np.int64)
 
 
-def label_model(fires: np.ndarray, prior: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(fires: np.ndarray, prior: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of the hidden label, the voters' log odds when they fire, and their correlations.
 
     fires: 1, 0 or nan (abstains), one column a voter.  prior: first guess of the label.
@@ -67,7 +67,9 @@ def label_model(fires: np.ndarray, prior: np.ndarray, rounds: int = 25) -> tuple
         discount = 1 / (1 + np.maximum(corr, 0).sum(1))
         pi = np.clip(q.mean(), 1e-3, 0.9)
         z = np.log(pi / (1 - pi)) + (np.where(seen, v * np.log(a / b) + (1 - v) * np.log((1 - a) / (1 - b)), 0.0) * discount).sum(1)
-        q = sigmoid(z)
+        before, q = q, sigmoid(z)
+        if np.abs(q - before).max() < 1e-4:
+            break
     return q, np.log(a / b), corr
 
 
