@@ -59,10 +59,15 @@ def read_run_state(spark: SparkSession, path: str) -> DataFrame:
 
 def read_raw_log(spark: SparkSession, path: str, skip_lines: int = 0) -> DataFrame:
     """Log lines that hold one dictionary each, with single quotes; run is the file's stem."""
-    text = spark.read.option("wholetext", True).text(path).select(file_stem(F.col("_metadata.file_path")).alias("run"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
+    text = spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("run"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
     lines = text.where((F.col("at") >= skip_lines) & (F.trim("line") != "")).select("run", F.translate("line", "'", '"').alias("line"))
-    schema = spark.read.option("allowNonNumericNumbers", True).json(lines.select("line").rdd.map(lambda r: r[0])).schema
-    return lines.select("run", F.from_json("line", schema, {"allowNonNumericNumbers": "true"}).alias("x")).select("run", "x.*")
+    logged = lines.select("run", F.from_json("line", "map<string,string>").alias("m")).where("m is not null")
+    names = sorted(r[0] for r in logged.select(F.explode(F.map_keys("m"))).distinct().collect())
+    if not names:
+        return logged.select("run")
+    at = {n: F.regexp_replace(F.col("m").getItem(n), '^"|"$', "") for n in names}  # NaN comes quoted
+    kinds = logged.agg(*[F.when(F.bool_and(x.rlike(r"^-?\d+$") | x.isNull()), "long").when(F.bool_and(x.try_cast("double").isNotNull() | x.isNull()), "double").otherwise("string").alias(f"k{i}") for i, x in enumerate(at.values())]).first()
+    return logged.select("run", *[x.cast(k).alias(n) for (n, x), k in zip(at.items(), kinds, strict=True)])
 
 
 def load_runs(spark: SparkSession, state_file: str | None = None, state_pattern: str | None = None, log_file: str | None = None, log_pattern: str | None = None, skip_lines: int = 0) -> DataFrame:
