@@ -89,13 +89,13 @@ def diff(cached: dict, current: dict, path: str = "") -> list[str]:
     for k in sorted({*cached, *current}, key=str):
         at = f"{path}.{k}" if path else str(k)
         if k not in current:
-            out.append(f"{at}: present in cached config but not in current")
+            out.append(f"{at}: only in the stored configuration")
         elif k not in cached:
-            out.append(f"{at}: present in current config but not in cached")
+            out.append(f"{at}: only in the wished configuration")
         elif isinstance(cached[k], dict) and isinstance(current[k], dict):
             out += diff(cached[k], current[k], at)
         elif cached[k] != current[k]:
-            out.append(f"{at}: {cached[k]} (cached) != {current[k]} (current)")
+            out.append(f"{at}: {cached[k]} (stored) is now {current[k]}")
     return out
 
 

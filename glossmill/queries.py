@@ -51,9 +51,8 @@ def concat_sources(spark, sf):
 
 def dir_sources(spark, sf):
     import os
-    import tempfile
 
-    folder = tempfile.mkdtemp()
+    folder = files.scratch(spark)
     for i, lines in enumerate((["b one", "", " two "], ["three"])):
         with open(os.path.join(folder, f"{i}.txt"), "w", encoding="utf-8") as f:
             f.write("\n".join(lines))
@@ -119,10 +118,7 @@ def vocab_subset(spark, sf):
 
 
 def subset_jsonl(spark, sf):
-    import os
-    import tempfile
-
-    path = os.path.join(tempfile.mkdtemp(), "subset.jsonl")
+    path = f"{files.scratch(spark)}/subset.jsonl"
     files.write_jsonl(vocab_subset(spark, sf), path)
     return files.read_jsonl(spark, path)
 

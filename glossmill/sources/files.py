@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,18 @@ from ..functions.text import file_stem, grandparent
 from ..operators.runlog import union
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or local in a local session."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = os.path.join(root.removeprefix("file://"), f"scratch-{uuid.uuid4().hex}")
+        os.makedirs(path)
+        return path
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp()
+
+
 def _one_file(df: DataFrame, path: str, kind: str) -> None:
     """Writes a DataFrame as one file of that name: for hand-over formats, whose order counts."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)

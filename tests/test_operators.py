@@ -153,3 +153,9 @@ def test_sparsemax_and_initial_embeddings(spark):
     aux = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "token string, aux array<double>")
     out = {r.token: r.embedding for r in embed.initialise(old, new, aux).collect()}
     assert out == {"a": [1.0, 0.0], "b": [0.0, 2.0], "c": [1.0, 0.0], "d": [0.5, 1.0]}
+
+
+def test_auxiliary_vectors(spark):
+    df = spark.createDataFrame([(["a", "b", "c", "rare"] if i == 0 else ["a", "b", "c"],) for i in range(10)], "tokens array<string>")
+    got = {r.token: r.aux for r in embed.auxiliary(df, dim=8).collect()}
+    assert set(got) == {"a", "b", "c"} and all(len(v) == 8 for v in got.values())

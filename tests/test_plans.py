@@ -40,7 +40,7 @@ def test_names():
 
 def test_differences(tmp_path):
     a, b = {"x": {"y": 1, "z": [1]}, "old": 1}, {"x": {"y": 2, "z": [1]}, "new": 1}
-    assert config.diff(a, b) == ["new: present in current config but not in cached", "old: present in cached config but not in current", "x.y: 1 (cached) != 2 (current)"]
+    assert config.diff(a, b) == ["new: only in the wished configuration", "old: only in the stored configuration", "x.y: 1 (stored) is now 2"]
     assert config.matches(None, b, "it") and config.matches(b, b, "it")
     with pytest.warns(UserWarning, match="x.y"):
         assert not config.matches(a, b, "it")
@@ -120,3 +120,14 @@ def test_streamed_divergence(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("diverged").collect()] == [("a", 1)]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from glossmill.__main__ import main
+
+    (tmp_path / "r").write_text("{'loss': 1.5, 'step': 3}\n{'loss': 1.0, 'step': 4}\n")
+    main(["--log-file", str(tmp_path / "r"), "--list"])
+    main(["--log-file", str(tmp_path / "r"), "lo*"])
+    assert capsys.readouterr().out.split() == ["metric,n", "loss,2", "step,run,metric_name,metric_value", "3,r,loss,1.5", "4,r,loss,1.0"]
+    with pytest.raises(SystemExit):
+        main(["loss"])
