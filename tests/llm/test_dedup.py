@@ -93,7 +93,7 @@ def test_large_buckets_are_led(spark, monkeypatch):
 
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (90, 101)], "a long, b long")
-    got = {r.id: r.group for r in neardup.components(spark, chain).collect()}
+    got = {r.id: r.group for r in neardup.components(chain).collect()}
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in (90, 100, 101)} == {90}
 
 
