@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +27,7 @@ _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 31, HASHES) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _C = np.uint64(0x9E3779B97F4A7C15)
+SMALL = 500_000  # ids that are broadcast
 FULL = 200  # in larger buckets members meet leaders instead of each other
 
 
@@ -139,19 +141,27 @@ def _ident(text: str, key: str):
     return F.coalesce(F.col(key).cast("long"), -F.abs(F.xxhash64(text)) - 1)
 
 
-def components(spark: SparkSession, edges: DataFrame, most: int = 50) -> DataFrame:
-    """id, group: the least id of each connected component of the edges (a, b)."""
-    label = write_shared(edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("group", F.col("id")), "labels")
-    both = edges.select("a", "b").union(edges.select("b", "a"))
+def components(edges: DataFrame, most: int = 100) -> DataFrame:
+    """id, group: the least id of each connected component of the edges (a, b).
+
+    In each round a vertex joins its least neighbour and the edges are contracted, so that they shrink
+    to nothing.
+    """
+    label = None
+    edges = write_shared(edges.select("a", "b").where("a <> b"), "edges")
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("group"))
     for _ in range(most):
-        near = both.join(label.select(F.col("id").alias("b"), F.col("group").alias("g")), "b").groupBy(F.col("a").alias("id")).agg(F.min("g").alias("g"))
-        low = label.join(near, "id", "left").select("id", F.least("group", "g").alias("new"), F.col("group").alias("old"))
-        jump = low.select(F.col("id").alias("new"), F.col("new").alias("further"))
-        # the group's own label may have fallen, too
-        step = low.join(jump, "new", "left").select("id", F.least("new", "further").alias("group"), "old")
-        step = write_shared(step, "labels")
-        label = step.select("id", "group")
-        if not step.where("group <> old").limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to"))
+        low = write_shared(low, "labels")
+        if label is None:
+            label = low.select(F.col("v").alias("id"), F.col("to").alias("group"))
+        else:
+            label = write_shared(label.join(low, label["group"] == low["v"], "left").select("id", F.coalesce("to", "group").alias("group")), "labels")
+        left = edges.join(low.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(low.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        edges = write_shared(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
             return label
     raise ValueError("the components didn't settle")
 
@@ -167,31 +177,39 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     are; neither has links.  Rows of a null id are known by a negative hash of their text.  Rows that
     share an id must share their text.
     """
-    spark = docs.sparkSession
     ident = _ident(text, key)
-    rows = docs.select(ident.alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(text), F.lit(1)).alias("h2"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    hashes = docs.select(ident.alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(text), F.lit(1)).alias("h2"))
+    classes = write_shared(hashes.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
 
     def sign(batches):
+        seen: set[int] = set()  # a text is signed once a task: copies don't reach the exchange
         for batch in batches:
-            raw, lo, hi = as_text(batch.column(3))
+            h1 = np.asarray(batch.column(0))
+            raw, lo, hi = as_text(batch.column(1))
             for i, j in runs(lo, hi, 1 << 20):
-                elements, counts = shingles(raw, lo[i:j], hi[i:j])
+                _, first = np.unique(h1[i:j], return_index=True)
+                new = i + np.sort(first)
+                new = new[[x not in seen for x in h1[new].tolist()]]
+                if len(seen) < 500_000:
+                    seen.update(h1[new].tolist())
+                texts = batch.column(1).take(pa.array(new))
+                elements, counts = shingles(*as_text(texts))
                 full = np.flatnonzero(counts)
                 keys, n = buckets(signature(elements, counts, HASHES), counts[full], contain, ratio, recall)
-                each = np.zeros(j - i, np.int64)
-                each[full] = n
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)].astype(np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(3)), pa.array(counts), lists], ["id", "h1", "h2", "n", "keys"])
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(h1[new[full]]), pa.array(counts[full]), lists], ["h1", "n", "keys"])
 
-    signed = rows.mapInArrow(sign, "id long, h1 long, h2 long, n long, keys array<long>")
-    classes = write_shared(signed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes")
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.lower(text).alias("t"))
+    keyed = rows.mapInArrow(sign, "h1 long, n long, keys array<long>").select(F.explode("keys").alias("bucket"), "h1", F.col("n").cast("int").alias("n"))
     w = Window.partitionBy("bucket")
-    keyed = classes.select(F.explode(F.array_distinct("keys")).alias("bucket"), "id", "n")
-    members = write_shared(keyed.withColumn("many", F.count(F.lit(1)).over(w)).where("many > 1"), "members")
+    several = keyed.withColumns({"_a": F.min("h1").over(w), "_b": F.max("h1").over(w)}).where("_a <> _b").drop("_a", "_b").dropDuplicates(["bucket", "h1"])
+    members = several.withColumn("many", F.count(F.lit(1)).over(w))
+    members = write_shared(members, "members")
+    members = write_shared(members.join(classes.select("h1", "id"), "h1").select("bucket", "id", "n", "many"), "members")
     pairs = _candidates(members, ratio)
     links = verify(docs, text, key, pairs, contain)
     links = _lead(docs, text, key, members.where(F.col("many") > FULL), links, contain, ratio)
-    group = components(spark, links)
+    group = components(links)
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     found = group.join(ends, "id")
     whole = classes.select("h1", "h2", "id", "copies").join(found, "id", "left").select("h1", "h2", F.col("id").alias("text_id"), F.coalesce("group", "id").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -202,11 +220,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     return out.select(key, "text_id", "class_id", "copies", "n_links"), links
 
 
-def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float) -> DataFrame:
-    """The pairs whose exact containment is at least ``contain``."""
+def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float, block: int = 1000) -> DataFrame:
+    """The pairs whose exact containment is at least ``contain``.
+
+    Pairs meet in the families that they form.  Families share tasks of about ``block`` sets; a larger
+    family is cut into blocks, and every two of its blocks meet.  So a set travels once, or once for each
+    block of its family, and not once for each pair.
+    """
     pairs = write_shared(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    ident = _ident(text, key)
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(1.0).alias("containment"))
+    family = components(pairs)
+    sizes = family.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
+    tasks = max(1, -(-family.count() // block))
+    blocks = F.ceil(F.col("many") / block).cast("int")
+    placed = family.join(sizes, "group").select("id", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    placed = write_shared(placed, "families")
+    # a family of one block goes to a common task; tasks of larger families are known by negative numbers
+    task = lambda i, j: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("group", i, j), F.lit(1 << 62)))
+    where = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    where = where.select("id", task(F.least("own", "other"), F.greatest("own", "other")).alias("task")).distinct()
+    end = lambda x: placed.select(F.col("id").alias(x), "group", "blocks", F.col("own").alias(f"_{x}"))
+    asked = pairs.join(end("a"), "a").join(end("b").drop("group", "blocks"), "b").select("a", "b", task(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("task"))
 
     def sets(batches):
         for batch in batches:
@@ -215,27 +250,51 @@ def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: floa
                 elements, counts = shingles(raw, lo[i:j], hi[i:j])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(elements))], ["id", "set"])
 
-    held = docs.select(ident.alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t")).join(wanted, "id", "left_semi").dropDuplicates(["id"])
-    held = write_shared(held.mapInArrow(sets, "id long, set array<long>"), "sets")
-    one = pairs.join(held.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    two = one.join(held.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
-    c = F.size(F.array_intersect("sa", "sb")) / F.least(F.size("sa"), F.size("sb"))
-    return write_shared(two.select("a", "b", c.alias("containment")).where(F.col("containment") >= contain), "links")
+    rows = docs.select(_ident(text, key).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    ids = placed.select("id")
+    few = ids.count() <= SMALL
+    held = rows.join(F.broadcast(ids) if few else ids, "id").mapInArrow(sets, "id long, set array<long>")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        ids, col = np.asarray(left["id"]), left["set"].combine_chunks()
+        flat, off = np.asarray(col.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(col)))]
+        at = {k: i for i, k in enumerate(ids.tolist())}
+        a, b = np.asarray(right["a"]), np.asarray(right["b"])
+        c = np.zeros(len(a))
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            i, j = at[x], at[y]
+            u, v = flat[off[i] : off[i + 1]], flat[off[j] : off[j + 1]]
+            if len(u) > len(v):
+                u, v = v, u
+            c[k] = (v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum() / len(u)
+        ok = c >= contain
+        return pa.table({"a": a[ok], "b": b[ok], "containment": c[ok]})
+
+    sent = held.join(where, "id").select("task", "id", "set")
+    return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(compare, "a long, b long, containment double"), "links")
 
 
 def _lead(docs, text, key, members: DataFrame, links: DataFrame, contain: float, ratio: float, rounds: int = 8) -> DataFrame:
-    """Links in the large buckets: members are compared with their bucket's least id, those it isn't linked to
-    with the next one, and what is left after some rounds with each other."""
+    """Links in the large buckets.
+
+    A bucket's members are compared with one of them, another one in each bucket; those that aren't in
+    its group then, by whatever links, with a next one, and what is left after some rounds with each
+    other.  So the groups are whole, while a family of n texts gives about n links a band, not n * n.
+    """
     left = write_shared(members, "large")
     near = F.least("na", "nb") >= ratio * F.greatest("na", "nb")
     for _ in range(rounds):
-        if not left.limit(1).count():
+        if left.isEmpty():
             return links
-        lead = left.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("m")).select("bucket", F.col("m.id").alias("a"), F.col("m.n").alias("na"))
-        star = left.join(lead, "bucket").where("id <> a").select("bucket", "a", "na", F.col("id").alias("b"), F.col("n").alias("nb"))
-        new = verify(docs, text, key, star.where(near).select("a", "b").distinct().join(links, ["a", "b"], "left_anti"), contain)
+        lead = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "n")).alias("m")).select("bucket", F.col("m.id").alias("x"), F.col("m.n").alias("na"))
+        star = write_shared(left.withColumnRenamed("n", "nb").join(lead, "bucket").where("id <> x").select("bucket", "x", "na", "id", "nb"), "stars")
+        pairs = star.where(near).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+        new = verify(docs, text, key, pairs.join(links, ["a", "b"], "left_anti"), contain)
         links = write_shared(links.unionByName(new), "links")
-        rest = star.join(links, ["a", "b"], "left_anti").select("bucket", F.col("b").alias("id"), F.col("nb").alias("n"))
+        group = components(links)
+        own = star.join(group.select("id", F.col("group").alias("g")), "id", "left").join(group.select(F.col("id").alias("x"), F.col("group").alias("gx")), "x", "left")
+        rest = own.where(~F.coalesce(F.col("g") == F.col("gx"), F.lit(False))).select("bucket", "id", F.col("nb").alias("n"))
         left = write_shared(rest.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("many > 1"), "large")
     a, b = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("na")), left.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"))
     pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
