@@ -29,11 +29,12 @@ def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
     """h1, h2 (of the whole text), size, pos, leaf, line (masked) of every line."""
     white = "\t\r\x0b\x0c "
     whole = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.xxhash64(F.col(text), F.lit(1)).alias("h2"), F.octet_length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    line = F.translate("line", white, " " * len(white))
-    whole = whole.withColumn("line", F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"[^ 0-9]*[0-9][^ ]*", "<*>")).otherwise(line))
-    tokens = F.split("line", " ")
-    whole = whole.withColumn("_t", tokens).withColumn("n", F.size("_t"))
-    return whole.withColumn("leaf", F.xxhash64("n", *[F.get("_t", F.lit(k)) for k in range(depth)])).drop("_t")
+    # the costly functions only for lines that need them
+    odd = F.col("line").rlike(r"[\t\r\x0b\x0c0-9]")
+    masked = F.regexp_replace(F.translate("line", white, " " * len(white)), r"[^ 0-9]*[0-9][^ ]*", "<*>")
+    whole = whole.withColumn("line", F.when(odd, masked).otherwise(F.col("line")))
+    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
+    return whole.withColumn("n", spaces + 1).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
 
 
 def recurring(docs: DataFrame, text: str = "text", min_docs: int = 10, depth: int = 3, min_tokens: int = 3, constant: float = 0.7, share: float = 0.5) -> DataFrame:
