@@ -163,7 +163,7 @@ def fit(rows, cols, vals, words, y, voters=96, features=1024, whole=None) -> Mod
     p, r1, r0 = (c1 + c0) / (n1 + n0), (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
     g = 2 * (c1 * np.log(np.maximum(c1, 1e-9) / (n1 * p)) + c0 * np.log(np.maximum(c0, 1e-9) / (n0 * p)))
     lexicon = _lexicon()
-    good = np.flatnonzero((r1 > 2.5 * r0) & (c1 >= 3) & (g > 8))
+    good = np.flatnonzero((r1 > 2.5 * r0) & (c1 >= 2) & (g > 5))
     chosen = np.unique(np.r_[kinds[good[np.argsort(-g[good], kind="stable")][:features]], lexicon])
     model = Model(chosen, np.zeros(0), 0.0, np.zeros(len(chosen), bool), (np.ones(1), 0.0))
     counts = model.matrix(rows, cols, vals, len(y))
