@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
