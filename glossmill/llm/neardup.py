@@ -113,8 +113,12 @@ def buckets(sig: np.ndarray, sizes: np.ndarray, contain: float, ratio: float, re
     for p in np.unique(parts).tolist():
         mine = np.flatnonzero(parts == p)
         for target in (p, p + 1):
-            plans = {banding(target, q, contain, ratio, recall) for q in ((target, target - 1) if target == p else (p,)) if q >= 0}
-            for bands, rows in plans:
+            plans: dict[int, int] = {}  # by rows a band: the plan of fewer bands is part of the other
+            for q in (target, target - 1) if target == p else (p,):
+                if q >= 0:
+                    bands, rows = banding(target, q, contain, ratio, recall)
+                    plans[rows] = max(bands, plans.get(rows, 0))
+            for rows, bands in plans.items():
                 for b in range(bands):
                     h = np.full(len(mine), ((target * 64 + rows) * 4096 + b) & 0xFFFFFFFF, np.uint64)
                     for r in range(rows):
