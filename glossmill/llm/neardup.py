@@ -28,7 +28,7 @@ _A = (_rng.integers(0, 1 << 31, HASHES) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _C = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 500_000  # ids that are broadcast
-FULL = 200  # in larger buckets members meet leaders instead of each other
+FULL = 200  # members of larger buckets meet in blocks of families, not in emitted pairs
 
 
 def shingles(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     (rows of this text) and n_links (different texts it is linked to).  links: a, b (text ids),
     containment.  Two texts are linked if their shingle sets differ in size by ``ratio`` at most and
     the smaller one's containment in the larger one is at least ``contain``; the search finds each such
-    pair with a probability of at least ``recall``.  Null texts are one class of their own, as empty ones
+    pair with a probability of at least ``recall``, in large families as in small ones.  Null texts are one class of their own, as empty ones
     are; neither has links.  Rows of a null id are known by a negative hash of their text.  Rows that
     share an id must share their text.
     """
@@ -210,9 +210,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     members = several.withColumn("many", F.count(F.lit(1)).over(w))
     members = write_shared(members, "members")
     members = write_shared(members.join(classes.select("h1", "id"), "h1").select("bucket", "id", "n", "many"), "members")
-    pairs = _candidates(members, ratio)
-    links = verify(docs, text, key, pairs, contain)
-    links = _lead(docs, text, key, members.where(F.col("many") > FULL), links, contain, ratio)
+    family = _families(members.where(F.col("many") > FULL))
+    end = lambda x: family.select(F.col("id").alias(x), F.col("group").alias(f"_{x}"))
+    apart = ~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    pairs = _candidates(members, ratio).join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
+    links = verify(docs, text, key, pairs, contain).unionByName(_within(docs, text, key, family, contain, ratio))
+    links = write_shared(links, "links")
     group = components(links)
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     found = group.join(ends, "id")
@@ -224,28 +227,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     return out.select(key, "text_id", "class_id", "copies", "n_links"), links
 
 
-def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float, block: int = 1000) -> DataFrame:
-    """The pairs whose exact containment is at least ``contain``.
+def _families(members: DataFrame) -> DataFrame:
+    """id, group: the components of the ids that share a bucket."""
+    lead = members.groupBy("bucket").agg(F.min("id").alias("b"))
+    return components(members.select("bucket", F.col("id").alias("a")).join(lead, "bucket").select("a", "b").distinct())
 
-    Pairs meet in the families that they form.  Families share tasks of about ``block`` sets; a larger
-    family is cut into blocks, and every two of its blocks meet.  So a set travels once, or once for each
-    block of its family, and not once for each pair.
-    """
-    pairs = write_shared(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs.select("a", "b", F.lit(1.0).alias("containment"))
-    family = components(pairs)
+
+def _place(family: DataFrame, block: int):
+    """(id, group, blocks of the group, own block; the task in which two blocks of a group meet)."""
     sizes = family.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
     tasks = max(1, -(-family.count() // block))
     blocks = F.ceil(F.col("many") / block).cast("int")
     placed = family.join(sizes, "group").select("id", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
-    placed = write_shared(placed, "families")
     # a family of one block goes to a common task; tasks of larger families are known by negative numbers
     task = lambda i, j: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("group", i, j), F.lit(1 << 62)))
-    where = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    where = where.select("id", task(F.least("own", "other"), F.greatest("own", "other")).alias("task")).distinct()
-    end = lambda x: placed.select(F.col("id").alias(x), "group", "blocks", F.col("own").alias(f"_{x}"))
-    asked = pairs.join(end("a"), "a").join(end("b").drop("group", "blocks"), "b").select("a", "b", task(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("task"))
+    return write_shared(placed, "families"), task
+
+
+def _sets(docs: DataFrame, text: str, key: str, placed: DataFrame) -> DataFrame:
+    """id, set: the shingle sets of the placed ids' texts."""
 
     def sets(batches):
         for batch in batches:
@@ -257,7 +257,26 @@ def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: floa
     rows = docs.select(_ident(text, key).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     ids = placed.select("id")
     few = ids.count() <= SMALL
-    held = rows.join(F.broadcast(ids) if few else ids, "id").mapInArrow(sets, "id long, set array<long>")
+    return rows.join(F.broadcast(ids) if few else ids, "id").mapInArrow(sets, "id long, set array<long>")
+
+
+def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float, block: int = 1000) -> DataFrame:
+    """The pairs whose exact containment is at least ``contain``.
+
+    Pairs meet in the families that they form.  Families share tasks of about ``block`` sets; a larger
+    family is cut into blocks, and every two of its blocks meet.  So a set travels once, or once for each
+    block of its family, and not once for each pair.
+    """
+    pairs = write_shared(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs.select("a", "b", F.lit(1.0).alias("containment"))
+    placed, task = _place(components(pairs), block)
+    where = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    where = where.select("id", task(F.least("own", "other"), F.greatest("own", "other")).alias("task")).distinct()
+    end = lambda x: placed.select(F.col("id").alias(x), "group", "blocks", F.col("own").alias(f"_{x}"))
+    asked = pairs.join(end("a"), "a").join(end("b").drop("group", "blocks"), "b").select("a", "b", task(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("task"))
+
+    held = _sets(docs, text, key, placed)
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         left = left.combine_chunks()
@@ -279,30 +298,67 @@ def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: floa
     return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(compare, "a long, b long, containment double"), "links")
 
 
-def _lead(docs, text, key, members: DataFrame, links: DataFrame, contain: float, ratio: float, rounds: int = 8) -> DataFrame:
-    """Links in the large buckets.
-
-    A bucket's members are compared with one of them, another one in each bucket; those that aren't in
-    its group then, by whatever links, with a next one, and what is left after some rounds with each
-    other.  So the groups are whole, while a family of n texts gives about n links a band, not n * n.
-    """
-    left = write_shared(members, "large")
-    near = F.least("na", "nb") >= ratio * F.greatest("na", "nb")
-    for _ in range(rounds):
-        if left.isEmpty():
-            return links
-        lead = left.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", "bucket").alias("h"), "id", "n")).alias("m")).select("bucket", F.col("m.id").alias("x"), F.col("m.n").alias("na"))
-        star = write_shared(left.withColumnRenamed("n", "nb").join(lead, "bucket").where("id <> x").select("bucket", "x", "na", "id", "nb"), "stars")
-        pairs = star.where(near).select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
-        new = verify(docs, text, key, pairs.join(links, ["a", "b"], "left_anti"), contain)
-        links = write_shared(links.unionByName(new), "links")
-        group = components(links)
-        own = star.join(group.select("id", F.col("group").alias("g")), "id", "left").join(group.select(F.col("id").alias("x"), F.col("group").alias("gx")), "x", "left")
-        rest = own.where(~F.coalesce(F.col("g") == F.col("gx"), F.lit(False))).select("bucket", "id", F.col("nb").alias("n"))
-        left = write_shared(rest.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("many > 1"), "large")
-    a, b = left.select("bucket", F.col("id").alias("a"), F.col("n").alias("na")), left.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"))
-    pairs = a.join(b, "bucket").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct().join(links, ["a", "b"], "left_anti")
-    return write_shared(links.unionByName(verify(docs, text, key, pairs, contain)), "links")
+def overlaps(elements: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets ``left`` and ``right`` share, a set and itself aside (sets are numbers in ``own``)."""
+    place = [np.full(int(max(own.max(initial=0), left.max(initial=0), right.max(initial=0))) + 1, -1) for _ in range(2)]
+    for at, sets in zip(place, (left, right), strict=True):
+        at[sets] = np.arange(len(sets))
+    use = (place[0][own] >= 0) | (place[1][own] >= 0)
+    _, column, often = np.unique(elements[use], return_inverse=True, return_counts=True)
+    own, shared = own[use], often > 1
+    use = shared[column]
+    column, own = (np.cumsum(shared) - 1)[column[use]], own[use]
+    o = np.argsort(column, kind="stable")
+    column, own = column[o], own[o]
+    out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2**24
+    for c in range(0, int(shared.sum()), width):
+        i, j = np.searchsorted(column, [c, c + width])
+        half = []
+        for at, sets in zip(place, (left, right), strict=True):
+            x = np.zeros((len(sets), width), np.float32)
+            k = at[own[i:j]]
+            x[k[k >= 0], column[i:j][k >= 0] - c] = 1
+            half.append(x)
+        out += half[0] @ half[1].T
+    return out.astype(np.int64)
+
+
+def _within(docs: DataFrame, text: str, key: str, family: DataFrame, contain: float, ratio: float, block: int = 500) -> DataFrame:
+    """Links of any two members of a family: every pair is compared, in each two blocks of the family."""
+    if family.isEmpty():
+        return family.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("containment"))
+    placed, task = _place(family, block)
+    where = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    where = where.select("id", "group", "own", task(F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+
+    def compare(sets: pa.Table) -> pa.Table:
+        sets = sets.combine_chunks()
+        ids, first = np.unique(np.asarray(sets["id"]), return_index=True)
+        sets = sets.take(pa.array(first)).combine_chunks()
+        col = sets["set"].combine_chunks()
+        counts = np.asarray(pc.list_value_length(col)).astype(np.int64)
+        elements, own = np.asarray(col.flatten()), np.repeat(np.arange(len(ids)), counts)
+        groups, blocks = np.asarray(sets["group"]), np.asarray(sets["own"])
+        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for g in np.unique(groups).tolist():
+            mine = np.flatnonzero(groups == g)
+            halves = [mine[blocks[mine] == x] for x in np.unique(blocks[mine])]
+            left, right = halves[0], halves[-1]
+            less = np.minimum(counts[left][:, None], counts[right][None, :])
+            more = np.maximum(counts[left][:, None], counts[right][None, :])
+            share = overlaps(elements, own, left, right) / less
+            ok = (share >= contain) & (less >= ratio * more)
+            if len(halves) == 1:
+                ok = np.triu(ok, 1)
+            i, j = np.nonzero(ok)
+            x, y = ids[left[i]], ids[right[j]]
+            a.append(np.minimum(x, y))
+            b.append(np.maximum(x, y))
+            c.append(share[i, j])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "containment": np.concatenate(c)})
+
+    sent = _sets(docs, text, key, placed).join(where, "id").select("task", "id", "group", "own", "set")
+    return sent.groupBy("task").applyInArrow(compare, "a long, b long, containment double")
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:

@@ -91,6 +91,33 @@ def test_large_buckets_are_led(spark, monkeypatch):
     assert {r.class_id for r in found.collect()} == {0, 100}
 
 
+def test_chains_in_large_buckets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FULL", 5)
+    r, texts, base = random.Random(4), [], prose(50, 200).split()
+    replaced = lambda words, n: [f"q{r.randint(0, 10**9)}" if i in hit else w for hit in [set(r.sample(range(len(words)), n))] for i, w in enumerate(words)]
+    for _ in range(6):  # a chain of six texts, each with many copies
+        texts += [" ".join(replaced(base, 1 + j % 3)) for j in range(40)]
+        base = replaced(base, 8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, links = neardup.near_duplicates(docs, recall=0.999)
+    got = {(r.a, r.b) for r in links.collect()}
+    s = sets([t.lower() for t in texts])
+    want = {(a, b) for a, b in combinations(range(len(s)), 2) if len(s[a] & s[b]) >= 0.7 * min(len(s[a]), len(s[b]))}
+    assert got <= want and len(want - got) <= 0.01 * len(want)
+    assert links.count() == len(got)
+    for r in found.collect():
+        assert r.class_id == 0 and r.n_links == sum(r.doc_id in x for x in got)
+
+
+def test_overlaps_against_brute_force():
+    r = np.random.default_rng(1)
+    own = [set(r.integers(0, 300, k).tolist()) for k in (50, 1, 120, 7, 90, 30)]
+    elements, which = np.concatenate([sorted(s) for s in own]), np.repeat(np.arange(6), [len(s) for s in own])
+    for left, right in (([0, 2, 4], [1, 3, 5]), ([5, 1, 2], [5, 1, 2])):
+        got = neardup.overlaps(elements, which, np.array(left), np.array(right), width=16)
+        assert all(got[i, j] == len(own[a] & own[b]) for i, a in enumerate(left) for j, b in enumerate(right) if a != b)
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (90, 101)], "a long, b long")
     got = {r.id: r.group for r in neardup.components(chain).collect()}
