@@ -3,7 +3,9 @@
 Equal texts are one class from the start.  The classes' shingle sets are partitioned by size; in a
 partition, the wished containment and the sizes that may meet there give a Jaccard threshold, for which
 the banding of MinHash signatures is tuned.  A set is indexed in its own partition and asks the next
-one; candidates' containment is then computed exactly from the shingle sets.  Linked classes form groups.
+one.  Larger sets of any size are asked for a few elements drawn from the set, and answer with all of
+theirs.  Candidates' containment is then computed exactly from the shingle sets.  Linked classes of
+similar sizes form groups; a text within a much larger one is linked to it, but stays on its own.
 """
 
 from __future__ import annotations
@@ -173,10 +175,11 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", contain: float = 0.7, ratio: float = 0.7, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
     """(documents, links).
 
-    documents: the key, text_id (least id with an equal text), class_id (least id of the group), copies
+    documents: the key, text_id (least id with an equal text), class_id (least id of the group; groups are formed by links of sets whose sizes differ by ``ratio`` at most), copies
     (rows of this text) and n_links (different texts it is linked to).  links: a, b (text ids),
-    containment.  Two texts are linked if their shingle sets differ in size by ``ratio`` at most and
-    the smaller one's containment in the larger one is at least ``contain``; the search finds each such
+    containment.  Two texts are linked if the containment of the smaller shingle set in the larger one
+    is at least ``contain``, whatever their sizes (``ratio`` is where the search by bands gives way to the
+    search by elements); the search finds each such
     pair with a probability of at least ``recall``, in large families as in small ones.  Null texts are one class of their own, as empty ones
     are; neither has links.  Rows of a null id are known by a negative hash of their text.  Rows that
     share an id must share their text.
@@ -216,9 +219,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     pairs = _candidates(members, ratio).join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
     links = verify(docs, text, key, pairs, contain).unionByName(_within(docs, text, key, family, contain, ratio))
     links = write_shared(links, "links")
+    within = _verify_far(docs, text, key, _far(rows, classes, contain, ratio, recall), contain)
     group = components(links)
+    links = links.unionByName(within)
     ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    found = group.join(ends, "id")
+    found = ends.join(group, "id", "left")
     whole = classes.select("h1", "h2", "id", "copies").join(found, "id", "left").select("h1", "h2", F.col("id").alias("text_id"), F.coalesce("group", "id").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     # salted: one text may be that of many rows
     salts = 16
@@ -260,6 +265,26 @@ def _sets(docs: DataFrame, text: str, key: str, placed: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if few else ids, "id").mapInArrow(sets, "id long, set array<long>")
 
 
+def _compare(contain: float):
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        ids, col = np.asarray(left["id"]), left["set"].combine_chunks()
+        flat, off = np.asarray(col.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(col)))]
+        at = {k: i for i, k in enumerate(ids.tolist())}
+        a, b = np.asarray(right["a"]), np.asarray(right["b"])
+        c = np.zeros(len(a))
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+            i, j = at[x], at[y]
+            u, v = flat[off[i] : off[i + 1]], flat[off[j] : off[j + 1]]
+            if len(u) > len(v):
+                u, v = v, u
+            c[k] = (v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum() / len(u)
+        ok = c >= contain
+        return pa.table({"a": a[ok], "b": b[ok], "containment": c[ok]})
+
+    return compare
+
+
 def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float, block: int = 1000) -> DataFrame:
     """The pairs whose exact containment is at least ``contain``.
 
@@ -277,25 +302,104 @@ def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: floa
     asked = pairs.join(end("a"), "a").join(end("b").drop("group", "blocks"), "b").select("a", "b", task(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("task"))
 
     held = _sets(docs, text, key, placed)
+    sent = held.join(where, "id").select("task", "id", "set")
+    return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain), "a long, b long, containment double"), "links")
 
-    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        ids, col = np.asarray(left["id"]), left["set"].combine_chunks()
-        flat, off = np.asarray(col.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(col)))]
-        at = {k: i for i, k in enumerate(ids.tolist())}
-        a, b = np.asarray(right["a"]), np.asarray(right["b"])
-        c = np.zeros(len(a))
-        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            i, j = at[x], at[y]
-            u, v = flat[off[i] : off[i + 1]], flat[off[j] : off[j + 1]]
-            if len(u) > len(v):
-                u, v = v, u
-            c[k] = (v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum() / len(u)
-        ok = c >= contain
-        return pa.table({"a": a[ok], "b": b[ok], "containment": c[ok]})
 
-    sent = held.join(where, "id").select("task", "id", "set")
-    return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(compare, "a long, b long, containment double"), "links")
+def _verify_far(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float, block: int = 1000) -> DataFrame:
+    """Like verify(), for pairs of a small set a and a larger one: these don't form families."""
+    pairs = write_shared(pairs, "far-pairs")
+    tasks = max(1, -(-pairs.count() // block))
+    asked = pairs.withColumn("task", F.pmod(F.xxhash64("large"), F.lit(tasks)))
+    where = asked.select(F.col("small").alias("id"), "task").union(asked.select("large", "task")).distinct()
+    asked = asked.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), "task")
+    sent = _sets(docs, text, key, where.select("id").distinct()).join(where, "id").select("task", "id", "set")
+    links = sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain), "a long, b long, containment double")
+    return write_shared(links, "far-links")
+
+
+def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
+    """(elements that the sets ask for, how many each asks for).
+
+    A set that holds ``contain`` of another one's elements holds one of those it asks for with a
+    probability of at least ``recall``, whatever is in ``hot``: a set asks for elements that aren't hot
+    where its overlap must reach into those, and else for any.
+    """
+    own = np.repeat(np.arange(len(counts)), counts)
+    common = hot[np.minimum(np.searchsorted(hot, elements), len(hot) - 1)] == elements if len(hot) else np.zeros(len(elements), bool)
+    rare = counts - np.bincount(own[common], minlength=len(counts))
+    least = np.ceil(contain * counts - 1e-9) - (counts - rare)  # of its rare elements that must be in the other set
+    draws = lambda rate: np.ceil(math.log(1 - recall) / np.log1p(-np.clip(rate, 1e-9, 1 - 1e-12)))
+    by_rare, by_any = np.minimum(draws(least / np.maximum(rare, 1)), rare), np.minimum(draws(contain), counts)
+    some = (least >= 1) & (by_rare <= 8 * by_any)
+    order = (elements.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
+    o = np.lexsort((order, common & some[own], own))
+    rank = np.arange(len(o)) - (np.cumsum(counts) - counts)[own]
+    use = rank < np.where(some, by_rare, by_any)[own]
+    return elements[o[use]], np.bincount(own[use], minlength=len(counts))
+
+
+def _far(rows: DataFrame, classes: DataFrame, contain: float, ratio: float, recall: float, sample: int = 5000, page: int = 1 << 16) -> DataFrame:
+    """small, large: candidates of sizes further apart than ``ratio``.
+
+    Sets ask for few of their elements.  A filter of all that is asked for keeps back most elements of
+    the sets that answer.  Elements of many texts of a sample are asked for last.
+    """
+    many = classes.count()
+
+    def pick(choose):
+        def run(batches):
+            seen: set[int] = set()
+            for batch in batches:
+                h1 = np.asarray(batch.column(0))
+                _, lo, hi = as_text(batch.column(1))
+                for i, j in runs(lo, hi, 1 << 20):
+                    _, first = np.unique(h1[i:j], return_index=True)
+                    new = i + np.sort(first)
+                    new = new[[x not in seen for x in h1[new].tolist()]]
+                    if len(seen) < 500_000:
+                        seen.update(h1[new].tolist())
+                    elements, counts = shingles(*as_text(batch.column(1).take(pa.array(new))))
+                    e, n = choose(elements, counts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h1[new], n)), pa.array(np.repeat(counts, n).astype(np.int32)), pa.array(e)], ["h1", "n", "element"])
+
+        return run
+
+    kind = "h1 long, n int, element long"
+    part = rows.where(F.pmod(F.xxhash64("h1"), F.lit(max(1, many // sample))) == 0).mapInArrow(pick(lambda e, n: (e, n)), kind)
+    often = part.dropDuplicates(["h1", "element"]).groupBy("element").count().where(F.col("count") >= max(10, min(many, sample) // 500))
+    hot = np.sort(np.array([r.element for r in often.select("element").collect()], np.int64))
+    asked = write_shared(rows.mapInArrow(pick(lambda e, n: asks(e, n, hot, contain, recall)), kind).dropDuplicates(["h1", "element"]), "asked")
+    pages = max(1, -(-8 * asked.count() // page))
+    spots = lambda e: [((e.astype(np.uint64) * m) >> np.uint64(20)) % np.uint64(pages * page) for m in (_C, np.uint64(0xC2B2AE3D27D4EB4F))]
+
+    def bits(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(spots(np.asarray(batch.column(0))))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at // page), pa.array((at % page).astype(np.int32))], ["page", "bit"])
+
+    def fill(group: pa.Table) -> pa.Table:
+        x = np.zeros(page, bool)
+        x[np.asarray(group["bit"])] = True
+        return pa.table({"page": group["page"].slice(0, 1), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
+
+    filled = asked.select("element").mapInArrow(bits, "page long, bit int").groupBy("page").applyInArrow(fill, "page long, bits binary")
+    mask = np.zeros(pages * page // 8, np.uint8)
+    for r in filled.collect():
+        mask[r.page * page // 8 : (r.page + 1) * page // 8] = np.frombuffer(r.bits, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def answers(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.ones(len(elements), bool)
+        for at in spots(elements):
+            at = at.astype(np.int64)
+            ok &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+        return elements[ok], np.bincount(np.repeat(np.arange(len(counts)), counts)[ok], minlength=len(counts))
+
+    held = rows.mapInArrow(pick(answers), kind).select("element", F.col("h1").alias("hl"), F.col("n").alias("nl"))
+    met = asked.join(held, "element").where(F.col("n") < ratio * F.col("nl")).select("h1", "hl").distinct()
+    of = lambda h, x: classes.select(F.col("h1").alias(h), F.col("id").alias(x))
+    return met.join(of("h1", "small"), "h1").join(of("hl", "large"), "hl").select("small", "large")
 
 
 def overlaps(elements: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:

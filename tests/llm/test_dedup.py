@@ -109,6 +109,41 @@ def test_chains_in_large_buckets_against_brute_force(spark, monkeypatch):
         assert r.class_id == 0 and r.n_links == sum(r.doc_id in x for x in got)
 
 
+def test_containment_at_any_size_against_brute_force(spark):
+    texts = [prose(k, 120) for k in range(60)]
+    for k in range(20):
+        words = texts[k].split()
+        texts.append(" ".join(words[10 : 20 + 4 * k]))  # an excerpt
+        texts.append(texts[k] + "\n" + prose(900 + k, 60 + 40 * k))  # an appended section
+        texts.append(prose(700 + k, 300) + "\n" + edited(texts[k], k, 0.05) + "\n" + prose(800 + k, 600))  # quoted with edits
+    texts.append("\n".join(texts[20:60]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found, links = neardup.near_duplicates(docs, recall=0.999)
+    got = {(r.a, r.b): r.containment for r in links.collect()}
+    s = sets([t.lower() for t in texts])
+    share = {(a, b): len(s[a] & s[b]) / min(len(s[a]), len(s[b])) for a, b in combinations(range(len(s)), 2)}
+    want = {p: c for p, c in share.items() if c >= 0.7}
+    assert len(want) > 100 and links.count() == len(got)
+    assert all(want.get(p) == c for p, c in got.items()) and len(want.keys() - got.keys()) <= 0.01 * len(want)
+    rows = {r.doc_id: r for r in found.collect()}
+    assert all(r.n_links == sum(r.doc_id in p for p in got) for r in rows.values())
+
+
+def test_asks_find_containing_sets():
+    r = np.random.default_rng(3)
+    for share in (0.0, 0.3, 0.5, 0.65, 0.9, 1.0):  # of hot elements
+        hits = 0
+        for _ in range(1500):
+            e = np.sort(r.choice(1 << 47, 60, replace=False))
+            hot = np.sort(r.permutation(e)[: int(60 * share)])
+            # the worst case: the other set holds all hot elements it can
+            other = set(np.r_[r.permutation(hot), r.permutation(np.setdiff1d(e, hot))][:42].tolist())
+            asked, n = neardup.asks(e, np.array([60]), hot, 0.7, 0.99)
+            assert len(asked) == n[0] <= 40
+            hits += bool(other & set(asked.tolist()))
+        assert hits >= 0.98 * 1500
+
+
 def test_overlaps_against_brute_force():
     r = np.random.default_rng(1)
     own = [set(r.integers(0, 300, k).tolist()) for k in (50, 1, 120, 7, 90, 30)]
