@@ -3,9 +3,11 @@
 Equal texts are one class from the start.  The classes' shingle sets are partitioned by size; in a
 partition, the wished containment and the sizes that may meet there give a Jaccard threshold, for which
 the banding of MinHash signatures is tuned.  A set is indexed in its own partition and asks the next
-one.  Larger sets of any size are asked for a few elements drawn from the set, and answer with all of
-theirs.  Candidates' containment is then computed exactly from the shingle sets.  Linked classes of
-similar sizes form groups; a text within a much larger one is linked to it, but stays on its own.
+one.  Where sizes lie further apart the threshold is too low for bands: a set then asks for a few of its
+elements, and larger sets answer with theirs.  Elements of many texts are never asked for: sets that
+hold the same ones share a profile, and a set that mostly consists of them is held against profiles.
+Candidates' containment is computed exactly from the shingle sets.  Linked classes of similar sizes form
+groups; a text within a much larger one is linked to it, but stays on its own.
 """
 
 from __future__ import annotations
@@ -29,18 +31,45 @@ _rng = np.random.default_rng(20)
 _A = (_rng.integers(0, 1 << 31, HASHES) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _C = np.uint64(0x9E3779B97F4A7C15)
-SMALL = 500_000  # ids that are broadcast
+_D = np.uint64(0xD6E8FEB86659FD93)
+SMALL = 200_000  # rows of a few numbers that are broadcast or gathered
 FULL = 200  # members of larger buckets meet in blocks of families, not in emitted pairs
+LOCAL = 64  # members of a bucket that one task sends on; of more, their edges and one member
+MASK = 64 << 20  # bytes of the broadcast filter of what is asked for
+HOT = 1 << 20  # elements of many texts that are known to every task
+TASK = 16 << 20  # bytes of texts whose sets meet in one task
+_U48 = np.uint64((1 << 48) - 1)
+
+
+def _wide(part: np.ndarray) -> np.ndarray:
+    """Bytes of characters of scripts that are written without spaces: each is a word."""
+    out = np.zeros(len(part), bool)
+    lead = np.flatnonzero((part >= 0xE0) & (part < 0xF0))
+    lead = lead[lead + 2 < len(part)]
+    if len(lead):
+        c = ((part[lead].astype(np.int64) & 15) << 12) | ((part[lead + 1].astype(np.int64) & 63) << 6) | (part[lead + 2] & 63)
+        # Thai to Burmese, Khmer, kana, ideographs and their extensions
+        out[lead[((c >= 0x0E00) & (c < 0x10A0)) | ((c >= 0x1780) & (c < 0x1800)) | ((c >= 0x3040) & (c < 0xA000)) | ((c >= 0xF900) & (c < 0xFB00))]] = True
+    lead = np.flatnonzero((part >= 0xF0) & (part < 0xF8))
+    lead = lead[lead + 3 < len(part)]
+    if len(lead):
+        out[lead[(part[lead] == 0xF0) & (part[lead + 1] >= 0xA0)]] = True
+    return out
 
 
 def shingles(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(set elements, all texts' sets one after the other and sorted; their numbers).
 
     Elements are 48-bit hashes of three words in a row; a text of one or two words has one element.
+    Words end at white space; a character of a script without spaces is a word of its own.
     """
     words, own = [], []
     for part, rows, a, b in chunks(raw, lo, hi):
-        s, e = spans(~GAP[part], a, b)
+        inside = ~GAP[part]
+        if len(part) and part.max() >= 0xE0 and (lead := _wide(part)).any():
+            s, e = _single(part, inside, lead, a, b)
+        else:
+            s, e = spans(inside, a, b)
         words.append(span_hash(prefix_sums(part), s, e))
         own.append(rows[np.searchsorted(a, s, "right") - 1])
     if not words:
@@ -53,19 +82,34 @@ def shingles(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
     for d in range(1, WIDTH):
         ok = np.flatnonzero(inside + d < n[k])
         h[ok] = (h[ok] ^ (h[ok] >> np.uint64(29))) * _C + w[ok + d]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * _D
     good = inside < np.maximum(n[k] - WIDTH + 1, 1)
     out, counts = [], np.zeros(len(lo), np.int64)
     k, h = k[good], h[good] >> np.uint64(16)
     # neighbours of at most 65,536 texts fit the free 16 bits
     for a in range(0, len(lo), 65536):
         i, j = np.searchsorted(k, [a, a + 65536])
-        key = np.unique((np.uint64(1) * (k[i:j] - a).astype(np.uint64) << np.uint64(48)) | h[i:j])
+        key = np.sort(((k[i:j] - a).astype(np.uint64) << np.uint64(48)) | h[i:j])
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
         counts[a : a + 65536] = np.bincount((key >> np.uint64(48)).astype(np.int64), minlength=min(65536, len(lo) - a))
-        out.append((key & np.uint64((1 << 48) - 1)).astype(np.int64))
+        out.append((key & _U48).astype(np.int64))
     return np.concatenate(out), counts
 
 
+def _single(part, inside, lead, lo, hi):
+    """Like spans(), but each character that ``lead`` marks is a span of its own."""
+    at = np.flatnonzero(lead)
+    width = np.where(part[at] >= 0xF0, 4, 3)
+    body = np.zeros(len(part) + 1, np.int64)
+    np.add.at(body, at, 1)
+    np.add.at(body, np.minimum(at + width, len(part)), -1)
+    alone = np.cumsum(body[:-1]) > 0
+    s, e = spans(inside & ~alone, lo, hi)
+    s, e = np.r_[s, at], np.r_[e, np.minimum(at + width, len(part))]
+    o = np.argsort(s, kind="stable")
+    return s[o], e[o]
+
+
 def signature(elements: np.ndarray, counts: np.ndarray, hashes: int) -> np.ndarray:
     """MinHash values (hash, set) of the sets that aren't empty."""
     full = counts[counts > 0]
@@ -86,6 +130,7 @@ def banding(part: int, query: int, contain: float, ratio: float, recall: float)
     """(bands, rows) for sets of partition ``query`` that ask partition ``part``.
 
     Tuned for the least Jaccard similarity that two sets of these sizes have at the wished containment.
+    ValueError if the signatures are too short for it.
     """
     base = 1 / ratio
     edge = lambda p: max(1, math.ceil(base**p - 1e-6))
@@ -100,64 +145,85 @@ def banding(part: int, query: int, contain: float, ratio: float, recall: float)
             s = min(s, both / (q + x - both))
     if s >= 1:
         return 1, 3
-    for rows in (4, 3, 2):
+    for rows in (4, 3, 2, 1):
         bands = math.ceil(math.log(1 - recall) / math.log(1 - s**rows))
         if bands * rows <= HASHES:
             return bands, rows
-    return HASHES // 2, 2
+    raise ValueError(f"{HASHES} hashes don't reach recall {recall} at containment {contain} and ratio {ratio}")
+
+
+def _plans(p: int, contain: float, ratio: float, recall: float) -> list[tuple[int, int, int]]:
+    """(target partition, rows, bands) of the keys of a set of partition p: its own, and those it asks in the next."""
+    out = []
+    for target in (p, p + 1):
+        plans: dict[int, int] = {}  # by rows a band: the plan of fewer bands is part of the other
+        for q in (target, target - 1) if target == p else (p,):
+            if q >= 0:
+                bands, rows = banding(target, q, contain, ratio, recall)
+                plans[rows] = max(bands, plans.get(rows, 0))
+        out += [(target, rows, bands) for rows, bands in plans.items()]
+    return out
 
 
 def buckets(sig: np.ndarray, sizes: np.ndarray, contain: float, ratio: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket keys, how many each set has): those of its own partition, then those it asks in the next."""
+    """(bucket keys, numbers of the sets they belong to)."""
     parts = partition(sizes, ratio)
-    keys: list[np.ndarray] = []
-    where: list[np.ndarray] = []
+    todo: dict[int, list[tuple[np.ndarray, int, int]]] = {}
     for p in np.unique(parts).tolist():
         mine = np.flatnonzero(parts == p)
-        for target in (p, p + 1):
-            plans: dict[int, int] = {}  # by rows a band: the plan of fewer bands is part of the other
-            for q in (target, target - 1) if target == p else (p,):
-                if q >= 0:
-                    bands, rows = banding(target, q, contain, ratio, recall)
-                    plans[rows] = max(bands, plans.get(rows, 0))
-            for rows, bands in plans.items():
-                for b in range(bands):
-                    h = np.full(len(mine), ((target * 64 + rows) * 4096 + b) & 0xFFFFFFFF, np.uint64)
-                    for r in range(rows):
-                        h = (h ^ (h >> np.uint64(31))) * _C + sig[b * rows + r, mine]
-                    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
-                    keys.append((h ^ (h >> np.uint64(32))).view(np.int64))
-                    where.append(mine)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(len(sizes), np.int64)
-    w = np.concatenate(where)
-    o = np.argsort(w, kind="stable")
-    return np.concatenate(keys)[o], np.bincount(w, minlength=len(sizes))
-
-
-def _candidates(members: DataFrame, ratio: float) -> DataFrame:
-    """Pairs a < b that share a bucket of at most FULL members and whose sizes may meet."""
-    x = members.where(F.col("many") <= FULL)
-    a, b = x.select("bucket", F.col("id").alias("a"), F.col("n").alias("na")), x.select("bucket", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= ratio * F.greatest("na", "nb")
-    return a.join(b, "bucket").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-
-
-def _ident(text: str, key: str):
-    return F.coalesce(F.col(key).cast("long"), -F.abs(F.xxhash64(text)) - 1)
+        for target, rows, bands in _plans(p, contain, ratio, recall):
+            todo.setdefault(rows, []).append((mine, target, bands))
+    keys, where = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for rows, asked in todo.items():
+        most = max(b for _, _, b in asked)
+        base = np.full((most, sig.shape[1]), rows, np.uint64)
+        for r in range(rows):
+            base = (base ^ (base >> np.uint64(31))) * _C + sig[r : r + most * rows : rows]
+        base += (np.arange(most, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))[:, None]
+        for mine, target, bands in asked:
+            h = base[:bands, mine] ^ np.uint64((target * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+            h = (h ^ (h >> np.uint64(29))) * _D
+            keys.append((h ^ (h >> np.uint64(32))).ravel())
+            where.append(np.tile(mine, bands))
+    return np.concatenate(keys), np.concatenate(where)
+
+
+def gather(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """vertex -> least vertex of its component, of few edges."""
+    v, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(v))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, x, label[y])
+        np.minimum.at(low, y, label[x])
+        np.minimum.at(low, label[x], low[y])
+        np.minimum.at(low, label[y], low[x])
+        low = low[low]
+        if (low == label).all():
+            return dict(zip(v.tolist(), v[label].tolist(), strict=True))
+        label = low
 
 
 def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """id, group: the least id of each connected component of the edges (a, b).
 
     In each round a vertex joins its least neighbour and the edges are contracted, so that they shrink
-    to nothing.
+    to nothing; once they are at most SMALL, the driver joins the rest.
     """
+    spark = edges.sparkSession
     label = None
-    edges = write_shared(edges.select("a", "b").where("a <> b"), "edges")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("group"))
+    edges = write_shared(edges.select("a", "b").where("a <> b").distinct(), "edges")
     for _ in range(most):
+        many = edges.count()
+        if many <= SMALL:
+            got = edges.toArrow()
+            rest = gather(np.asarray(got["a"]), np.asarray(got["b"])) if many else {}
+            small = spark.createDataFrame(pa.table({"id": pa.array(list(rest), pa.int64()), "group": pa.array(list(rest.values()), pa.int64())}))
+            if label is None:
+                return write_shared(small, "labels")
+            small = small.select(F.col("id").alias("v"), F.col("group").alias("to"))
+            return write_shared(label.join(F.broadcast(small), label["group"] == small["v"], "left").select("id", F.coalesce("to", "group").alias("group")), "labels")
         both = edges.union(edges.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("to"))
         low = write_shared(low, "labels")
@@ -167,109 +233,239 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
             label = write_shared(label.join(low, label["group"] == low["v"], "left").select("id", F.coalesce("to", "group").alias("group")), "labels")
         left = edges.join(low.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(low.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
         edges = write_shared(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            return label
     raise ValueError("the components didn't settle")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", contain: float = 0.7, ratio: float = 0.7, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
-    """(documents, links).
-
-    documents: the key, text_id (least id with an equal text), class_id (least id of the group; groups are formed by links of sets whose sizes differ by ``ratio`` at most), copies
-    (rows of this text) and n_links (different texts it is linked to).  links: a, b (text ids),
-    containment.  Two texts are linked if the containment of the smaller shingle set in the larger one
-    is at least ``contain``, whatever their sizes (``ratio`` is where the search by bands gives way to the
-    search by elements); the search finds each such
-    pair with a probability of at least ``recall``, in large families as in small ones.  Null texts are one class of their own, as empty ones
-    are; neither has links.  Rows of a null id are known by a negative hash of their text.  Rows that
-    share an id must share their text.
+def _once(batches, size: int = 4 << 20):
+    """(h1 of different texts, their Arrow texts), of batches (h1, text): a task yields a text once, as long as it remembers it."""
+    seen: set[int] = set()
+    for batch in batches:
+        h1 = np.asarray(batch.column(0))
+        _, lo, hi = as_text(batch.column(1))
+        for i, j in runs(lo, hi, size):
+            _, first = np.unique(h1[i:j], return_index=True)
+            new = i + np.sort(first)
+            new = new[[x not in seen for x in h1[new].tolist()]]
+            if len(seen) < 500_000:
+                seen.update(h1[new].tolist())
+            if len(new):
+                yield h1[new], batch.column(1).take(pa.array(new))
+
+
+def _runs_of(keys: np.ndarray, h1: np.ndarray):
+    """(keys, h1) of the keys that several different h1 have, sorted by both, and the bounds of each key's run."""
+    o = np.argsort(keys, kind="stable")
+    k = keys[o]
+    same = np.r_[False, k[1:] == k[:-1]] if len(k) else np.zeros(0, bool)
+    o = o[same | np.r_[same[1:], False]] if len(k) else o
+    k, h = keys[o], h1[o]
+    o = np.lexsort((h, k))
+    k, h = k[o], h[o]
+    new = np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])] if len(k) else np.zeros(0, bool)
+    k, h = k[new], h[new]
+    cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
+    return k, h, cut
+
+
+def _met(rows: DataFrame, many: int, contain: float, ratio: float, recall: float) -> DataFrame:
+    """a, b, family: pairs that share a bucket, and, of buckets of more than FULL members, each member with the least.
+
+    Keys travel in blocks by range of keys.  A task sends LOCAL members of a bucket at most: where it
+    has more, it emits their edges itself and sends one of them, marked, so that no bucket grows with
+    the number of rows, only with that of tasks' blocks.
     """
-    ident = _ident(text, key)
-    hashes = docs.select(ident.alias("id"), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(text), F.lit(1)).alias("h2"))
-    classes = write_shared(hashes.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
+    parts = 1 << max(4, (many * 150 * 16 // (32 << 20)).bit_length())
+    shift = np.uint64(64 - parts.bit_length() + 1)
+
+    def pack(keys, h1):
+        k, h, cut = _runs_of(keys, h1)
+        n = np.diff(cut)
+        hot = np.flatnonzero(n > LOCAL)
+        marks = np.zeros(0, np.uint64)
+        if len(hot):
+            lead, big = np.repeat(h[cut[hot]], n[hot]), np.repeat(n > LOCAL, n)
+            yield -1, lead, h[big], marks
+            marks = k[cut[hot]]
+            gone = np.isin(keys, marks)
+            keys, h1 = np.r_[keys[~gone], marks], np.r_[h1[~gone], h[cut[hot]]]
+        part = keys >> shift
+        o = np.argsort(part, kind="stable")
+        bound = np.searchsorted(part[o], np.arange(parts + 1, dtype=np.uint64))
+        at = marks >> shift
+        for p in np.flatnonzero(np.diff(bound)).tolist():
+            use = o[bound[p] : bound[p + 1]]
+            yield p, keys[use], h1[use], marks[at == p]
 
     def sign(batches):
-        seen: set[int] = set()  # a text is signed once a task: copies don't reach the exchange
+        ks, hs, held = [], [], 0
+
+        def out():
+            rows_ = list(pack(np.concatenate(ks), np.concatenate(hs)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), *[pa.array([r[c].tobytes() for r in rows_], pa.binary()) for c in (1, 2, 3)]], ["part", "k", "h", "marks"])
+
+        for h1, texts in _once(batches):
+            elements, counts = shingles(*as_text(texts))
+            full = np.flatnonzero(counts)
+            if len(full):
+                keys, where = buckets(signature(elements, counts, HASHES), counts[full], contain, ratio, recall)
+                ks.append(keys), hs.append(h1[full][where])
+                held += len(keys)
+            if held > 1 << 20:
+                yield out()
+                ks, hs, held = [], [], 0
+        if held:
+            yield out()
+
+    def meet(batches):
+        now, got = None, []
+
+        def out():
+            if now is not None and now < 0:
+                a, b = (np.concatenate([np.frombuffer(g[c], np.int64) for g in got]) for c in (0, 1))
+                fam = np.ones(len(a), bool)
+            else:
+                keys, h1 = np.concatenate([np.frombuffer(g[0], np.uint64) for g in got]), np.concatenate([np.frombuffer(g[1], np.int64) for g in got])
+                marks = np.unique(np.concatenate([np.frombuffer(g[2], np.uint64) for g in got]))
+                k, h, cut = _runs_of(keys, h1)
+                n = np.diff(cut)
+                big = (n > FULL) | np.isin(k[cut[:-1]], marks)
+                a, b = [np.repeat(h[cut[:-1][big]], n[big])], [h[np.repeat(big, n)]]
+                fam = [np.ones(len(a[0]), bool)]
+                for m in np.unique(n[~big & (n > 1)]).tolist():
+                    block = h[cut[:-1][(n == m) & ~big][:, None] + np.arange(m)]
+                    i, j = np.triu_indices(m, 1)
+                    x, y = block[:, i].ravel(), block[:, j].ravel()
+                    o = np.lexsort((y, x))
+                    x, y = x[o], y[o]
+                    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+                    a.append(x[new]), b.append(y[new]), fam.append(np.zeros(int(new.sum()), bool))
+                a, b, fam = np.concatenate(a), np.concatenate(b), np.concatenate(fam)
+            use = a != b
+            return pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(b[use]), pa.array(fam[use])], ["a", "b", "family"])
+
         for batch in batches:
-            h1 = np.asarray(batch.column(0))
-            raw, lo, hi = as_text(batch.column(1))
-            for i, j in runs(lo, hi, 1 << 20):
-                _, first = np.unique(h1[i:j], return_index=True)
-                new = i + np.sort(first)
-                new = new[[x not in seen for x in h1[new].tolist()]]
-                if len(seen) < 500_000:
-                    seen.update(h1[new].tolist())
-                texts = batch.column(1).take(pa.array(new))
-                elements, counts = shingles(*as_text(texts))
-                full = np.flatnonzero(counts)
-                keys, n = buckets(signature(elements, counts, HASHES), counts[full], contain, ratio, recall)
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(keys))
-                yield pa.RecordBatch.from_arrays([pa.array(h1[new[full]]), pa.array(counts[full]), lists], ["h1", "n", "keys"])
+            for p, k, h, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if got and (p != now or p < 0 and len(got) >= 64):
+                    yield out()
+                    got = []
+                now = p
+                got.append((k, h, marks))
+        if got:
+            yield out()
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.lower(text).alias("t"))
-    keyed = rows.mapInArrow(sign, "h1 long, n long, keys array<long>").select(F.explode("keys").alias("bucket"), "h1", F.col("n").cast("int").alias("n"))
-    w = Window.partitionBy("bucket")
-    several = keyed.withColumns({"_a": F.min("h1").over(w), "_b": F.max("h1").over(w)}).where("_a <> _b").drop("_a", "_b").dropDuplicates(["bucket", "h1"])
-    members = several.withColumn("many", F.count(F.lit(1)).over(w))
-    members = write_shared(members, "members")
-    members = write_shared(members.join(classes.select("h1", "id"), "h1").select("bucket", "id", "n", "many"), "members")
-    family = _families(members.where(F.col("many") > FULL))
-    end = lambda x: family.select(F.col("id").alias(x), F.col("group").alias(f"_{x}"))
-    apart = ~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
-    pairs = _candidates(members, ratio).join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
-    links = verify(docs, text, key, pairs, contain).unionByName(_within(docs, text, key, family, contain, ratio))
-    links = write_shared(links, "links")
-    within = _verify_far(docs, text, key, _far(rows, classes, contain, ratio, recall), contain)
-    group = components(links)
-    links = links.unionByName(within)
-    ends = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    found = ends.join(group, "id", "left")
-    whole = classes.select("h1", "h2", "id", "copies").join(found, "id", "left").select("h1", "h2", F.col("id").alias("text_id"), F.coalesce("group", "id").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    signed = rows.mapInArrow(sign, "part int, k binary, h binary, marks binary")
+    spread = F.when(F.col("part") < 0, F.xxhash64("h")).otherwise(F.col("part"))
+    tasks = max(parts // 4, 16)
+    return signed.repartition(tasks, spread).sortWithinPartitions("part").mapInArrow(meet, "a long, b long, family boolean").distinct()
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", contain: float = 0.7, ratio: float = 0.7, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
+    """(documents, links).
+
+    documents: the key, text_id (least id with an equal text), class_id (least id of the group; groups
+    are formed by links of sets whose sizes differ by ``ratio`` at most), copies (rows of this text) and
+    n_links (different texts it is linked to).  links: a, b (text ids), containment; the links by
+    profile are expanded in it, which n_links never needs.  Two texts are linked if the containment of
+    the smaller shingle set in the larger one is at least ``contain``, whatever their sizes; the search
+    finds each such pair with a probability of at least ``recall``, in large families as in small ones.
+    Null texts are one class of their own, as empty ones are; neither has links.  A text whose rows all
+    have null ids is known by a negative hash of it (strings: by that number).  Ids may be of any
+    ordered type; different texts that share an id stay different texts.  Other columns aren't looked at.
+    """
+    found, classes, links, quoted = _search(docs, text, key, contain, ratio, recall)
+    of = lambda h, x: classes.select(F.col("h1").alias(h), F.col("id").alias(x))
+    every = links.unionByName(quoted)
+    every = every.join(of("a", "_i"), "a").join(of("b", "_j"), "b").select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"), "containment")
     # salted: one text may be that of many rows
     salts = 16
-    ids = docs.select(F.col(key), F.xxhash64(text).alias("h1"), F.xxhash64(F.col(text), F.lit(1)).alias("h2"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int").alias("salt"))
-    out = ids.join(whole.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["h1", "h2", "salt"])
-    return out.select(key, "text_id", "class_id", "copies", "n_links"), links
-
+    ids = docs.select(F.col(key), F.xxhash64(text).alias("h1"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int").alias("salt"))
+    out = ids.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["h1", "salt"])
+    return out.select(key, "text_id", "class_id", "copies", "n_links"), every
 
-def _families(members: DataFrame) -> DataFrame:
-    """id, group: the components of the ids that share a bucket."""
-    lead = members.groupBy("bucket").agg(F.min("id").alias("b"))
-    return components(members.select("bucket", F.col("id").alias("a")).join(lead, "bucket").select("a", "b").distinct())
 
+def _search(docs: DataFrame, text: str, key: str, contain: float, ratio: float, recall: float, count: bool = True):
+    """(found: h1, text_id, real (null where all ids are), class_id, copies, n_links, group), (classes: h1, id, real, copies, size), links, links by profile.
 
-def _place(family: DataFrame, block: int):
-    """(id, group, blocks of the group, own block; the task in which two blocks of a group meet)."""
-    sizes = family.groupBy("group").agg(F.count(F.lit(1)).alias("many"))
-    tasks = max(1, -(-family.count() // block))
-    blocks = F.ceil(F.col("many") / block).cast("int")
-    placed = family.join(sizes, "group").select("id", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
+    The latter two are by h1.  Without ``count``, only what groups need: links of similar sizes.
+    """
+    kind = "long" if docs.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else "string"
+    hashes = docs.select(F.col(key).cast(kind).alias("id"), F.xxhash64(text).alias("h1"), F.octet_length(text).alias("size"))
+    none = (-F.shiftrightunsigned("h1", 1) - 1).cast(kind)
+    classes = hashes.groupBy("h1").agg(F.min("id").alias("real"), F.count(F.lit(1)).alias("copies"), F.coalesce(F.max("size"), F.lit(0)).cast("long").alias("size"))
+    classes = write_shared(classes.withColumn("id", F.coalesce("real", none)), "classes")
+    many = classes.count()
+    rows = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.lower(text).alias("t"))
+    met = write_shared(_met(rows, many, contain, ratio, recall), "met")
+    sizes = classes.select("h1", "size")
+    family = components(met.where("family"))
+    end = lambda x: family.select(F.col("id").alias(x), F.col("group").alias(f"_{x}"))
+    apart = ~F.coalesce(F.col("_a") == F.col("_b"), F.lit(False))
+    pairs = met.where("not family").select("a", "b").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b")
+    links = write_shared(verify(rows, sizes, pairs, contain, ratio).unionByName(_within(rows, sizes, family, contain, ratio)), "links")
+    quoted = None
+    counts = links.select(F.col("a").alias("h1"), F.lit(0).cast("long").alias("n")).limit(0)
+    group = components(links)
+    if count:
+        far, counts, quoted = _unlike(rows, sizes, many, contain, ratio, recall)
+        links = links.unionByName(far)
+    label = classes.select("h1", "id").join(group.select(F.col("id").alias("h1"), "group"), "h1")
+    least = label.groupBy("group").agg(F.min("id").alias("class_id"))
+    ends = links.select(F.col("a").alias("h1")).union(links.select("b")).groupBy("h1").agg(F.count(F.lit(1)).alias("n"))
+    ends = ends.unionByName(counts).groupBy("h1").agg(F.sum("n").alias("n_links"))
+    grouped = label.join(least, "group").select("h1", "group", "class_id")
+    found = classes.join(ends, "h1", "left").join(grouped, "h1", "left").select("h1", F.col("id").alias("text_id"), "real", F.coalesce("class_id", "id").alias("class_id"), "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("group", "h1").alias("group"))
+    return found, classes, links, quoted
+
+
+def _unlike(rows: DataFrame, sizes: DataFrame, many: int, contain: float, ratio: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links of sizes further apart than ``ratio``, (h1, n: number of those by profile alone), these, expanded)."""
+    hot = _hot(rows, many)
+    asked = write_shared(_asked(rows, hot, contain, recall), "asked")
+    far = _verify_far(rows, sizes, _far(rows, asked, ratio), hot, contain)
+    return far, *_profiles(asked, ratio, contain)
+
+
+def _place(family: DataFrame, sizes: DataFrame, most: int):
+    """(id, group, blocks of the group, own block; the task in which two blocks of a group meet).
+
+    A block holds ``most`` sets or TASK / 2 bytes of text at most, or one set.
+    """
+    family = family.join(sizes.select(F.col("h1").alias("id"), "size"), "id")
+    total = family.groupBy("group").agg(F.count(F.lit(1)).alias("many"), F.sum("size").alias("bytes"))
+    weight = family.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, -(-weight[0] // TASK), -(-weight[1] // (4 * most)))
+    blocks = F.greatest(F.ceil(F.col("many") / most), F.ceil(F.col("bytes") / (TASK // 2)), F.lit(1)).cast("int")
+    placed = family.join(total, "group").select("id", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("own"))
     # a family of one block goes to a common task; tasks of larger families are known by negative numbers
     task = lambda i, j: F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("group"), F.lit(tasks))).otherwise(-1 - F.pmod(F.xxhash64("group", i, j), F.lit(1 << 62)))
     return write_shared(placed, "families"), task
 
 
-def _sets(docs: DataFrame, text: str, key: str, placed: DataFrame) -> DataFrame:
-    """id, set: the shingle sets of the placed ids' texts."""
+def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set: the shingle sets of the texts whose hashes are the ids."""
 
     def sets(batches):
-        for batch in batches:
-            raw, lo, hi = as_text(batch.column(1))
-            for i, j in runs(lo, hi, 1 << 20):
-                elements, counts = shingles(raw, lo[i:j], hi[i:j])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(elements))], ["id", "set"])
+        for h1, texts in _once(batches, 1 << 20):
+            elements, counts = shingles(*as_text(texts))
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(elements))], ["id", "set"])
 
-    rows = docs.select(_ident(text, key).alias("id"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    ids = placed.select("id")
+    ids = ids.select(F.col("id").alias("h1")).distinct()
     few = ids.count() <= SMALL
-    return rows.join(F.broadcast(ids) if few else ids, "id").mapInArrow(sets, "id long, set array<long>")
+    some = rows.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
+    return some.mapInArrow(sets, "id long, set array<long>")
+
 
+def _held(sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, elements one set after the other, bounds); a set that came twice is there twice."""
+    col = sets["set"].combine_chunks()
+    return np.asarray(sets["id"]), np.asarray(col.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(col)))].astype(np.int64)
+
+
+def _compare(contain: float, ratio: float | None, hot: np.ndarray | None = None):
+    """Links of the asked pairs; with ``ratio``, of sizes at most so far apart; with ``hot``, where the hot elements alone don't suffice."""
 
-def _compare(contain: float):
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.combine_chunks()
-        ids, col = np.asarray(left["id"]), left["set"].combine_chunks()
-        flat, off = np.asarray(col.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(col)))]
+        ids, flat, off = _held(left.combine_chunks())
         at = {k: i for i, k in enumerate(ids.tolist())}
         a, b = np.asarray(right["a"]), np.asarray(right["b"])
         c = np.zeros(len(a))
@@ -278,128 +474,224 @@ def _compare(contain: float):
             u, v = flat[off[i] : off[i + 1]], flat[off[j] : off[j + 1]]
             if len(u) > len(v):
                 u, v = v, u
-            c[k] = (v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum() / len(u)
-        ok = c >= contain
+            if ratio is not None and len(u) < ratio * len(v):
+                continue
+            shared = u[v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u]
+            if len(shared) < contain * len(u) - 1e-9:
+                continue
+            if hot is not None and len(hot) and (hot[np.minimum(np.searchsorted(hot, shared), len(hot) - 1)] == shared).sum() >= math.ceil(contain * len(u) - 1e-9):
+                continue
+            c[k] = len(shared) / len(u)
+        ok = c > 0
         return pa.table({"a": a[ok], "b": b[ok], "containment": c[ok]})
 
     return compare
 
 
-def verify(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float, block: int = 1000) -> DataFrame:
-    """The pairs whose exact containment is at least ``contain``.
+LINK = "a long, b long, containment double"
+
 
-    Pairs meet in the families that they form.  Families share tasks of about ``block`` sets; a larger
-    family is cut into blocks, and every two of its blocks meet.  So a set travels once, or once for each
-    block of its family, and not once for each pair.
+def verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, contain: float, ratio: float) -> DataFrame:
+    """The pairs (of similar sizes) whose exact containment is at least ``contain``.
+
+    Pairs meet in the families that they form.  Families share tasks; a larger family is cut into
+    blocks, and every two of its blocks meet.  So a set travels once, or once for each block of its
+    family, and not once for each pair.
     """
     pairs = write_shared(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs.select("a", "b", F.lit(1.0).alias("containment"))
-    placed, task = _place(components(pairs), block)
+    placed, task = _place(components(pairs), sizes, 1000)
     where = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     where = where.select("id", task(F.least("own", "other"), F.greatest("own", "other")).alias("task")).distinct()
     end = lambda x: placed.select(F.col("id").alias(x), "group", "blocks", F.col("own").alias(f"_{x}"))
     asked = pairs.join(end("a"), "a").join(end("b").drop("group", "blocks"), "b").select("a", "b", task(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("task"))
+    sent = _sets(rows, placed).join(where, "id").select("task", "id", "set")
+    return sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain, ratio), LINK)
 
-    held = _sets(docs, text, key, placed)
-    sent = held.join(where, "id").select("task", "id", "set")
-    return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain), "a long, b long, containment double"), "links")
 
+def _verify_far(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, hot: np.ndarray, contain: float) -> DataFrame:
+    """Links of pairs of a small set and a larger one, less those that the profiles hold.
 
-def _verify_far(docs: DataFrame, text: str, key: str, pairs: DataFrame, contain: float, block: int = 1000) -> DataFrame:
-    """Like verify(), for pairs of a small set a and a larger one: these don't form families."""
-    pairs = write_shared(pairs, "far-pairs")
-    tasks = max(1, -(-pairs.count() // block))
-    asked = pairs.withColumn("task", F.pmod(F.xxhash64("large"), F.lit(tasks)))
+    Pairs meet by larger set; those of one that many ask are spread over several tasks.
+    """
+    size = lambda x: sizes.select(F.col("h1").alias(x), F.col("size").alias(f"_{x}"))
+    pairs = write_shared(pairs.join(size("small"), "small").join(size("large"), "large"), "far-pairs")
+    per = pairs.groupBy("large").agg((F.sum("_small") + F.max("_large")).alias("bytes"))
+    total = per.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    tasks = max(1, -(-total // TASK))
+    salts = F.ceil(F.col("bytes") / TASK).cast("int")
+    asked = pairs.join(per, "large").withColumn("task", F.pmod(F.xxhash64("large", F.pmod(F.xxhash64("small"), salts)), F.lit(tasks)))
     where = asked.select(F.col("small").alias("id"), "task").union(asked.select("large", "task")).distinct()
     asked = asked.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), "task")
-    sent = _sets(docs, text, key, where.select("id").distinct()).join(where, "id").select("task", "id", "set")
-    links = sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain), "a long, b long, containment double")
-    return write_shared(links, "far-links")
+    sent = _sets(rows, where.select("id")).join(where, "id").select("task", "id", "set")
+    return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain, None, hot), LINK), "far-links")
+
 
+def _hot(rows: DataFrame, many: int, sample: int = 5000, least: int = 10) -> np.ndarray:
+    """Elements of at least ``least`` of about ``sample`` texts (of all, if fewer), sorted; HOT at most, the most frequent first.
 
-def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: float, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """(elements that the sets ask for, how many each asks for).
+    They only decide by which way a pair is found.
+    """
+
+    def elements(batches):
+        for _, texts in _once(batches, 1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(shingles(*as_text(texts))[0])], ["element"])
+
+    part = rows.where(F.pmod(F.xxhash64("h1", F.lit("hot")), F.lit(max(1, many // sample))) == 0).dropDuplicates(["h1"])
+    often = part.mapInArrow(elements, "element long").groupBy("element").count().where(F.col("count") >= least)
+    got = often.orderBy(F.desc("count"), "element").limit(HOT).select("element").toArrow()
+    return np.sort(np.asarray(got["element"]).astype(np.int64))
 
-    A set that holds ``contain`` of another one's elements holds one of those it asks for with a
-    probability of at least ``recall``, whatever is in ``hot``: a set asks for elements that aren't hot
-    where its overlap must reach into those, and else for any.
+
+def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: float, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(elements that the sets ask for, how many each asks for, which elements are hot, which sets are heavy).
+
+    A set is heavy if its hot elements alone can be ``contain`` of it.  Another set asks for elements
+    that aren't hot: as many as meet a set that holds ``contain`` of it with a probability of at least
+    ``recall``, whatever hot elements that one holds.  A heavy set asks for all that aren't hot, for
+    what the hot ones don't find.
     """
-    own = np.repeat(np.arange(len(counts)), counts)
+    n = len(counts)
+    own = np.repeat(np.arange(n), counts)
     common = hot[np.minimum(np.searchsorted(hot, elements), len(hot) - 1)] == elements if len(hot) else np.zeros(len(elements), bool)
-    rare = counts - np.bincount(own[common], minlength=len(counts))
-    least = np.ceil(contain * counts - 1e-9) - (counts - rare)  # of its rare elements that must be in the other set
-    draws = lambda rate: np.ceil(math.log(1 - recall) / np.log1p(-np.clip(rate, 1e-9, 1 - 1e-12)))
-    by_rare, by_any = np.minimum(draws(least / np.maximum(rare, 1)), rare), np.minimum(draws(contain), counts)
-    some = (least >= 1) & (by_rare <= 8 * by_any)
-    order = (elements.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
-    o = np.lexsort((order, common & some[own], own))
-    rank = np.arange(len(o)) - (np.cumsum(counts) - counts)[own]
-    use = rank < np.where(some, by_rare, by_any)[own]
-    return elements[o[use]], np.bincount(own[use], minlength=len(counts))
-
-
-def _far(rows: DataFrame, classes: DataFrame, contain: float, ratio: float, recall: float, sample: int = 5000, page: int = 1 << 16) -> DataFrame:
+    warm = np.bincount(own[common], minlength=n)
+    rare = counts - warm
+    least = np.ceil(contain * counts - 1e-9) - warm  # of its rare elements that must be in the other set
+    heavy = (least < 1) & (counts > 0)
+    draws = np.ceil(math.log(1 - recall) / np.log1p(-np.clip(least / np.maximum(rare, 1), 1e-9, 1 - 1e-12)))
+    want = np.where(heavy, rare, np.minimum(draws, rare)).astype(np.int64)
+    order = (elements.astype(np.uint64) * _D) & _U48  # its 48 bits differ for different elements
+    # those in the first part of the order are enough for most sets
+    near = np.minimum(1.0, (3 * want + 12) / np.maximum(rare, 1)) * float(1 << 48)
+    some = ~common & (order < near[own])
+    short = np.bincount(own[some], minlength=n) < want
+    if short.any():
+        some |= ~common & short[own]
+    at = np.flatnonzero(some)
+    o = at[np.lexsort((order[at], own[at]))]
+    have = np.bincount(own[o], minlength=n)
+    rank = np.arange(len(o)) - (np.cumsum(have) - have)[own[o]]
+    use = o[rank < want[own[o]]]
+    return elements[use], np.bincount(own[use], minlength=n), common, heavy
+
+
+def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> DataFrame:
+    """kind, h1, n, p, element.
+
+    0: an element that a set asks for.  1: a set of n elements with the profile p of its hot ones; element is 1 if it is heavy.
+    2: an element of profile p.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        known: set[int] = set()
+        for h1, texts in _once(batches):
+            elements, counts = shingles(*as_text(texts))
+            e, m, common, heavy = asks(elements, counts, shared.value, contain, recall)
+            own = np.repeat(np.arange(len(counts)), counts)
+            a = np.repeat(np.arange(len(counts)), m)
+            out = [(np.zeros(len(e), np.int8), h1[a], counts[a], np.zeros(len(e), np.int64), e)]
+            mine, hers = own[common], elements[common]
+            if len(mine):
+                mixed = (hers.astype(np.uint64) ^ (hers.astype(np.uint64) >> np.uint64(23))) * _C
+                mixed = (mixed ^ (mixed >> np.uint64(31))) * _D
+                has = np.unique(mine)
+                p = np.add.reduceat(mixed, np.searchsorted(mine, has)).view(np.int64)
+                out.append((np.ones(len(has), np.int8), h1[has], counts[has], p, heavy[has].astype(np.int64)))
+                new = np.zeros(len(counts), bool)
+                for k, x in zip(has.tolist(), p.tolist(), strict=True):
+                    if x not in known:
+                        new[k] = True
+                        if len(known) < 500_000:
+                            known.add(x)
+                pick = new[mine]
+                of = np.zeros(len(counts), np.int64)
+                of[has] = p
+                out.append((np.full(int(pick.sum()), 2, np.int8), np.zeros(int(pick.sum()), np.int64), np.zeros(int(pick.sum()), np.int64), of[mine[pick]], hers[pick]))
+            kind, h, n, p, e = (np.concatenate([x[c] for x in out]) for c in range(5))
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h), pa.array(n.astype(np.int32)), pa.array(p), pa.array(e)], ["kind", "h1", "n", "p", "element"])
+
+    return rows.mapInArrow(run, "kind byte, h1 long, n int, p long, element long")
+
+
+def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -> DataFrame:
     """small, large: candidates of sizes further apart than ``ratio``.
 
-    Sets ask for few of their elements.  A filter of all that is asked for keeps back most elements of
-    the sets that answer.  Elements of many texts of a sample are asked for last.
+    A filter of all that is asked for keeps back most elements of the sets that answer, as long as it
+    is small (MASK); beyond that all elements go to the join.
     """
-    many = classes.count()
+    asked = asked.where("kind = 0").select("h1", "n", "element").dropDuplicates(["h1", "element"])
+    pages = max(1, -(-16 * asked.count() // page))
+    spot = lambda e, k: (((e.astype(np.uint64) ^ (e.astype(np.uint64) >> np.uint64(17))) * (_C, _D, np.uint64(0xC2B2AE3D27D4EB4F))[k]) >> np.uint64(20)) % np.uint64(pages * page)
+    shared = None
+    if pages * page // 8 <= MASK:
 
-    def pick(choose):
-        def run(batches):
-            seen: set[int] = set()
+        def bits(batches):
             for batch in batches:
-                h1 = np.asarray(batch.column(0))
-                _, lo, hi = as_text(batch.column(1))
-                for i, j in runs(lo, hi, 1 << 20):
-                    _, first = np.unique(h1[i:j], return_index=True)
-                    new = i + np.sort(first)
-                    new = new[[x not in seen for x in h1[new].tolist()]]
-                    if len(seen) < 500_000:
-                        seen.update(h1[new].tolist())
-                    elements, counts = shingles(*as_text(batch.column(1).take(pa.array(new))))
-                    e, n = choose(elements, counts)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(h1[new], n)), pa.array(np.repeat(counts, n).astype(np.int32)), pa.array(e)], ["h1", "n", "element"])
-
-        return run
-
-    kind = "h1 long, n int, element long"
-    part = rows.where(F.pmod(F.xxhash64("h1"), F.lit(max(1, many // sample))) == 0).mapInArrow(pick(lambda e, n: (e, n)), kind)
-    often = part.dropDuplicates(["h1", "element"]).groupBy("element").count().where(F.col("count") >= max(10, min(many, sample) // 500))
-    hot = np.sort(np.array([r.element for r in often.select("element").collect()], np.int64))
-    asked = write_shared(rows.mapInArrow(pick(lambda e, n: asks(e, n, hot, contain, recall)), kind).dropDuplicates(["h1", "element"]), "asked")
-    pages = max(1, -(-8 * asked.count() // page))
-    spots = lambda e: [((e.astype(np.uint64) * m) >> np.uint64(20)) % np.uint64(pages * page) for m in (_C, np.uint64(0xC2B2AE3D27D4EB4F))]
-
-    def bits(batches):
-        for batch in batches:
-            at = np.unique(np.concatenate(spots(np.asarray(batch.column(0))))).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at // page), pa.array((at % page).astype(np.int32))], ["page", "bit"])
-
-    def fill(group: pa.Table) -> pa.Table:
-        x = np.zeros(page, bool)
-        x[np.asarray(group["bit"])] = True
-        return pa.table({"page": group["page"].slice(0, 1), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
-
-    filled = asked.select("element").mapInArrow(bits, "page long, bit int").groupBy("page").applyInArrow(fill, "page long, bits binary")
-    mask = np.zeros(pages * page // 8, np.uint8)
-    for r in filled.collect():
-        mask[r.page * page // 8 : (r.page + 1) * page // 8] = np.frombuffer(r.bits, np.uint8)
-    shared = rows.sparkSession.sparkContext.broadcast(mask)
-
-    def answers(elements: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ok = np.ones(len(elements), bool)
-        for at in spots(elements):
-            at = at.astype(np.int64)
-            ok &= (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-        return elements[ok], np.bincount(np.repeat(np.arange(len(counts)), counts)[ok], minlength=len(counts))
-
-    held = rows.mapInArrow(pick(answers), kind).select("element", F.col("h1").alias("hl"), F.col("n").alias("nl"))
-    met = asked.join(held, "element").where(F.col("n") < ratio * F.col("nl")).select("h1", "hl").distinct()
-    of = lambda h, x: classes.select(F.col("h1").alias(h), F.col("id").alias(x))
-    return met.join(of("h1", "small"), "h1").join(of("hl", "large"), "hl").select("small", "large")
+                e = np.asarray(batch.column(0))
+                at = np.unique(np.concatenate([spot(e, k) for k in range(3)])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(at // page), pa.array((at % page).astype(np.int32))], ["page", "bit"])
+
+        def fill(group: pa.Table) -> pa.Table:
+            x = np.zeros(page, bool)
+            x[np.asarray(group["bit"])] = True
+            return pa.table({"page": group["page"].slice(0, 1), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
+
+        filled = asked.select("element").mapInArrow(bits, "page long, bit int").groupBy("page").applyInArrow(fill, "page long, bits binary")
+        mask = np.zeros(pages * page // 8, np.uint8)
+        for r in filled.toLocalIterator():
+            mask[r.page * page // 8 : (r.page + 1) * page // 8] = np.frombuffer(r.bits, np.uint8)
+        shared = rows.sparkSession.sparkContext.broadcast(mask)
+
+    def answer(batches):
+        for h1, texts in _once(batches):
+            elements, counts = shingles(*as_text(texts))
+            at = np.arange(len(elements))
+            for k in range(3 if shared else 0):
+                x = spot(elements[at], k).astype(np.int64)
+                at = at[(shared.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1]
+            own = np.repeat(np.arange(len(counts)), counts)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(counts[own].astype(np.int32)), pa.array(elements[at])], ["hl", "nl", "element"])
+
+    held = rows.mapInArrow(answer, "hl long, nl int, element long")
+    met = asked.join(held, "element").where(F.col("n") < ratio * F.col("nl"))
+    return met.select(F.col("h1").alias("small"), F.col("hl").alias("large")).distinct()
+
+
+def _profiles(asked: DataFrame, ratio: float, contain: float) -> tuple[DataFrame, DataFrame]:
+    """(h1, n: number of links by profile alone), (these links, expanded).
+
+    Sets of one profile and size are counted together: a heavy set of n elements is linked to all sets
+    of more than n / ratio elements whose profile shares ``contain`` of n with its own.
+    """
+    has = asked.where("kind = 1").groupBy("h1").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.max("element").alias("heavy"))
+    has = write_shared(has, "profiled")
+    heavy = has.where("heavy = 1").groupBy("p", "n").agg(F.count(F.lit(1)).alias("k"))
+    sets = asked.where("kind = 2").select("p", "element").distinct()
+    ask = sets.join(heavy.select("p").distinct(), "p", "left_semi").select(F.col("p").alias("ps"), "element")
+    ask = write_shared(ask, "heavy-profiles")
+    small = ask.count() <= SMALL
+    both = sets.join(F.broadcast(ask) if small else ask, "element").groupBy("ps", "p").agg(F.count(F.lit(1)).alias("shared"))
+    # equal profiles need no comparison, but are compared all the same
+    enough = F.col("shared") >= F.ceil(contain * F.col("n") - 1e-9)
+    ok = write_shared(heavy.withColumnRenamed("p", "ps").join(both, "ps").where(enough).select("ps", "n", "p", "k"), "profile-links")
+    larger = has.groupBy("p", "n").agg(F.count(F.lit(1)).alias("k"))
+    # in one order by size: an asking set is at n, an answering one at ratio * n
+    line = ok.select("p", F.col("n").cast("double").alias("x"), F.lit(0).alias("kind"), "ps", "n", "k").unionByName(
+        larger.join(ok.select("p").distinct(), "p", "left_semi").select("p", (ratio * F.col("n")).alias("x"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("ps"), "n", "k")
+    )
+    w = Window.partitionBy("p").orderBy(F.desc("x"), "kind", "ps", "n")
+    above = F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("k"))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("k"))).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    told = line.withColumn("links", F.when(F.col("kind") == 0, above).otherwise(below)).where("links > 0")
+    told = write_shared(told.select("kind", "ps", "p", "n", "links"), "profile-counts")
+    as_small = told.where("kind = 0").groupBy(F.col("ps").alias("p"), "n").agg(F.sum("links").alias("links"))
+    small_n = has.where("heavy = 1").join(as_small, ["p", "n"]).select("h1", F.col("links").alias("n"))
+    large_n = has.join(told.where("kind = 1").select("p", "n", "links"), ["p", "n"]).select("h1", F.col("links").alias("n"))
+    left = has.where("heavy = 1").select(F.col("h1").alias("a"), F.col("n").alias("na"), F.col("p").alias("ps"))
+    right = has.select(F.col("h1").alias("b"), F.col("n").alias("nb"), "p")
+    pairs = left.join(ok.select("ps", F.col("n").alias("na"), "p").join(both, ["ps", "p"]), ["ps", "na"]).join(right, "p").where(F.col("na") < ratio * F.col("nb"))
+    quoted = pairs.select("a", "b", (F.col("shared") / F.col("na")).alias("containment"))
+    return small_n.unionByName(large_n), quoted
 
 
 def overlaps(elements: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -427,11 +719,9 @@ def overlaps(elements: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.
     return out.astype(np.int64)
 
 
-def _within(docs: DataFrame, text: str, key: str, family: DataFrame, contain: float, ratio: float, block: int = 500) -> DataFrame:
+def _within(rows: DataFrame, sizes: DataFrame, family: DataFrame, contain: float, ratio: float) -> DataFrame:
     """Links of any two members of a family: every pair is compared, in each two blocks of the family."""
-    if family.isEmpty():
-        return family.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("containment"))
-    placed, task = _place(family, block)
+    placed, task = _place(family, sizes, 500)
     where = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     where = where.select("id", "group", "own", task(F.least("own", "other"), F.greatest("own", "other")).alias("task"))
 
@@ -439,9 +729,9 @@ def _within(docs: DataFrame, text: str, key: str, family: DataFrame, contain: fl
         sets = sets.combine_chunks()
         ids, first = np.unique(np.asarray(sets["id"]), return_index=True)
         sets = sets.take(pa.array(first)).combine_chunks()
-        col = sets["set"].combine_chunks()
-        counts = np.asarray(pc.list_value_length(col)).astype(np.int64)
-        elements, own = np.asarray(col.flatten()), np.repeat(np.arange(len(ids)), counts)
+        _, elements, off = _held(sets)
+        counts = np.diff(off)
+        own = np.repeat(np.arange(len(ids)), counts)
         groups, blocks = np.asarray(sets["group"]), np.asarray(sets["own"])
         a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         for g in np.unique(groups).tolist():
@@ -450,30 +740,34 @@ def _within(docs: DataFrame, text: str, key: str, family: DataFrame, contain: fl
             left, right = halves[0], halves[-1]
             less = np.minimum(counts[left][:, None], counts[right][None, :])
             more = np.maximum(counts[left][:, None], counts[right][None, :])
-            share = overlaps(elements, own, left, right) / less
-            ok = (share >= contain) & (less >= ratio * more)
+            shared = overlaps(elements, own, left, right)
+            ok = (shared >= contain * less - 1e-9) & (less >= ratio * more)
             if len(halves) == 1:
                 ok = np.triu(ok, 1)
             i, j = np.nonzero(ok)
             x, y = ids[left[i]], ids[right[j]]
             a.append(np.minimum(x, y))
             b.append(np.maximum(x, y))
-            c.append(share[i, j])
+            c.append((shared / less)[i, j])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "containment": np.concatenate(c)})
 
-    sent = _sets(docs, text, key, placed).join(where, "id").select("task", "id", "group", "own", "set")
-    return sent.groupBy("task").applyInArrow(compare, "a long, b long, containment double")
+    sent = _sets(rows, placed).join(where, "id").select("task", "id", "group", "own", "set")
+    return sent.groupBy("task").applyInArrow(compare, LINK)
+
 
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", contain: float = 0.7, ratio: float = 0.7, recall: float = 0.99) -> DataFrame:
+    """docs with one row of each group of near_duplicates(): that of the least id (a null id comes last).
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """docs with one row of each group: the one of the least id (rows of a null id come before all others)."""
-    found, _ = near_duplicates(docs, text, key, **options)
-    ident = fresh(docs.columns, "_ident")
-    first = found.where("text_id = class_id").where(F.col(key).isNull() | (F.col(key) == F.col("text_id"))).select(F.col("text_id").alias(ident)).distinct()
-    some = docs.withColumn(ident, _ident(text, key))
-    return some.join(first, ident, "left_semi").dropDuplicates([ident]).drop(ident)
+    Rows that are equal in id and text are interchangeable.  All columns are kept as they are.
+    """
+    found = _search(docs, text, key, contain, ratio, recall, count=False)[0]
+    h, real, group = (fresh(docs.columns, x) for x in ("_h", "_real", "_group"))
+    first = found.groupBy(F.col("group").alias(group)).agg(F.min(F.struct("text_id", "h1", "real")).alias("m")).select(F.col("m.h1").alias(f"{h}1"), F.col("m.real").alias(real))
+    some = docs.withColumn(h, F.xxhash64(text))
+    return some.join(first, (F.col(h) == F.col(f"{h}1")) & F.col(key).cast(found.schema["real"].dataType).eqNullSafe(F.col(real)), "left_semi").dropDuplicates([h]).drop(h)
 
 
 def op9_containment_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, text_id, class_id, copies, n_links; see near_duplicates()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs)[0]
