@@ -12,7 +12,7 @@ def prose(seed: int, n: int = 120, lang: str = "en") -> str:
 
 
 #: Names that operators use for their own columns.
-CLASHES = ["shard", "slot", "piece", "length", "salt", "score", "predicted", "id", "n", "size", "copies", "taken", "p", "h1", "_h", "_size", "drop", "template", "line", "pos", "t", "keys", "bucket", "rank", "count", "_class", "_ident", "_salt", "_k", "_r", "_copy"]
+CLASHES = ["shard", "slot", "piece", "length", "salt", "score", "predicted", "id", "n", "size", "copies", "taken", "p", "h1", "_h", "_size", "drop", "template", "line", "pos", "t", "keys", "bucket", "rank", "count", "_class", "_ident", "_salt", "_k", "_r", "_copy", "offset", "sequence_id", "rest", "passes", "last_r", "last_id", "added", "_l", "_share", "_cell", "_low", "members", "_members", "_words", "h", "cell"]
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,5 @@
 import itertools
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -91,7 +92,68 @@ def test_mix_comes_near_its_targets_and_repeats(spark):
 
 
 def test_mix_of_odd_tables(nasty, empty):
-    sized = lambda d: d.drop("size").withColumns({"members": F.array("source"), "words": mixing.words("text")})
-    out, sources = mixing.mix(sized(nasty), size="words")
+    sized = lambda d: d.drop("size").withColumns({"belong": F.array("source"), "words": mixing.words("text")})
+    out, sources = mixing.mix(sized(nasty), "belong", size="words")
     assert out.count() == nasty.count() and sources[-1][0] is None
-    assert mixing.mix(sized(empty), size="words")[0].count() == 0
+    assert mixing.mix(sized(empty), "belong", size="words")[0].count() == 0
+    for some in (nasty, empty):
+        both, supply = mixing.shared_texts(sized(some), size="words", to="belong")
+        out, sources = mixing.mix(both, "belong", size="words", own="source", supply=supply)
+        rows = out.collect()
+        assert len(rows) == some.count() and all(r.copies <= 3 for r in rows)
+
+
+def test_texts_of_several_sources_serve_where_they_are_needed(spark):
+    r = random.Random(1)
+    rows = [(i, f"own text {i} " + "x " * r.randint(1, 30), "abc"[i % 3]) for i in range(900)]
+    rows += [(1000 + 3 * i + k, f"shared text {i} " + "y " * r.randint(1, 30), s) for i in range(200) for k, s in enumerate("ab")]
+    rows += [(5000 + i, "a hot text of many rows", "abc"[i % 2]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", mixing.words("text"))
+    both, supply = mixing.shared_texts(docs)
+    assert {tuple(x.members): x.size for x in supply.collect()}.keys() == {("a",), ("b",), ("c",), ("a", "b")}
+    out, sources = mixing.mix(both, own="source", supply=supply)
+    got = out.collect()
+    taken = Counter()
+    for x in got:
+        assert x.taken == x.copies * x.size and x.copies <= 3
+        taken[x.source] += x.taken
+    assert all(abs(taken[s] - goal) <= 10 for s, _, goal in sources) and len(got) == len(rows)
+    few, _ = mixing.mix(both, own="source", supply=supply, max_patterns=2)
+    again = Counter()
+    for x in few.collect():
+        again[x.source] += x.taken
+    assert all(abs(again[s] - goal) <= 10 for s, _, goal in sources)
+
+
+def test_flow_with_room_against_brute_force():
+    r = np.random.default_rng(2)
+    for _ in range(25):
+        supply, quota = r.integers(0, 3, 3).tolist(), r.integers(0, 4, 2).tolist()
+        members = [[0], [1], [0, 1]]
+        room = {(p, s): int(r.integers(0, 5)) for p, m in enumerate(members) for s in m}
+        flow = mixing.route(supply, members, quota, room=room)
+        best = None
+        pairs = list(room)
+        price = lambda p, v: sum(k // supply[p] * (k // supply[p] + 1) // 2 for k in range(v)) if supply[p] else 0  # noqa: B023, E731
+        for f in itertools.product(*[range((room[k] if supply[k[0]] else 0) + 1) for k in pairs]):
+            out, into = Counter(), Counter()
+            for (p, s), v in zip(pairs, f, strict=True):
+                out[p] += v
+                into[s] += v
+            if all(into[s] <= quota[s] for s in range(2)):
+                key = (-sum(f), sum(price(p, v) for p, v in out.items()))
+                best = key if best is None or key < best else best
+        out = Counter()
+        for (p, _), v in flow.items():
+            out[p] += v
+        assert (-sum(flow.values()), sum(price(p, v) for p, v in out.items())) == best and all(v <= room[k] for k, v in flow.items())
+
+
+def test_flow_of_many_patterns_is_fast():
+    import time
+
+    r = np.random.default_rng(3)
+    members = [sorted(set(r.integers(0, 40, 3).tolist())) for _ in range(5000)]
+    began = time.time()
+    flow = mixing.route(r.integers(1, 1000, 5000).tolist(), members, [60_000] * 40)
+    assert sum(flow.values()) == 40 * 60_000 and time.time() - began < 60
