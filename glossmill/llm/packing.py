@@ -147,22 +147,27 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
 def pack(items: DataFrame, capacity: int = CAPACITY, task_rows: int = 200_000, rounds: int = 6, join: int = 16) -> DataFrame:
     """items (with columns length and salt, as pieces() makes them) with sequence_id and offset.
 
-    ``task_rows`` pieces are packed by one task.  The result holds every row once; a sequence's pieces
-    lie without gaps from offset 0 and have at most ``capacity`` tokens together.  Longer pieces are an
-    error.  Only counts of partitions reach the driver.  An empty table gives an empty result.
+    A task packs about ``task_rows`` pieces.  Partitions that miss their bound exchange the pieces of
+    unfilled sequences, in groups of ``join`` partitions but of ``task_rows`` pieces at most, as long as
+    that saves sequences.  The result holds every row once; a sequence's pieces lie without gaps from
+    offset 0 and have at most ``capacity`` tokens together.  Longer pieces are an error.  Equal lengths
+    go in the order of salt; repeated rows are pieces of their own.  Other columns stay; sequence_id and
+    offset get leading underscores if they are taken.  Only counts of partitions reach the driver.  An
+    empty table gives an empty result.
     """
     names = items.columns
-    part, state = fresh(names, "_part"), fresh(names, "_state")
+    part, state, spare = (fresh(names, x) for x in ("_part", "_state", "_spare"))
+    seq, off = fresh(names, "sequence_id"), fresh(names, "offset")
     n, longest = items.agg(F.count(F.lit(1)), F.max("length")).first()
     if longest is not None and longest > capacity:
         raise ValueError(f"a piece of {longest} tokens exceeds {capacity}")
     parts = max(1, -(-n // task_rows))
-    out_names = [*names, part, "sequence_id", "offset", state]
-    added = [T.StructField(part, T.LongType()), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType()), T.StructField(state, T.IntegerType())]
+    out_names = [*names, part, seq, off, state, spare]
+    added = [T.StructField(part, T.LongType()), T.StructField(seq, T.LongType()), T.StructField(off, T.LongType()), T.StructField(state, T.IntegerType()), T.StructField(spare, T.LongType())]
     ddl = T.StructType([*items.schema.fields, *added])
 
     def settle(table_: pa.Table, level: int) -> pa.Table:
-        """Packs one partition; state 1: in a sequence that its partition would like to fill better."""
+        """Packs one partition; state 1: in a sequence that its partition would like to fill better; spare: such sequences, in the first row."""
         at = table_.schema.get_field_index("length")
         table_ = table_.sort_by([("length", "descending"), ("salt", "ascending")])
         length = np.asarray(table_.column(at)).astype(np.int64)
@@ -170,26 +175,33 @@ def pack(items: DataFrame, capacity: int = CAPACITY, task_rows: int = 200_000, r
         bins = int(where.max()) + 1 if len(where) else 0
         bound = lower_bound(np.bincount(length, minlength=capacity + 1), capacity)
         fill = np.bincount(where, weights=length, minlength=bins)
-        again = (fill < capacity)[where] & (bins > bound)
+        open_ = (fill < capacity) & (bins > bound)
         me = int(table_.column(part)[0].as_py())
-        base = (level << 56) | (me << 24) if bins < 1 << 24 else None
-        if base is None:
+        if bins >= 1 << 24:
             raise ValueError("task_rows is too large")
-        return table_.append_column("sequence_id", pa.array(base + where)).append_column("offset", pa.array(offset)).append_column(state, pa.array(again.astype(np.int32))).select(out_names)
+        base = (level << 56) | (me << 24)
+        count = np.zeros(len(where), np.int64)
+        count[:1] = open_.sum() + (bins << 32)
+        return table_.append_column(seq, pa.array(base + where)).append_column(off, pa.array(offset)).append_column(state, pa.array(open_[where].astype(np.int32))).append_column(spare, pa.array(count)).select(out_names)
 
     done: DataFrame | None = None
     todo = items.withColumn(part, F.pmod(F.xxhash64("salt"), F.lit(parts)))
+    before, open_before = None, None
     for level in range(rounds + 1):
         packed = write_shared(todo.groupBy(part).applyInArrow(_at(settle, level), ddl), f"packed-{level}")
-        stats = packed.agg(F.sum(state), F.countDistinct(F.when(F.col(state) == 1, F.col(part)))).first()
-        last = level == rounds or not stats[0] or (stats[1] <= 1)
+        loose, groups, spare_bins, bins = packed.agg(F.sum(state), F.countDistinct(F.when(F.col(state) == 1, F.col(part))), F.sum(F.col(spare) % (1 << 32)), F.sum(F.shiftright(spare, 32))).first()
+        if before is not None and bins >= before:  # nothing was won: the sequences of the round before stay
+            done = open_before if done is None else done.unionByName(open_before)
+            break
+        last = level == rounds or not loose or groups <= 1
         kept = packed if last else packed.where(F.col(state) == 0)
         done = kept if done is None else done.unionByName(kept)
         if last:
             break
-        groups = max(1, stats[1] // join)
-        todo = packed.where(F.col(state) == 1).select(*names, F.pmod(F.xxhash64("salt", F.lit(level)), F.lit(groups)).alias(part))
-    return done.select(*names, "sequence_id", "offset")
+        before, open_before = spare_bins, packed.where(F.col(state) == 1)
+        fewer = max(1, groups // join, -(-loose // task_rows))
+        todo = open_before.select(*names, F.pmod(F.xxhash64("salt", F.lit(level)), F.lit(fewer)).alias(part))
+    return done.select(*names, seq, off)
 
 
 def tokenizer_path() -> str:
@@ -199,6 +211,7 @@ def tokenizer_path() -> str:
 
 
 def op1_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     cut = write_shared(pieces(docs, tokenizer_path()), "pieces")
     return pack(cut).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

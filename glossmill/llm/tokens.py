@@ -2,7 +2,8 @@
 
 The pre-tokens of a batch are found with array arithmetic over code points, hashed, and looked up in
 a cache of encoded pre-tokens; only those not seen before are encoded.  Texts with a code point
-whose class isn't the same in every Unicode version go to the tokenizer itself.
+whose class isn't the same in every Unicode version, or that spell out a special token, go to the
+tokenizer itself.
 """
 
 from __future__ import annotations
@@ -54,10 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        special = {x["content"] for x in said.get("added_tokens", [])}
+        special = self.special = {x["content"] for x in said.get("added_tokens", [])}
         stand = _byte_of_char()
         ranks = {bytes(stand[c] for c in k): v for k, v in said["model"]["vocab"].items() if k not in special}
         self.one = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -166,6 +166,11 @@ class Encoder:
             lo, hi = heads[starts[i:j] - starts[i]], heads[ends[i:j] - starts[i]]
             low = np.minimum(cp, _TABLE - 1)
             odd = (_classes()[low] == _UNSURE) | (cp >= _TABLE)
+            for x in self.special:  # a text that spells an added token out
+                k = text.find(x)
+                while k >= 0:
+                    odd[k] = True
+                    k = text.find(x, k + 1)
             if odd.any():
                 sums = np.r_[0, np.cumsum(odd)]
                 strange = (sums[hi] - sums[lo]) > 0

@@ -16,21 +16,28 @@ def code():
     return encoder(packing.tokenizer_path())
 
 
+@pytest.fixture(scope="module")
+def public():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(packing.tokenizer_path())
+
+
 @pytest.mark.parametrize("alphabet", ["ab '\n\tsetrvldm.12é’ ,ABZ\r", "a  \n  　é中🙂'x1½\x1c͸"])
-def test_ids_are_those_of_the_tokenizer(code, alphabet):
+def test_ids_are_those_of_the_tokenizer(code, public, alphabet):
     r = random.Random(1)
-    texts = ["", None, "<|endoftext|>", *["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(800)]]
+    texts = ["", None, "<|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|><|endoftext|> b\n<|endoftext|", "<|endoftext", *["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(800)]]
     ids, n = code.encode(*as_text(pa.array(texts)), 2)
     at = np.cumsum(n)
     for t, b, k in zip(texts, at, n, strict=True):
-        assert ids[b - k : b].tolist() == [*code.whole.encode(t or "", add_special_tokens=False).ids, 2]
+        assert ids[b - k : b].tolist() == [*public.encode(t or "", add_special_tokens=False).ids, 2]
 
 
-def test_a_very_long_text_is_cut_where_no_token_is(code):
+def test_a_very_long_text_is_cut_where_no_token_is(code, public):
     r = random.Random(2)
     text = " ".join("".join(r.choice("abc'sé,1") for _ in range(r.randint(1, 9))) for _ in range(500_000))
     ids, _ = code.encode(*as_text(pa.array([text])))
-    assert ids.tolist() == code.whole.encode(text, add_special_tokens=False).ids
+    assert ids.tolist() == public.encode(text, add_special_tokens=False).ids
 
 
 def fewest(sizes, capacity):
@@ -77,14 +84,14 @@ def check(rows, documents):
     return by
 
 
-def test_pack_documents(spark, nasty, empty, code):
+def test_pack_documents(spark, nasty, empty, public):
     cut = packing.pieces(nasty, packing.tokenizer_path(), keep_ids=True)
     rows = packing.pack(cut).collect()
     check(rows, nasty.count())
     texts = {r.doc_id: r.text or "" for r in nasty.collect()}
     for r in rows:
         if r.doc_id is not None:
-            want = [*code.whole.encode(texts[r.doc_id], add_special_tokens=False).ids, 2][r.start : r.start + r.length]
+            want = [*public.encode(texts[r.doc_id], add_special_tokens=False).ids, 2][r.start : r.start + r.length]
             assert r.ids == want and r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
             assert r.length == 1024 or r.piece == 0
     assert packing.pack(packing.pieces(empty, packing.tokenizer_path())).count() == 0
@@ -99,3 +106,20 @@ def test_partitions_with_gaps_exchange_pieces(spark):
     assert few.select("sequence_id").distinct().count() <= packing.best_fit(lengths)[0].max() + 1 + 20
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 2000, 1)], "doc_id long, length long, salt long"))
+
+
+def test_exchange_stops_and_groups_stay_bounded(spark):
+    r = random.Random(5)
+    items = spark.createDataFrame([(i, r.randint(200, 400), i, "x") for i in range(6000)], "doc_id long, length long, salt long, offset string")
+    out = packing.pack(items, task_rows=500)
+    assert out.columns == ["doc_id", "length", "salt", "offset", "sequence_id", "_offset"]
+    rows = out.collect()
+    by = {}
+    for x in rows:
+        by.setdefault(x.sequence_id, []).append((x["_offset"], x.length))
+    for own in by.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(own)) and sum(own[-1]) <= 1024
+    assert sorted(x.doc_id for x in rows) == list(range(6000))
+    whole = packing.best_fit(np.array([x.length for x in rows]))[0].max() + 1
+    assert len(by) <= 1.02 * whole
