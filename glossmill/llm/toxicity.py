@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
 Voters are lexicons and patterns: a lexicon of abuse, stems mined from labelled training documents,
-their density, and the labels themselves.  A generative model over a hidden label estimates every
-voter's rates of firing by EM, and the voters' correlations given the label, by which it discounts those
-that repeat each other.  A linear classifier over stem counts is trained on the posterior labels.
+their number and density, and the absence of all of them; a voter votes toxic, clean or abstains.  A
+generative model over a hidden label estimates every voter's rates of votes by EM, without the labels,
+and the voters' correlations given the hidden label, by which it discounts those that repeat each other.
+A linear classifier over stem counts is trained on the posterior labels.  Labels serve to mine the
+voters and to tell the share of toxic documents, and for nothing else.
 """
 
 from __future__ import annotations
@@ -48,29 +50,32 @@ def _lexicon() -> np.ndarray:
     return (span_hash(prefix_sums(raw), s, e) ^ np.uint64(0x5BD1E995)).view(np.int64)
 
 
-def label_model(fires: np.ndarray, prior: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of the hidden label, the voters' log odds when they fire, and their correlations.
+def label_model(votes: np.ndarray, balance: float, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Posterior of the hidden label, the voters' log odds when they vote 1, and their correlations.
 
-    fires: 1, 0 or nan (abstains), one column a voter.  prior: first guess of the label.
+    votes: 1, 0 or -1 (abstains), one column a voter.  balance: share of label 1.  The first guess is the
+    majority of votes; a document that nobody votes for is as likely as the balance says.
     """
-    seen = ~np.isnan(fires)
-    v = np.where(seen, fires, 0.0)
-    q = np.clip(prior, 0.01, 0.99)
+    cast = [(votes == v).astype(np.float32) for v in (1, 0, -1)]
+    ups, downs = cast[0].sum(1), cast[1].sum(1)
+    prior = np.log(balance / (1 - balance))
+    q = np.where(ups > downs, 0.9, np.where(ups < downs, 0.02, balance))
+    side = cast[0] - cast[1]
     for _ in range(rounds):
-        one, zero = (q[:, None] * seen).sum(0), ((1 - q)[:, None] * seen).sum(0)
-        a = np.clip(((q[:, None] * v).sum(0) + 0.1) / (one + 0.2 + 1e-9), 1e-4, 1 - 1e-4)
-        b = np.clip((((1 - q)[:, None] * v).sum(0) + 0.01) / (zero + 2), 1e-5, 1 - 1e-4)
-        d = np.where(seen, v - (q[:, None] * a + (1 - q)[:, None] * b), 0.0)
+        one, zero = q.sum(), (1 - q).sum()
+        a = np.stack([(q @ c + 0.1) / (one + 0.3) for c in cast])
+        b = np.stack([((1 - q) @ c + w) / (zero + 0.01 + 0.1 + 0.1) for c, w in zip(cast, (0.01, 0.1, 0.1), strict=True)])
+        d = side - (np.outer(q, a[0] - a[1]) + np.outer(1 - q, b[0] - b[1])).astype(np.float32)
         sd = np.sqrt((d * d).sum(0)) + 1e-9
         corr = (d.T @ d) / np.outer(sd, sd)
         np.fill_diagonal(corr, 0)
         discount = 1 / (1 + np.maximum(corr, 0).sum(1))
-        pi = np.clip(q.mean(), 1e-3, 0.9)
-        z = np.log(pi / (1 - pi)) + (np.where(seen, v * np.log(a / b) + (1 - v) * np.log((1 - a) / (1 - b)), 0.0) * discount).sum(1)
+        odds = np.log(a / b)
+        z = prior + sum(c @ (o * discount) for c, o in zip(cast, odds, strict=True))
         before, q = q, sigmoid(z)
         if np.abs(q - before).max() < 1e-4:
             break
-    return q, np.log(a / b), corr
+    return q, odds[0], corr
 
 
 @dataclass
@@ -117,18 +122,22 @@ class Model:
         return sigmoid(out * self.cal[0][0] + self.cal[1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, text="text", key="doc_id", label="toxic", positive=2_000, negative=4_000, voters=96, features=1024) -> Model | None:
-    """Fits on about ``positive`` and ``negative`` documents of each label at most (all, if fewer).
+def learn(docs: DataFrame, labels: DataFrame, text="text", key="doc_id", label="toxic", positive=2_000, negative=4_000, unlabelled=2_000, voters=96, features=1024) -> Model | None:
+    """Fits on about ``positive`` and ``negative`` documents of each label at most (all, if fewer) and ``unlabelled`` others.
 
-    None if the labels hold fewer than two classes or nothing sets them apart.
+    None if the labels hold fewer than two classes.  Of several labels of one id the greatest counts.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
-    ids = docs.select(F.col(key).alias("_k"), F.xxhash64(F.lit("toxic"), F.col(key).cast("string")).alias("_r"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    span = 1 << 40
+    draw = lambda k: F.pmod(F.xxhash64(F.lit("toxic"), F.col(k).cast("string")), F.lit(span))
     n = {r[0]: r[1] for r in marks.groupBy("_y").count().collect()}
-    share = {1: min(1.0, positive / max(1, n.get(1, 0))), 0: min(1.0, negative / max(1, n.get(0, 0)))}
-    draw = lambda k: F.pmod(F.xxhash64(F.lit("toxic"), F.col(k).cast("string")), F.lit(1_000_000))
-    marks = marks.where(draw("_k") < F.when(F.col("_y") == 1, int(1e6 * share[1])).otherwise(int(1e6 * share[0])))
-    some = ids.join(F.broadcast(marks), "_k")  # as few as the bounds say
+    if not n.get(0) or not n.get(1):
+        return None
+    reach = {1: int(span * min(1.0, positive / n[1])), 0: int(span * min(1.0, negative / n[0])), None: int(span * min(1.0, unlabelled / max(1, docs.count())))}
+    marks = marks.where(draw("_k") < F.when(F.col("_y") == 1, reach[1]).otherwise(reach[0]))
+    ids = docs.select(F.col(key).alias("_k"), draw(key).alias("_d"), F.xxhash64(F.lit("toxic"), F.col(key).cast("string")).alias("_r"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_t"))
+    some = ids.where(F.coalesce(F.col("_d") < max(reach.values()), F.lit(False))).join(F.broadcast(marks), "_k", "left")  # marks: as few as the bounds say
+    some = some.where(F.col("_y").isNotNull() | (F.col("_d") < reach[None]))  # a labelled one beyond the sample counts as unlabelled
 
     def collect(batches):
         for batch in batches:
@@ -146,32 +155,37 @@ def learn(docs: DataFrame, labels: DataFrame, text="text", key="doc_id", label="
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.int64()), pa.array(cols, pa.list_(pa.int64())), pa.array(vals, pa.list_(pa.int32()))], ["r", "y", "words", "cols", "vals"])
 
     got = some.select("_t", "_r", "_y").mapInArrow(collect, "r long, y int, words long, cols array<long>, vals array<int>").toArrow().combine_chunks()
-    got = got.take(pa.array(np.lexsort((np.asarray(got["y"]), np.asarray(got["r"])))))
-    y = np.asarray(got["y"]).astype(int)
+    got = got.take(pa.array(np.lexsort((np.asarray(got["words"]), np.asarray(got["r"])))))
+    y = np.asarray(got["y"].fill_null(-1)).astype(int)
     if not {0, 1} <= {*y.tolist()}:
         return None
     lens = np.asarray(pyarrow.compute.list_value_length(got["cols"].combine_chunks()))
     rows = np.repeat(np.arange(len(y)), lens)
-    return fit(rows, np.asarray(got["cols"].combine_chunks().flatten()).astype(np.int64), np.asarray(got["vals"].combine_chunks().flatten()).astype(float), np.asarray(got["words"]).astype(float), y, voters, features, n)
+    return fit(rows, np.asarray(got["cols"].combine_chunks().flatten()).astype(np.int64), np.asarray(got["vals"].combine_chunks().flatten()).astype(float), np.asarray(got["words"]).astype(float), y, voters, features, n[1] / (n[0] + n[1]))
 
 
-def fit(rows, cols, vals, words, y, voters=96, features=1024, whole=None) -> Model | None:
-    """whole: numbers of labels 0 and 1 that the sample stands for."""
-    n1, n0 = max(1, (y == 1).sum()), max(1, (y == 0).sum())
-    kinds, of = np.unique(cols, return_inverse=True)
-    c1, c0 = np.bincount(of, weights=(y == 1)[rows]), np.bincount(of, weights=(y == 0)[rows])
+def _telling(of: np.ndarray, kinds: int, rows: np.ndarray, one: np.ndarray, zero: np.ndarray, most: int) -> np.ndarray:
+    """The features that tell label 1, by log-likelihood ratio; one, zero: the documents' shares of both labels."""
+    n1, n0 = max(1.0, one.sum()), max(1.0, zero.sum())
+    c1, c0 = np.bincount(of, weights=one[rows], minlength=kinds), np.bincount(of, weights=zero[rows], minlength=kinds)
     p, r1, r0 = (c1 + c0) / (n1 + n0), (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
-    g = 2 * (c1 * np.log(np.maximum(c1, 1e-9) / (n1 * p)) + c0 * np.log(np.maximum(c0, 1e-9) / (n0 * p)))
+    g = 2 * (c1 * np.log(np.maximum(c1, 1e-9) / np.maximum(n1 * p, 1e-9)) + c0 * np.log(np.maximum(c0, 1e-9) / np.maximum(n0 * p, 1e-9)))
+    good = np.flatnonzero((r1 > 2.5 * r0) & (c1 >= 1.9) & (g > 5))
+    return good[np.argsort(-g[good], kind="stable")][:most]
+
+
+def fit(rows, cols, vals, words, y, voters=96, features=1024, balance=0.1) -> Model:
+    """y: 1, 0 or -1 (no label).  balance: share of label 1 of all that the sample stands for."""
+    kinds, of = np.unique(cols, return_inverse=True)
     lexicon = _lexicon()
-    good = np.flatnonzero((r1 > 2.5 * r0) & (c1 >= 2) & (g > 5))
-    chosen = np.unique(np.r_[kinds[good[np.argsort(-g[good], kind="stable")][:features]], lexicon])
-    model = Model(chosen, np.zeros(0), 0.0, np.zeros(len(chosen), bool), (np.ones(1), 0.0))
-    counts = model.matrix(rows, cols, vals, len(y))
-    has = counts > 0
-    # voters: stems that each add toxic documents to those before, then the lexicon and densities
-    left, picked = (y == 1).astype(float), []
+    known1, known0 = (y == 1).astype(float), (y == 0).astype(float)
+    mined = kinds[_telling(of, len(kinds), rows, known1, known0, features)]
+    model = Model(np.unique(np.r_[mined, lexicon]), np.zeros(0), 0.0, np.zeros(0, bool), (np.ones(1), 0.0))
+    has = model.matrix(rows, cols, vals, len(y)) > 0
+    # voters: stems that each add toxic documents to those before, then the lexicon, numbers and densities
+    left, picked = known1.copy(), []
     gain = has.T.astype(np.float32)
-    cost = gain @ (y == 0)
+    cost = gain @ known0
     for _ in range(voters):
         best = gain @ left - 2 * cost
         k = int(best.argmax())
@@ -180,21 +194,26 @@ def fit(rows, cols, vals, words, y, voters=96, features=1024, whole=None) -> Mod
         picked.append(k)
         left = left * np.where(has[:, k], 0.5, 1)
         cost[k] = np.inf
-    model.voter[picked] = True
-    model.voter |= np.isin(chosen, lexicon) & (gain @ (y == 1) > gain @ (y == 0))
+    abusive = np.isin(model.chosen, lexicon)
+    voter = np.isin(np.arange(len(model.chosen)), picked) | (abusive & (gain @ known1 > gain @ known0))
     del gain
-    hits = counts[:, model.voter].sum(1)
-    in_lexicon = counts[:, np.isin(chosen, lexicon)].sum(1)
-    fires = np.c_[has[:, picked], in_lexicon > 0, in_lexicon > 1, hits > 1, hits > 2, hits / np.maximum(words, 1) > 0.01].astype(float)
-    fires = np.c_[fires, y.astype(float)]
-    q, _, _ = label_model(fires, np.where(y == 1, 0.95, 0.02))
-    x = model.rows(counts, words)
+    counts = model.matrix(rows, cols, vals, len(y))
+    kinds_of, hits, abuse = has[:, voter].sum(1), counts[:, voter].sum(1), counts[:, abusive].sum(1)
+    density = hits / np.maximum(words, 1)
+    patterns = [np.where(abuse > 0, 1, -1), np.where(abuse > 1, 1, -1), np.where(kinds_of > 1, 1, np.where(kinds_of == 0, 0, -1)), np.where(hits > 2, 1, -1), np.where(density > 0.01, 1, np.where((hits == 0) & (words >= 5), 0, -1)), np.where(has.any(1), -1, 0)]
+    votes = np.c_[np.where(has[:, picked], 1, -1), np.stack(patterns, 1)].astype(np.int8)
+    del has, counts
+    share = (known1.sum() + balance * (y < 0).sum()) / len(y)  # the sample isn't drawn evenly
+    q, _, _ = label_model(votes, float(np.clip(share, 1e-3, 0.9)))
+    # features of the classifier: what tells the posterior labels
+    new = np.unique(np.r_[model.chosen, kinds[_telling(of, len(kinds), rows, q, 1 - q, features)]])
+    model = Model(new, np.zeros(0), 0.0, np.isin(new, model.chosen[voter]), (np.ones(1), 0.0))
+    x = model.rows(model.matrix(rows, cols, vals, len(y)), words)
     r, c = np.nonzero(x)
-    model.weight, model.bias = fit_logistic(r, c, x[r, c], q, x.shape[1], l2=1e-6, steps=1000, rate=0.2)
+    model.weight, model.bias = fit_logistic(r, c, x[r, c], q, x.shape[1], l2=3e-4, steps=1000, rate=0.2)
     z = np.clip(x @ model.weight + model.bias, -REACH, REACH)
-    slope, shift = fit_dense(z[:, None], 0.98 * y + 0.01, l2=1e-4)
-    if whole:  # the sample's share of label 1 isn't the whole's
-        shift += np.log(max(1, whole.get(1, 0)) / max(1, whole.get(0, 0)) * n0 / n1)
+    slope, shift = fit_dense(z[:, None], 0.98 * q + 0.01, l2=1e-4)
+    shift += np.log(balance / (1 - balance)) - np.log(share / (1 - share))
     model.cal = (slope, shift) if slope[0] > 0 else (np.ones(1), 0.0)
     return model
 
@@ -218,6 +237,7 @@ def score(docs: DataFrame, model: Model | None, text="text", threshold=0.7) -> D
 
 
 def op8_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out, score, predicted; learned from rows that aren't held out."""
     held = F.coalesce(F.pmod(crc_of_id(), F.lit(3)) == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = learn(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
