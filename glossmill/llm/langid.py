@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import as_text, crc_of_id, fresh, table
 
-MOST = 64  # symbols
+TOGETHER = 8  # languages whose automata are in memory at a time
 
 
 def _fold() -> np.ndarray:
@@ -72,7 +72,7 @@ def _automata(texts: tuple[bytes, ...]) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(symbol of each byte, all transitions, root of each language, width)."""
     fold = _fold()
     count = np.bincount(fold[np.frombuffer(b"".join(texts), np.uint8)], minlength=256)
-    common = [int(b) for b in np.argsort(-count, kind="stable")[: MOST - 1] if count[b]]
+    common = [int(b) for b in np.argsort(-count, kind="stable") if count[b]]
     code = np.zeros(256, np.uint8)
     code[common] = np.arange(1, len(common) + 1)
     symbol, width = code[fold], len(common) + 1
@@ -111,29 +111,37 @@ def phrases(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, texts: tuple[
     return back
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_lang: int = 64, sample_chars: int = 8192, total_bytes: int = 98304, most_bytes: int = 24576) -> dict[str, bytes]:
-    """Training text of each non-null language, all equally long, from a bounded sample.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_lang: int = 512, piece_chars: int = 512, most_bytes: int = 24576) -> dict[str, bytes]:
+    """Training text of each non-null language, from a bounded sample of labelled rows.
 
-    The sample is about ``per_lang`` documents of each language in a hashed order, of which the first
-    ``sample_chars`` characters serve; each language gets ``most_bytes`` at most and all together
-    ``total_bytes``.  A language without any text is left out.
+    The sample is about ``per_lang`` different texts of each language at most, by the hash of the text;
+    of each, one piece of ``piece_chars`` characters from anywhere in it serves, and each language gets
+    as many pieces as fit in ``most_bytes``.  A language without any letter is left out.  Copies of a text
+    count once, and nothing depends on ids.
     """
+    code, r, d, p, t = "code", "r", "d", "p", "t"
     docs = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = docs.groupBy(lang).count().collect()
+    span = 1 << 40
+    docs = docs.select(F.col(lang).cast("string").alias(code), F.xxhash64(F.lit("langid"), text).alias(r), F.pmod(F.xxhash64(F.lit("draw"), text), F.lit(span)).alias(d), F.col(text).alias(t))
+    counts = docs.groupBy(code).agg(F.approx_count_distinct(r).alias("n")).collect()
     if not counts:
         return {}
-    spark = docs.sparkSession
-    share = spark.createDataFrame([(r[0], min(1.0, 4 * per_lang / r[1])) for r in counts], "_l string, _share double")
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(key).cast("string")), F.lit(1_000_000))
-    rows = (
-        docs.join(F.broadcast(share), F.col(lang) == F.col("_l")).withColumn("_r", draw).where(F.col("_r") < F.col("_share") * 1_000_000)
-        .select("_l", "_r", F.lower(F.substring(text, 1, sample_chars)).alias("_t")).collect()
-    )
+    share = docs.sparkSession.createDataFrame([(x[0], int(span * min(1.0, 2 * per_lang / max(1, x[1])))) for x in counts], f"{code} string, share long")
+    pieces = F.floor((F.length(t) - 1) / piece_chars) + 1
+    piece = F.lower(F.substring(F.col(t), (F.pmod(F.col(r), pieces) * piece_chars + 1).cast("int"), F.lit(piece_chars)))
+    rows = docs.join(F.broadcast(share), code).where(F.col(d) < F.col("share")).select(code, r, piece.alias(p)).groupBy(code, r).agg(F.first(p).alias(p)).collect()  # a row per different text
     by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r["_l"], r["_r"], r["_t"])):
-        by.setdefault(r["_l"], []).append(r["_t"])
-    each = min(most_bytes, total_bytes // max(1, len(by)))
-    out = {k: "\n".join(v[:per_lang]).encode()[:each] for k, v in by.items()}
+    for x in sorted(rows, key=lambda x: (x[code], x[r], x[p])):
+        by.setdefault(x[code], []).append(x[p].encode())
+    out = {}
+    for k, v in by.items():
+        some, n = [], 0
+        for x in v[:per_lang]:
+            if n + len(x) + 1 <= most_bytes and any(c.isalpha() for c in x.decode()):
+                some.append(x)
+                n += len(x) + 1
+        if some:
+            out[k] = b"\n".join(some)
     return out
 
 
@@ -155,7 +163,7 @@ def predict(docs: DataFrame, trained: dict[str, bytes], text: str = "text") -> D
     @F.arrow_udf("struct<k:int,score:double>")
     def walk(arr: pa.Array) -> pa.Array:
         raw, lo, hi = as_text(arr)
-        cost = phrases(raw, lo, hi, texts) * bits[:, None]
+        cost = np.concatenate([phrases(raw, lo, hi, texts[k : k + TOGETHER]) for k in range(0, len(texts), TOGETHER)]) * bits[:, None]
         best = cost.argmin(0)
         p = 1 / np.exp(np.maximum(-0.1 * (cost - cost.min(0)), -60)).sum(0)
         return pa.StructArray.from_arrays([pa.array(best, pa.int32()), pa.array(p)], ["k", "score"])
@@ -167,6 +175,7 @@ def predict(docs: DataFrame, trained: dict[str, bytes], text: str = "text") -> D
 
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, held_out, lang_pred, score; learned from rows that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = F.pmod(crc_of_id(), F.lit(4)) == 2
     trained = learn(docs.where(~F.coalesce(out, F.lit(False))))
