@@ -102,13 +102,15 @@ def learn(docs: DataFrame, labels: DataFrame, text="text", lang="lang", source="
 
     seeds: share of the labelled ones that both views start from; the rest calibrates.  In each of
     ``rounds`` rounds a view hands over ``share`` of the pool, in the seeds' proportion of classes.
-    None if the labels hold fewer than two classes.
+    None if the labels hold fewer than two classes.  Of several labels of one id the greatest counts;
+    rows of a null id are left out of the sample.
     """
     x, lg, sc = _views(docs, text, lang, source)
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.max(label).cast("int").alias("_y"))
     n, total = marks.count(), docs.count()
-    draw = lambda k: F.pmod(F.xxhash64(F.lit("quality"), F.col(k).cast("string")), F.lit(1_000_000))
-    known, other = int(1e6 * min(1, labelled / max(1, n))), int(1e6 * min(1, unlabelled / max(1, total)))
+    span = 1 << 40  # fine enough for any number of rows
+    draw = lambda k: F.pmod(F.xxhash64(F.lit("quality"), F.col(k).cast("string")), F.lit(span))
+    known, other = int(span * min(1, labelled / max(1, n))), int(span * min(1, unlabelled / max(1, total)))
     # the sample is drawn on both sides before they meet: the marks are as few as ``labelled`` says
     some = docs.withColumn("_r", draw(key)).where(F.col("_r") < max(known, other)).select(F.col(key).alias("_k"), "_r", x.alias("_t"), lg.alias("_l"), sc.alias("_s"))
     marks = marks.withColumn("_m", draw("_k"))
@@ -219,6 +221,7 @@ def score(docs: DataFrame, model: Model | None, text="text", lang="lang", source
 
 
 def op2_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, text_score, meta_score, quality_score, quality_pred."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = learn(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", "text_score", "meta_score", "quality_score", "quality_pred")
