@@ -2,8 +2,9 @@
 
 A line's leaf is its number of tokens and its first tokens, tokens with digits masked.  In a leaf that
 enough texts reach, a token is constant where as many texts have it at its place; other places are
-variable fields.  A template that recurs across documents is dropped from all of them.  Documents that
-consist for the most part of recurring lines, as copies of each other do, lend it no support.
+variable fields.  A template that recurs across documents is dropped from all of them; a long line
+needs fewer documents for that than a short one.  Copies of one document lend a template no support:
+what counts are texts whose other lines mostly don't recur, and differ between them.
 """
 
 from __future__ import annotations
@@ -13,68 +14,95 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table, write_shared
 
-SMALL = 500_000  # rows of a table of hashes that is broadcast
+SMALL = 200_000  # rows of one number that are broadcast
 SALTS = 16
+SKETCH = 8
 
 
-def _lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
-    """Inner join with a table of unique keys: broadcast if it is small, else salted by ``spread``."""
+def _lookup(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """Inner join with a table of different numbers: broadcast if it is small, else salted by ``spread``."""
     if right.count() <= SMALL:
-        return left.join(F.broadcast(right), keys)
+        return left.join(F.broadcast(right), key)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [*keys, "_salt"]).drop("_salt")
+    return left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+
+
+def _often(pairs: DataFrame, key: str, least) -> DataFrame:
+    """Keys that at least ``least`` different texts have."""
+    return pairs.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key)
 
 
 def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
-    """h1, h2 (of the whole text), size, pos, leaf, line (masked) of every line."""
-    white = "\t\r\x0b\x0c "
-    whole = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.xxhash64(F.col(text), F.lit(1)).alias("h2"), F.octet_length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    """h1 (of the whole text), size, pos, line (masked), n (tokens), units, leaf of every line that isn't blank.
+
+    units: tokens, or a sixth of the bytes beyond one a character where these are more (scripts
+    without spaces).
+    """
+    white = "\t\r\x0b\x0c "
+    whole = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.octet_length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     # the costly functions only for lines that need them
     odd = F.col("line").rlike(r"[\t\r\x0b\x0c0-9]")
     masked = F.regexp_replace(F.translate("line", white, " " * len(white)), r"[^ 0-9]*[0-9][^ ]*", "<*>")
-    whole = whole.withColumn("line", F.when(odd, masked).otherwise(F.col("line")))
-    spaces = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit("")))
-    return whole.withColumn("n", spaces + 1).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
-
-
-def recurring(docs: DataFrame, text: str = "text", min_docs: int = 10, depth: int = 3, min_tokens: int = 3, constant: float = 0.7, share: float = 0.5) -> DataFrame:
-    """h1, h2, drop (positions): which lines of which texts belong to recurring templates.
-
-    A template recurs if at least ``min_docs`` different texts hold it of which at most ``share`` are
-    recurring lines.  A line with fewer than ``constant`` constant tokens is its own template; lines of
-    fewer than ``min_tokens`` tokens are left alone.
+    whole = whole.withColumn("line", F.when(odd, masked).otherwise(F.col("line"))).where(F.trim("line") != "")
+    bytes_ = F.octet_length("line")
+    whole = whole.withColumn("n", bytes_ - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    units = F.greatest(F.col("n"), F.floor((bytes_ - F.length("line")) / 6).cast("int"))
+    return whole.withColumn("units", units).withColumn("leaf", F.xxhash64("n", F.substring_index("line", " ", depth)))
+
+
+def recurring(docs: DataFrame, text: str = "text", min_docs: int = 10, long_docs: int = 2, long_units: int = 50, short_docs: int = 30, min_units: int = 3, depth: int = 3, constant: float = 0.7, share: float = 0.5, alike: float = 0.25) -> DataFrame:
+    """h1, drop (positions): which lines of which texts belong to recurring templates.
+
+    A line with fewer than ``constant`` constant tokens, or in a leaf of few texts, is its own template.
+    A template needs the support of ``min_docs`` different texts: of ``long_docs`` if it has ``long_units``
+    words, of ``short_docs`` if it has fewer than ``min_units``.  A text supports it if recurring lines are
+    at most ``share`` of the rest of the text, and something else is left.  Of pairs of supporting texts
+    at most ``alike`` may agree, in the mean over SKETCH minima over the beginnings and ends of their
+    lines that don't recur; else the texts are copies of each other, and the template stays.
     """
-    lines = _lines(docs, text, depth).where(F.col("n") >= min_tokens)
-    hot = write_shared(lines.select("leaf", "h1").distinct().groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "hot-leaves")
-    some = _lookup(lines, hot, ["leaf"], ["h1", "pos"]).dropDuplicates(["h1", "h2", "pos"])
+    need = F.when(F.col("units") >= long_units, long_docs).when(F.col("units") < min_units, short_docs).otherwise(min_docs)
+    lines = _lines(docs, text, depth).withColumn("exact", F.when(F.col("units") >= long_units, F.xxhash64(F.lit(7), "line")))
+    by_leaf = _often(lines.select(F.col("leaf").alias("k"), "h1"), "k", min_docs)
+    by_line = _often(lines.where("exact is not null").select(F.col("exact").alias("k"), "h1"), "k", long_docs)
+    hot = write_shared(by_leaf.withColumn("warm", F.lit(1)).unionByName(by_line.withColumn("warm", F.lit(0))), "hot-leaves")
+    either = lines.withColumn("k", F.explode(F.array_compact(F.array("leaf", "exact"))))
+    some = _lookup(either, hot, "k", ["h1", "pos"]).groupBy("h1", "pos").agg(*[F.first(c).alias(c) for c in ("size", "line", "n", "leaf")], F.first(need).alias("need"), F.max("warm").alias("warm"))
     some = write_shared(some.withColumn("bytes", F.octet_length("line") + 1), "leaf-lines")
-    tokens = some.select("h1", "h2", "pos", "leaf", F.posexplode(F.split("line", " ")).alias("p", "token"))
-    fixed = write_shared(tokens.select("h1", "leaf", "p", "token").distinct().groupBy("leaf", "p", "token").count().where(F.col("count") >= min_docs).select("leaf", "p", "token"), "constant-tokens")
-    marked = _lookup(tokens, fixed, ["leaf", "p", "token"], ["h1", "pos"])
-    shape = marked.groupBy("h1", "h2", "pos").agg(F.count(F.lit(1)).alias("fixed"), F.array_sort(F.collect_list(F.struct("p", "token"))).alias("shape"))
-    template = F.when(F.col("fixed") >= constant * F.col("n"), F.xxhash64("leaf", F.lit(0), "shape")).otherwise(F.xxhash64("leaf", F.lit(1), "line"))
-    of = write_shared(some.join(shape, ["h1", "h2", "pos"], "left").select("h1", "h2", "pos", "size", "bytes", template.alias("template")), "templates")
-    often = of.select("template", "h1", "h2").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    of = write_shared(_lookup(of, write_shared(often, "recurring"), ["template"], ["h1", "pos"]), "recurring-lines")
-    few = of.groupBy("h1", "h2").agg(F.sum("bytes").alias("in"), F.max("size").alias("size")).where(F.col("in") <= share * F.col("size")).select("h1", "h2")
-    backed = of.join(few, ["h1", "h2"], "left_semi").select("template", "h1", "h2").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    gone = _lookup(of, write_shared(backed, "backed"), ["template"], ["h1", "pos"])
-    return write_shared(gone.groupBy("h1", "h2").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "dropped-lines")
+    tokens = some.where("warm = 1").select("h1", "pos", "leaf", F.posexplode(F.split("line", " ")).alias("p", "token")).select("h1", "pos", F.xxhash64("leaf", "p", "token").alias("k"))
+    fixed = write_shared(_often(tokens.select("k", "h1"), "k", min_docs), "constant-tokens")
+    shape = _lookup(tokens, fixed, "k", ["h1", "pos"]).groupBy("h1", "pos").agg(F.count(F.lit(1)).alias("fixed"), F.bit_xor(F.xxhash64("k")).alias("shape"))
+    template = F.when(F.col("fixed") >= constant * F.col("n"), F.xxhash64("leaf", F.lit(0), "shape", "fixed")).otherwise(F.xxhash64("leaf", F.lit(1), "line"))
+    of = write_shared(some.join(shape, ["h1", "pos"], "left").select("h1", "pos", "size", "bytes", "need", template.alias("template")), "templates")
+    often = of.select("template", "need", "h1").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("_n"), F.max("need").alias("need")).where("_n >= need").select("template")
+    of = write_shared(_lookup(of, write_shared(often, "recurring"), "template", ["h1", "pos"]), "recurring-lines")
+    own = of.groupBy("h1", "template").agg(F.sum("bytes").alias("own"), F.max("size").alias("size"), F.max("need").alias("need"))
+    inside = own.groupBy("h1").agg(F.sum("own").alias("inside"))
+    backers = own.join(inside, "h1").where(F.col("inside") - F.col("own") <= share * (F.col("size") + 1 - F.col("own"))).select("template", "h1", "need")
+    # the other lines of these texts: copies begin and end them alike
+    rest = lines.select("h1", "pos", F.xxhash64(F.substring_index("line", " ", 3)).alias("head"), F.xxhash64(F.substring_index("line", " ", -3)).alias("tail"))
+    rest = rest.join(of.select("h1", "pos"), ["h1", "pos"], "left_anti")
+    sketch = rest.groupBy("h1").agg(*[F.min(F.least(F.xxhash64(F.lit(k), "head"), F.xxhash64(F.lit(k), "tail"))).alias(f"m{k}") for k in range(SKETCH)])
+    backers = backers.join(sketch, "h1").select("template", "need", F.posexplode(F.array(*[F.col(f"m{k}") for k in range(SKETCH)])).alias("k", "m"))
+    agree = backers.groupBy("template", "k", "m").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"))
+    agree = agree.groupBy("template").agg((F.sum("c") / SKETCH).alias("many"), (F.sum(F.col("c").cast("double") * (F.col("c") - 1)) / SKETCH).alias("pairs"), F.max("need").alias("need"))
+    backed = agree.where((F.col("many") >= F.col("need")) & (F.col("pairs") <= alike * F.col("many") * (F.col("many") - 1))).select("template")
+    gone = _lookup(of, write_shared(backed, "backed"), "template", ["h1", "pos"])
+    return write_shared(gone.groupBy("h1").agg(F.array_sort(F.collect_set("pos")).alias("drop")), "dropped-lines")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """docs with the lines of recurring templates dropped from ``text``, and n_lines and n_dropped.
 
     All rows stay; a text of which every line goes becomes empty; a null text stays null (0 lines).
-    Texts without such lines are returned as they are.  Rows of equal texts get equal results.  Other
-    columns are kept.
+    Texts without such lines are returned as they are, and blank lines stay.  Rows of equal texts get
+    equal results.  Other columns are kept.
     """
     drop = recurring(docs, text, **options)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    h1, h2, salt, gone = (fresh(docs.columns, x) for x in ("_h1", "_h2", "_salt", "_drop"))
-    right = drop.select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("drop").alias(gone), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
-    left = docs.select(*names, F.xxhash64(text).alias(h1), F.xxhash64(F.col(text), F.lit(1)).alias(h2)).withColumn(salt, F.pmod(F.xxhash64(*[c for c in names if c != text] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
-    both = left.join(right, [h1, h2, salt], "left")
+    h1, salt, gone = (fresh(docs.columns, x) for x in ("_h1", "_salt", "_drop"))
+    right = drop.select(F.col("h1").alias(h1), F.col("drop").alias(gone), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
+    left = docs.select(*names, F.xxhash64(text).alias(h1)).withColumn(salt, F.pmod(F.xxhash64(*[c for c in names if c != text] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
+    both = left.join(right, [h1, salt], "left")
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     cleaned = F.when(F.col(gone).isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept)
@@ -83,5 +111,6 @@ def dedup_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
 
 
 def op4_log_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: doc_id, n_lines, n_dropped, text (without the dropped lines)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "text")

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations, pairwise
@@ -10,6 +11,7 @@ import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 import corpus_pipeline
 from glossmill.llm import media, mixing, packing, queries
@@ -83,19 +85,25 @@ def test_op3(run, docs):
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
 
 
-def templates(texts, min_docs=10, depth=3, least=3, constant=0.7, share=0.5):
+def templates(texts, min_docs=10, long_docs=2, long_units=50, short_docs=30, min_units=3, depth=3, constant=0.7, share=0.5, alike=0.25):
     """Brute force: positions of the dropped lines of each text."""
-    lines = {}
+    lines, need = {}, {}
     for t in set(texts):
         for i, line in enumerate(t.split("\n")):
             line = re.sub("[\t\r\x0b\x0c]", " ", line)
-            w = re.sub(r"[^ 0-9]*[0-9][^ ]*", "<*>", line).split(" ")
-            if len(w) >= least:
-                lines[t, i] = (tuple(w), len(line.encode()))
+            if not line.strip(" "):
+                continue
+            line = re.sub(r"[^ 0-9]*[0-9][^ ]*", "<*>", line)
+            w = tuple(line.split(" "))
+            size = len(line.encode())
+            units = max(len(w), (size - len(line)) // 6)
+            lines[t, i] = (w, size + 1)
+            need[t, i] = long_docs if units >= long_units else short_docs if units < min_units else min_docs
     leaf = lambda w: (len(w), *w[:depth])
-    reach, at = defaultdict(set), defaultdict(set)
+    reach, at, same = defaultdict(set), defaultdict(set), defaultdict(set)
     for (t, _), (w, _) in lines.items():
         reach[leaf(w)].add(t)
+        same[w].add(t)
         for p, x in enumerate(w):
             at[leaf(w), p, x].add(t)
     shape = {}
@@ -104,21 +112,35 @@ def templates(texts, min_docs=10, depth=3, least=3, constant=0.7, share=0.5):
             fixed = tuple(x if len(at[leaf(w), p, x]) >= min_docs else None for p, x in enumerate(w))
             enough = sum(x is not None for x in fixed) >= constant * len(w)
             shape[k] = (leaf(w), fixed) if enough else (leaf(w), w)
-    where = defaultdict(set)
-    for (t, _), s in shape.items():
+        elif need[k] == long_docs and len(same[w]) >= long_docs:
+            shape[k] = (leaf(w), w)
+    where, most = defaultdict(set), defaultdict(int)
+    for (t, i), s in shape.items():
         where[s].add(t)
-    often = {k: s for k, s in shape.items() if len(where[s]) >= min_docs}
-    inside = Counter()
-    for (t, i), _ in often.items():
-        inside[t] += len(" ".join(lines[t, i][0]).encode()) + 1
+        most[s] = max(most[s], need[t, i])
+    often = {k: s for k, s in shape.items() if len(where[s]) >= most[s]}
+    inside, own = Counter(), Counter()
+    for (t, i), s in often.items():
+        inside[t] += lines[t, i][1]
+        own[t, s] += lines[t, i][1]
+    x64 = lambda x, seed=42: xxhash.xxh64(x, seed=seed).intdigest()
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    ends = defaultdict(set)
+    for (t, i), (w, _) in lines.items():
+        if (t, i) not in often:
+            ends[t] |= {x64(" ".join(w[:3]).encode()), x64(" ".join(w[-3:]).encode())}
+    sketch = {t: [min(signed(x64(struct.pack("<q", signed(x)), x64(struct.pack("<i", k)))) for x in e) for k in range(8)] for t, e in ends.items()}
     back = defaultdict(set)
-    for (t, _), s in often.items():
-        if inside[t] <= share * len(t.encode()):
+    for (t, s), b in own.items():
+        if inside[t] - b <= share * (len(t.encode()) + 1 - b) and t in sketch:
             back[s].add(t)
     drop = defaultdict(set)
-    for (t, i), s in often.items():
-        if len(back[s]) >= min_docs:
-            drop[t].add(i)
+    for s, who in back.items():
+        pairs = [sum(a == b for a, b in zip(sketch[x], sketch[y], strict=True)) / 8 for x, y in combinations(sorted(who), 2)]
+        if len(who) >= most[s] and sum(pairs) <= alike * len(pairs) + 1e-12:
+            for (t, i), z in often.items():
+                if z == s:
+                    drop[t].add(i)
     return drop
 
 
@@ -163,8 +185,8 @@ def test_op7(run, docs):
 
 
 def test_op8(spark):
-    # the smallest tables have 6 toxic documents to learn from; those of sf0.01 have 33
-    sf = SF.replace("0.001", "0.01")
+    # the smallest tables have 6 toxic documents to learn from; those of sf0.1 have 305
+    sf = SF.replace("0.001", "0.1")
     every = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id"])["doc_id"].to_pylist()
     toxic = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
     rows = queries.queries()["op8_weak_supervision"](spark, sf).collect()
@@ -173,7 +195,7 @@ def test_op8(spark):
     known = [(r.score, toxic[r.doc_id]) for r in rows if r.held_out and r.doc_id in toxic]
     up, down = [s for s, y in known if y], [s for s, y in known if not y]
     area = np.mean([(a > b) + 0.5 * (a == b) for a in up for b in down])
-    assert area > 0.9 and np.mean([s >= 0.7 for s in up]) > 0.7 and np.mean([s >= 0.7 for s in down]) < 0.02
+    assert area > 0.9 and np.mean([s >= 0.7 for s in up]) > 0.7 and np.mean([s >= 0.7 for s in down]) < 0.01
 
 
 def test_op9(run, docs):
