@@ -1,9 +1,11 @@
 """Media columns: payloads as lossless WebP images and back.
 
 A payload's bytes are the green samples of opaque pixels, 576 a row; payloads of more than 16,384 rows
-become several files, one after the other.  The prefix code of the samples is fixed, so that a batch of
-images is written, and read again, with array arithmetic; the padding at the end is a back-reference.
-Images of any other making are read by the scalar decoder.
+become several files, one after the other.  An image takes the shortest of a few prefix codes made for
+kinds of text, so that a batch of images is written, and read again, with array arithmetic; the padding
+at the end is a back-reference.  Images that repeat themselves, or of few different samples, are
+written with codes of their own, back-references, and a colour cache or a palette, if that is shorter.
+These, and images of any other making, are read by the scalar decoder.
 """
 
 from __future__ import annotations
@@ -27,21 +29,42 @@ _SLICE = 1 << 20
 FEW = 96  # so many images are read one by one
 
 
-@lru_cache(1)
-def _fixed() -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(code and bits of each symbol of the green alphabet, header words, header bits)."""
-    weights = [3] * 256 + [2] * 24
+def _weights() -> list[list[int]]:
+    """How often each byte occurs in kinds of text: Latin, Cyrillic, ideographs, other scripts, any bytes."""
+    latin = [3] * 256
     for c, w in zip(b" etainosrhldcumfpgwybvk,.\n", (1800, 1250, 930, 800, 800, 760, 750, 650, 650, 500, 430, 400, 330, 300, 260, 230, 200, 190, 170, 160, 150, 100, 80, 90, 110, 60), strict=True):
-        weights[c] += w
+        latin[c] += w
     for c in range(65, 91):
-        weights[c] += 8
+        latin[c] += 8
     for c in b"0123456789!|#$%&*'\"-jxqz":
-        weights[c] += 12
+        latin[c] += 12
     for c in (0xC3, 0xE2, 0x80, 0xA9, 0xA8, 0xA4, 0xB6, 0xBC, 0xB1, 0xAD, 0xB3, 0xAA, 0xA1, 0xA7):
-        weights[c] += 40
-    weights[0xC3] += 160
-    weights[255] += 20
-    lengths = webp.huffman(weights)
+        latin[c] += 40
+    latin[0xC3] += 160
+    latin[255] += 20
+
+    def other(tail: int, lead: dict[int, int], marks: dict[int, int]) -> list[int]:
+        out = [2] * 256
+        for c in range(0x80, 0xC0):
+            out[c] = tail
+        for c, w in {32: 300, 10: 30, 44: 30, 46: 30, **lead, **marks}.items():
+            out[c] = w
+        return out
+
+    second = (0xBE, 900, 0xB5, 750, 0xB0, 700, 0xB8, 650, 0xBD, 600, 0x82, 550, 0x81, 480, 0x80, 420, 0xB2, 400, 0xBB, 390, 0xBA, 310, 0xBC, 290, 0xB4, 270, 0xBF, 250, 0x83, 230, 0x8F, 180, 0x8B, 170, 0x8C, 160)
+    cyrillic = other(60, {0xD0: 2600, 0xD1: 1700, 0xCE: 60, 0xCF: 40, 32: 1400}, dict(zip(second[::2], second[1::2], strict=True)))
+    ideographs = other(165, {0xE3: 700, 0xE4: 900, 0xE5: 1000, 0xE6: 900, 0xE7: 800, 0xE8: 700, 0xE9: 600, 0xEF: 200, 32: 20, 10: 20}, {0x80: 330, 0x81: 330, 0x82: 300, 0xBC: 250})
+    scripts = other(120, {0xD7: 500, 0xD8: 700, 0xD9: 600, 0xE0: 1500, 0xEA: 200, 0xEB: 200, 0xEC: 300, 0xED: 100, 32: 500}, {0xA4: 500, 0xA5: 400, 0xB8: 500, 0xB9: 300})
+    return [[*x, *[2] * 24] for x in (latin, cyrillic, ideographs, scripts)] + [[100] * 256 + [1] * 24]
+
+
+KINDS = 5
+
+
+@lru_cache(KINDS)
+def _fixed(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(code and bits of each symbol of the green alphabet, header words, header bits)."""
+    lengths = webp.huffman(_weights()[kind])
     codes = webp.canonical(lengths)
     out = webp.Writer()
     out.write(0, 1)  # no transform
@@ -57,9 +80,51 @@ def _fixed() -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     return code, np.array([codes[s][1] for s in range(280)], np.int64), words, n
 
 
+def _repeats(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which ranges mostly consist of what they held before: of their 8-grams, as far as drawn by hash, at most an eighth differ."""
+    size = np.maximum(hi - lo - 7, 0)
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    h = np.zeros(len(at), np.uint32)
+    for k in range(8):
+        h = h * np.uint32(0x01000193) + raw[at + k]
+    h = (h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1)
+    drawn = np.flatnonzero(h >> np.uint32(28) == 0)
+    doc = np.repeat(np.arange(len(lo)), size)[drawn]
+    both = np.unique(doc.astype(np.uint64) << np.uint64(32) | h[drawn])
+    many, different = np.bincount(doc, minlength=len(lo)), np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(lo))
+    return (many >= 16) & (8 * different <= many)
+
+
+def _special(part: np.ndarray, few: bool) -> bytes:
+    """The shortest file that the general encoder makes of a payload."""
+    full = np.full(max(1, -(-len(part) // ROW)) * ROW, 255, np.uint32)
+    full[: len(part)] = part
+    argb = (np.uint32(0xFF000000) | full << np.uint32(8)).reshape(-1, ROW)
+    return min((webp.encode(argb, **way) for way in ({}, {"cache_bits": 6}, *([{"palette": True}] if few else []))), key=len)
+
+
 def encode_frames(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[bytes]:
     """One file for each range lo:hi of raw (of at most FRAME bytes), padded with bytes 255."""
-    code, width, head, head_bits = _fixed()
+    n = len(lo)
+    size = hi - lo
+    at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    hist = np.bincount(np.repeat(np.arange(n), size) * 256 + raw[at], minlength=n * 256).reshape(n, 256)
+    bits = hist @ np.stack([_fixed(k)[1][:256] for k in range(KINDS)], 1) + np.array([_fixed(k)[3] for k in range(KINDS)])
+    kind = bits.argmin(1)
+    out: list[bytes] = [b""] * n
+    for k in np.unique(kind).tolist():
+        mine = np.flatnonzero(kind == k)
+        for x, data in zip(mine.tolist(), _encode(raw, lo[mine], hi[mine], k), strict=True):
+            out[x] = data
+    few = (hist > 0).sum(1) < 16
+    for x in np.flatnonzero((size >= 64) & (few | _repeats(raw, lo, hi))).tolist():
+        out[x] = min(out[x], _special(raw[lo[x] : hi[x]], bool(few[x])), key=len)
+    return out
+
+
+def _encode(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray, kind: int) -> list[bytes]:
+    """Like encode_frames(), with one of the fixed prefix codes."""
+    code, width, head, head_bits = _fixed(kind)
     n = len(lo)
     size = hi - lo
     rows = np.maximum(1, -(-size // ROW))
@@ -131,6 +196,17 @@ class _Shared:
         self.entry = (count.astype(np.uint64) << np.uint64(40)) | (used.astype(np.uint64) << np.uint64(32)) | packed.view("<u4")[:, 0].astype(np.uint64)
 
 
+@lru_cache(1)
+def _known() -> list[tuple[bytes, int, _Shared]]:
+    """Header, its end in bits, and tables of each fixed prefix code."""
+    out = []
+    for k in range(KINDS):
+        p = webp.stream(_encode(np.zeros(1, np.uint8), np.array([0]), np.array([1]), k)[0])[0]
+        s = _Shared(webp.Bits(p, 40))
+        out.append((p[5 : s.end >> 3], s.end, s))
+    return out
+
+
 def decode_many(files: list[bytes]) -> list[bytes]:
     """The green samples of every file's image.
 
@@ -138,16 +214,10 @@ def decode_many(files: list[bytes]) -> list[bytes]:
     """
     out: list[bytes | None] = [None] * len(files)
     groups: dict[bytes, list[int]] = {}
-    shared: list[tuple[bytes, int, _Shared]] = []
+    shared = _known()
     payloads = [webp.stream(f)[0] for f in files]
     for k, p in enumerate(payloads):
         hit = next((t for t in shared if p[5 : 5 + len(t[0])] == t[0]), None)
-        if hit is None:
-            bits = webp.Bits(p, 40)
-            s = _Shared(bits)
-            if s.codes is not None:
-                hit = (p[5 : s.end >> 3], s.end, s)
-                shared.append(hit)
         if hit is None:
             out[k] = _plain(files[k])
         else:
@@ -272,7 +342,8 @@ def encode_payloads(raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[byt
             cut = np.arange(lo[i], hi[i], FRAME)
             out.append(b"".join(f for a in cut for f in encode_frames(raw, np.array([a]), np.array([min(a + FRAME, hi[i])]))))
         else:
-            out += encode_frames(raw, lo[i:j], hi[i:j])
+            for k in range(i, j, 4096):
+                out += encode_frames(raw, lo[k : min(k + 4096, j)], hi[k : min(k + 4096, j)])
     return out
 
 
@@ -313,6 +384,7 @@ def pixels(df: DataFrame, media: str = "media", to: str = "pixels") -> DataFrame
 
 
 def op3_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document with digests of its payload as read back, of the stored form, and its features."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
