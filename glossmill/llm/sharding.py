@@ -8,6 +8,7 @@ tolerance.  Then the rows are exchanged once.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,7 +105,7 @@ def splitters(keys: DataFrame, parts: int, slack: float, total: int, whole: floa
             sums.append(n)  # sums[k + 1]: bytes below at[k]
         edges = [(0, 0), *at, top]
         for b in todo:
-            k = max(i for i in range(len(edges) - 1) if sums[i] <= b.target) if b.target < n else len(edges) - 2
+            k = min(bisect_right(sums, b.target) - 1, len(edges) - 2)
             b.lo, b.hi, b.below, b.upto = edges[k], edges[k + 1], sums[k], sums[k + 1]
             near = b.lo if b.target - b.below <= b.upto - b.target else b.hi
             if min(b.target - b.below, b.upto - b.target) <= slack:
@@ -120,65 +121,98 @@ def splitters(keys: DataFrame, parts: int, slack: float, total: int, whole: floa
     return [b.done or b.lo for b in want]
 
 
+_FULL = (1 << 64) - 1
+
+
+def _mixed(d: np.ndarray) -> np.ndarray:
+    x = (d ^ (d >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)
+
+
+class _Places:
+    """Shard and range of a row: ranges cut a shard's span of hashes evenly; those of a hot text are cut again by id."""
+
+    def __init__(self, cuts: list[tuple[int, int]], shards: int, fine: int):
+        self.sh = np.array([min(x[0], _FULL) for x in cuts], np.uint64)
+        self.sd = np.array([x[1] if x[0] <= _FULL else _FULL for x in cuts], np.uint64)
+        self.shards, self.fine = shards, fine
+        low = [0, *self.sh.tolist()][:shards] + [0] * max(0, shards - 1 - len(cuts))
+        high = [*self.sh.tolist(), _FULL][:shards] + [_FULL] * max(0, shards - 1 - len(cuts))
+        self.low = np.array(low, np.uint64)
+        self.step = np.array([min(_FULL, max(1, (b - a) // fine + 1)) for a, b in zip(low, high, strict=True)], np.uint64)
+        self.split = np.ones(shards * fine, np.int64)
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.cumsum(self.split) - self.split
+
+    def of(self, a, b) -> np.ndarray:
+        h, d = _unsigned(a), _unsigned(b)
+        s = _rank(h, d, self.sh, self.sd)
+        cell = np.minimum((h - self.low[s]) // self.step[s], np.uint64(self.fine - 1)).astype(np.int64) + s * self.fine
+        more = self.split[cell]
+        return self.first[cell] + np.where(more > 1, (_mixed(d) % more.astype(np.uint64)).astype(np.int64), 0)
+
+
 def shard(df: DataFrame, shards: int, text: str = "text", key: str = "doc_id", size=None, tolerance: float = 0.001, group_slack: float = 0.01, task_bytes: int = 1 << 28) -> DataFrame:
     """Every row of df with ``shard`` (0 .. shards-1) and ``slot`` (gapless from 0 in each shard).
 
     Law: near equal bytes.  A boundary lies within ``tolerance`` of a shard's mean size of where it
     should; a group of equal texts is divided only if it is larger than the largest row and than
-    ``group_slack`` of the mean size, and then by id.  Null texts are a group of size 8; a null id
-    sorts first; rows equal in text and id stay together; an empty table gives an empty result.
-    Other columns are kept; ``shard`` and ``slot`` get leading underscores if they are taken.
+    ``group_slack`` of the mean size, and then by id.  A task orders about ``task_bytes`` of a shard:
+    slots follow the hash of the text, and in a larger group of equal texts a hash of the id.  Null
+    texts are a group of size 8; a null id sorts first; ids that aren't whole numbers go by their hash;
+    rows equal in text and id stay together; an empty table gives an empty result.  Other columns are
+    kept; ``shard`` and ``slot`` get leading underscores if they are taken.
     """
     names = df.columns
     h, d, s = (fresh(names, x) for x in ("_h", "_d", "_size"))
     bucket, out_shard, slot = (fresh(names, x) for x in ("_bucket", "shard", "slot"))
     size = F.coalesce(F.octet_length(F.col(text)), F.lit(0)).cast("long") + 8 if size is None else size
-    low = F.lit(-(1 << 63)).cast("long")
-    df = df.withColumns({h: F.xxhash64(text), d: F.coalesce(F.col(key).cast("long"), low), s: size})
+    number = F.col(key).cast("long") if df.schema[key].dataType.typeName() in ("byte", "short", "integer", "long") else F.when(F.col(key).isNotNull(), F.xxhash64(F.col(key)))
+    df = df.withColumns({h: F.xxhash64(text), d: F.coalesce(number, F.lit(-(1 << 63)).cast("long")), s: size})
     keys = write_shared(df.select(F.col(h).alias("h"), F.col(d).alias("d"), F.col(s).alias("size")), "shard-keys")
     total, largest = keys.agg(F.sum("size"), F.max("size")).first()
     total, largest = total or 0, largest or 0
     mean = total / shards
-    fine = max(1, -(-int(mean) // task_bytes))  # ranges of a shard, each sorted by one task
-    cuts = splitters(keys, shards, tolerance * mean, total, max(largest, group_slack * mean))
-    if fine > 1:  # between the shards' own boundaries, roughly even ones
-        extra = splitters(keys, shards * fine, 0.2 * mean / fine, total, max(largest, group_slack * mean / fine))
-        inner = [x for x in extra if x not in set(cuts)]
-    else:
-        inner = []
-    at = sorted(cuts + inner)  # equal boundaries stay, as empty shards
-    sh = np.array([min(x[0], (1 << 64) - 1) for x in at], np.uint64)
-    sd = np.array([x[1] if x[0] < 1 << 64 else (1 << 64) - 1 for x in at], np.uint64)
-    own = np.zeros(len(at) + 1, np.int64)  # bucket -> shard
-    left = sorted(cuts)
-    for i in range(1, len(at) + 1):
-        own[i] = sum(1 for c in left if c <= at[i - 1]) if len(at) < 4096 else np.searchsorted(np.arange(len(left)), sum(c <= at[i - 1] for c in left))
-
-    @F.pandas_udf("int")
-    def place(a, b):
-        import pandas as pd
-
-        return pd.Series(_rank(_unsigned(a), _unsigned(b), sh, sd).astype(np.int32))
-
-    counts = {r[0]: r[1] for r in keys.groupBy(place("h", "d").alias("k")).count().collect()} if total else {}
-    base, n = {}, {}
-    for k in range(len(at) + 1):
-        base[k] = n.get(own[k], 0)
-        n[own[k]] = base[k] + counts.get(k, 0)
-    spark = df.sparkSession
-    ranges = spark.createDataFrame([(k, int(own[k]), int(base[k])) for k in range(len(at) + 1)], f"{bucket} int, {out_shard} int, {slot} long")
+    places = _Places(sorted(splitters(keys, shards, tolerance * mean, total, max(largest, group_slack * mean))), shards, max(1, -(-int(mean) // task_bytes)))
+
+    def at(a, b):
+        @F.pandas_udf("long")
+        def place(a, b):
+            import pandas as pd
+
+            return pd.Series(places.of(a, b))
+
+        return place(a, b)
+
+    def count():
+        # a row per range: as many as task_bytes are in all
+        return {r[0]: (r[1], r[2]) for r in keys.groupBy(at("h", "d").alias("k")).agg(F.count(F.lit(1)), F.sum("size")).collect()} if total else {}
+
+    counts = count()
+    hot = {k: -(-v[1] // task_bytes) for k, v in counts.items() if v[1] > 4 * task_bytes}
+    if hot:
+        places.split[list(hot)] = list(hot.values())
+        counts = count()
+    own = np.repeat(np.arange(shards), places.split.reshape(shards, -1).sum(1))
+    ranges, n = [], [0] * shards
+    for k, who in enumerate(own.tolist()):
+        ranges.append((k, who, n[who]))
+        n[who] += counts.get(k, (0, 0))[0]
     w = Window.partitionBy(bucket).orderBy(h, d)
     within = fresh(names, "_within")
     return (
-        df.withColumn(bucket, place(h, d))
+        df.withColumn(bucket, at(h, d))
         .withColumn(within, F.row_number().over(w).cast("long") - 1)
-        .join(F.broadcast(ranges), bucket)  # one row per range
+        .join(F.broadcast(df.sparkSession.createDataFrame(ranges, f"{bucket} long, {out_shard} int, {slot} long")), bucket)  # one row per range
         .withColumn(slot, F.col(slot) + F.col(within))
         .select(*names, out_shard, slot)
     )
 
 
 def op10_histogram_sort(spark, sf_dir) -> DataFrame:
+    """One row per document: doc_id, size, text_crc32, law (bytes), shard, slot, grown_shard (null)."""
     from .common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -44,6 +44,25 @@ def test_fine_ranges_keep_slots_gapless(spark):
     assert max(map(len, by.values())) - min(map(len, by.values())) < 20
 
 
+def test_a_hot_text_is_ordered_by_several_tasks(spark):
+    docs = spark.createDataFrame([(f"id{i}", "hot" * 20 if i % 3 else f"text {i}") for i in range(3000)], "doc_id string, text string")
+    rows = sharding.shard(docs, 4, task_bytes=3000).collect()
+    by = whole(rows, 4)
+    size = Counter()
+    for r in rows:
+        size[r.shard] += len(r.text) + 8
+    assert len(by) == 4 and len(rows) == 3000 and max(size.values()) - min(size.values()) <= 0.02 * sum(size.values())
+
+
+def test_splitters_of_many_shards_are_fast(spark):
+    import time
+
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    began = time.time()
+    by = whole(sharding.shard(docs, 1500).collect(), 1500)
+    assert len(by) > 1400 and time.time() - began < 120
+
+
 def test_targets_share_the_excess():
     assert mixing.targets([10, 10, 10], [1, 2, 3], 30, 3) == [5, 10, 15]
     got = mixing.targets([1, 100, 0], [1, 1, 1], 101, 3)
