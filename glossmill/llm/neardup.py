@@ -242,7 +242,7 @@ def _once(batches, size: int = 4 << 20):
     for batch in batches:
         h1 = np.asarray(batch.column(0))
         _, lo, hi = as_text(batch.column(1))
-        for i, j in runs(lo, hi, size):
+        for i, j in ((k, min(k + 10_000, y)) for x, y in runs(lo, hi, size) for k in range(x, y, 10_000)):
             _, first = np.unique(h1[i:j], return_index=True)
             new = i + np.sort(first)
             new = new[[x not in seen for x in h1[new].tolist()]]
@@ -275,7 +275,8 @@ def _met(rows: DataFrame, many: int, contain: float, ratio: float, recall: float
     the number of rows, only with that of tasks' blocks.
     """
     parts = 1 << max(4, (many * 150 * 16 // (32 << 20)).bit_length())
-    shift = np.uint64(64 - parts.bit_length() + 1)
+    own_bits = np.uint64(parts.bit_length() - 1)
+    shift = np.uint64(64) - own_bits
 
     def pack(keys, h1):
         k, h, cut = _runs_of(keys, h1)
@@ -294,10 +295,16 @@ def _met(rows: DataFrame, many: int, contain: float, ratio: float, recall: float
         at = marks >> shift
         for p in np.flatnonzero(np.diff(bound)).tolist():
             use = o[bound[p] : bound[p + 1]]
-            yield p, keys[use], h1[use], marks[at == p]
+            own, place = np.unique(h1[use], return_inverse=True)
+            # within a part, the 48 bits below its own tell keys apart; texts are numbered
+            k = (keys[use] << own_bits) >> np.uint64(16)
+            cols = np.empty((len(use), 4), np.uint16)
+            cols[:, :3] = np.stack([(k >> np.uint64(c)) & np.uint64(0xFFFF) for c in (0, 16, 32)], 1)
+            cols[:, 3] = place
+            yield p, cols, own, (marks[at == p] << own_bits) >> np.uint64(16)
 
     def sign(batches):
-        ks, hs, held = [], [], 0
+        ks, hs, ts, held = [], [], [], 0
 
         def out():
             rows_ = list(pack(np.concatenate(ks), np.concatenate(hs)))
@@ -308,11 +315,11 @@ def _met(rows: DataFrame, many: int, contain: float, ratio: float, recall: float
             full = np.flatnonzero(counts)
             if len(full):
                 keys, where = buckets(signature(elements, counts, HASHES), counts[full], contain, ratio, recall)
-                ks.append(keys), hs.append(h1[full][where])
+                ks.append(keys), hs.append(h1[full][where]), ts.append(len(full))
                 held += len(keys)
-            if held > 1 << 20:
+            if held > 1 << 21 or sum(ts) > 50_000:
                 yield out()
-                ks, hs, held = [], [], 0
+                ks, hs, ts, held = [], [], [], 0
         if held:
             yield out()
 
@@ -324,7 +331,9 @@ def _met(rows: DataFrame, many: int, contain: float, ratio: float, recall: float
                 a, b = (np.concatenate([np.frombuffer(g[c], np.int64) for g in got]) for c in (0, 1))
                 fam = np.ones(len(a), bool)
             else:
-                keys, h1 = np.concatenate([np.frombuffer(g[0], np.uint64) for g in got]), np.concatenate([np.frombuffer(g[1], np.int64) for g in got])
+                cols = [np.frombuffer(g[0], np.uint16).reshape(-1, 4) for g in got]
+                h1 = np.concatenate([np.frombuffer(g[1], np.int64)[c[:, 3]] for g, c in zip(got, cols, strict=True)])
+                keys = np.concatenate([c[:, 0].astype(np.uint64) | (c[:, 1].astype(np.uint64) << np.uint64(16)) | (c[:, 2].astype(np.uint64) << np.uint64(32)) for c in cols])
                 marks = np.unique(np.concatenate([np.frombuffer(g[2], np.uint64) for g in got]))
                 k, h, cut = _runs_of(keys, h1)
                 n = np.diff(cut)
@@ -542,12 +551,24 @@ def _hot(rows: DataFrame, many: int, sample: int = 5000, least: int = 10) -> np.
     return np.sort(np.asarray(got["element"]).astype(np.int64))
 
 
-def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: float, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(elements that the sets ask for, how many each asks for, which elements are hot, which sets are heavy).
+@lru_cache(4096)
+def sure_hits(draws: int, share64: int, recall: float) -> int:
+    """How many of ``draws`` elements are hit with a probability of at least ``recall``, if share64 / 64 of all are there; 1 at least."""
+    p = share64 / 64
+    if p >= 1:
+        return draws
+    k = np.arange(draws + 1)
+    log = np.r_[0.0, np.cumsum(np.log(np.arange(1, draws + 1)))]
+    tail = np.cumsum(np.exp(log[draws] - log[k] - log[draws - k] + k * math.log(p) + (draws - k) * math.log1p(-p)))
+    return max(1, int(np.searchsorted(tail, 1 - recall, "right")))
+
+
+def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: float, recall: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(elements that the sets ask for, how many each asks for and how many of these must be hit, which elements are hot, which sets are heavy).
 
     A set is heavy if its hot elements alone can be ``contain`` of it.  Another set asks for elements
-    that aren't hot: as many as meet a set that holds ``contain`` of it with a probability of at least
-    ``recall``, whatever hot elements that one holds.  A heavy set asks for all that aren't hot, for
+    that aren't hot; a set that holds ``contain`` of it has the hits that must be with a probability of
+    at least ``recall``, whatever hot elements it holds.  A heavy set asks for all that aren't hot, for
     what the hot ones don't find.
     """
     n = len(counts)
@@ -555,13 +576,17 @@ def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: flo
     common = hot[np.minimum(np.searchsorted(hot, elements), len(hot) - 1)] == elements if len(hot) else np.zeros(len(elements), bool)
     warm = np.bincount(own[common], minlength=n)
     rare = counts - warm
-    least = np.ceil(contain * counts - 1e-9) - warm  # of its rare elements that must be in the other set
+    least = np.ceil(contain * counts - 1e-9).astype(np.int64) - warm  # of its rare elements that must be in the other set
     heavy = (least < 1) & (counts > 0)
-    draws = np.ceil(math.log(1 - recall) / np.log1p(-np.clip(least / np.maximum(rare, 1), 1e-9, 1 - 1e-12)))
-    want = np.where(heavy, rare, np.minimum(draws, rare)).astype(np.int64)
+    share = np.where(rare > 0, 64 * np.maximum(least, 0) // np.maximum(rare, 1), 0)
+    one = np.ceil(math.log(1 - recall) / np.log1p(-np.clip(least / np.maximum(rare, 1), 1e-9, 1 - 1e-12)))
+    want = np.where(heavy, rare, np.minimum(np.where(share > 0, 4 * one, one), rare)).astype(np.int64)
+    must = np.where(heavy, 1, np.where(want == rare, least, 1))
+    for k in np.flatnonzero(~heavy & (want < rare) & (share > 0)).tolist():
+        must[k] = sure_hits(int(want[k]), int(share[k]), recall)
     order = (elements.astype(np.uint64) * _D) & _U48  # its 48 bits differ for different elements
     # those in the first part of the order are enough for most sets
-    near = np.minimum(1.0, (3 * want + 12) / np.maximum(rare, 1)) * float(1 << 48)
+    near = np.minimum(1.0, (2 * want + 16) / np.maximum(rare, 1)) * float(1 << 48)
     some = ~common & (order < near[own])
     short = np.bincount(own[some], minlength=n) < want
     if short.any():
@@ -571,13 +596,13 @@ def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: flo
     have = np.bincount(own[o], minlength=n)
     rank = np.arange(len(o)) - (np.cumsum(have) - have)[own[o]]
     use = o[rank < want[own[o]]]
-    return elements[use], np.bincount(own[use], minlength=n), common, heavy
+    return elements[use], np.bincount(own[use], minlength=n), must, common, heavy
 
 
 def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> DataFrame:
     """kind, h1, n, p, element.
 
-    0: an element that a set asks for.  1: a set of n elements with the profile p of its hot ones; element is 1 if it is heavy.
+    0: an element that a set asks for; p is the number of hits that must be.  1: a set of n elements with the profile p of its hot ones; element is 1 if it is heavy.
     2: an element of profile p.
     """
     shared = rows.sparkSession.sparkContext.broadcast(hot)
@@ -586,10 +611,10 @@ def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> D
         known: set[int] = set()
         for h1, texts in _once(batches):
             elements, counts = shingles(*as_text(texts))
-            e, m, common, heavy = asks(elements, counts, shared.value, contain, recall)
+            e, m, must, common, heavy = asks(elements, counts, shared.value, contain, recall)
             own = np.repeat(np.arange(len(counts)), counts)
             a = np.repeat(np.arange(len(counts)), m)
-            out = [(np.zeros(len(e), np.int8), h1[a], counts[a], np.zeros(len(e), np.int64), e)]
+            out = [(np.zeros(len(e), np.int8), h1[a], counts[a], must[a], e)]
             mine, hers = own[common], elements[common]
             if len(mine):
                 mixed = (hers.astype(np.uint64) ^ (hers.astype(np.uint64) >> np.uint64(23))) * _C
@@ -619,7 +644,7 @@ def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -
     A filter of all that is asked for keeps back most elements of the sets that answer, as long as it
     is small (MASK); beyond that all elements go to the join.
     """
-    asked = asked.where("kind = 0").select("h1", "n", "element").dropDuplicates(["h1", "element"])
+    asked = asked.where("kind = 0").select("h1", "n", F.col("p").alias("must"), "element").dropDuplicates(["h1", "element"])
     pages = max(1, -(-16 * asked.count() // page))
     spot = lambda e, k: (((e.astype(np.uint64) ^ (e.astype(np.uint64) >> np.uint64(17))) * (_C, _D, np.uint64(0xC2B2AE3D27D4EB4F))[k]) >> np.uint64(20)) % np.uint64(pages * page)
     shared = None
@@ -654,7 +679,8 @@ def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -
 
     held = rows.mapInArrow(answer, "hl long, nl int, element long")
     met = asked.join(held, "element").where(F.col("n") < ratio * F.col("nl"))
-    return met.select(F.col("h1").alias("small"), F.col("hl").alias("large")).distinct()
+    hits = met.groupBy("h1", "hl", "must").agg(F.count_distinct("element").alias("hits")).where("hits >= must")
+    return hits.select(F.col("h1").alias("small"), F.col("hl").alias("large"))
 
 
 def _profiles(asked: DataFrame, ratio: float, contain: float) -> tuple[DataFrame, DataFrame]:
