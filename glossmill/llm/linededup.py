@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table, write_shared
 
-SMALL = 200_000  # rows of one number that are broadcast
+SMALL = 500_000  # rows of one number that are broadcast: some 20 MB
 SALTS = 16
 SKETCH = 8
 
@@ -62,10 +62,10 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = 10, long_docs
     """
     need = F.when(F.col("units") >= long_units, long_docs).when(F.col("units") < min_units, short_docs).otherwise(min_docs)
     lines = _lines(docs, text, depth).withColumn("exact", F.when(F.col("units") >= long_units, F.xxhash64(F.lit(7), "line")))
-    by_leaf = _often(lines.select(F.col("leaf").alias("k"), "h1"), "k", min_docs)
-    by_line = _often(lines.where("exact is not null").select(F.col("exact").alias("k"), "h1"), "k", long_docs)
-    hot = write_shared(by_leaf.withColumn("warm", F.lit(1)).unionByName(by_line.withColumn("warm", F.lit(0))), "hot-leaves")
     either = lines.withColumn("k", F.explode(F.array_compact(F.array("leaf", "exact"))))
+    # leaves and long lines are counted in one pass; warm: a leaf
+    hot = either.select("k", "h1", (F.col("k") == F.col("leaf")).cast("int").alias("warm")).distinct().groupBy("k", "warm").agg(F.count(F.lit(1)).alias("_n"))
+    hot = write_shared(hot.where(F.col("_n") >= F.when(F.col("warm") == 1, min_docs).otherwise(long_docs)).select("k", "warm"), "hot-leaves")
     some = _lookup(either, hot, "k", ["h1", "pos"]).groupBy("h1", "pos").agg(*[F.first(c).alias(c) for c in ("size", "line", "n", "leaf")], F.first(need).alias("need"), F.max("warm").alias("warm"))
     some = write_shared(some.withColumn("bytes", F.octet_length("line") + 1), "leaf-lines")
     tokens = some.where("warm = 1").select("h1", "pos", "leaf", F.posexplode(F.split("line", " ")).alias("p", "token")).select("h1", "pos", F.xxhash64("leaf", "p", "token").alias("k"))
@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     h1, salt, gone = (fresh(docs.columns, x) for x in ("_h1", "_salt", "_drop"))
     right = drop.select(F.col("h1").alias(h1), F.col("drop").alias(gone), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     left = docs.select(*names, F.xxhash64(text).alias(h1)).withColumn(salt, F.pmod(F.xxhash64(*[c for c in names if c != text] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
-    both = left.join(right, [h1, salt], "left")
+    both = left.join(right.hint("merge"), [h1, salt], "left")  # its files are small, the salted table isn't
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col(gone), i)), "\n")
     cleaned = F.when(F.col(gone).isNull() | F.col(text).isNull(), F.col(text)).otherwise(kept)

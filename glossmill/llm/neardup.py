@@ -693,10 +693,15 @@ def _profiles(asked: DataFrame, ratio: float, contain: float) -> tuple[DataFrame
     has = write_shared(has, "profiled")
     heavy = has.where("heavy = 1").groupBy("p", "n").agg(F.count(F.lit(1)).alias("k"))
     sets = asked.where("kind = 2").select("p", "element").distinct()
-    ask = sets.join(heavy.select("p").distinct(), "p", "left_semi").select(F.col("p").alias("ps"), "element")
-    ask = write_shared(ask, "heavy-profiles")
-    small = ask.count() <= SMALL
-    both = sets.join(F.broadcast(ask) if small else ask, "element").groupBy("ps", "p").agg(F.count(F.lit(1)).alias("shared"))
+    # only elements of which a larger set has one that a heavy set asks for, and only in such sets
+    sizes = has.groupBy("p").agg(F.min(F.when(F.col("heavy") == 1, F.col("n"))).alias("least"), F.max("n").alias("most"))
+    sets = write_shared(sets.join(sizes, "p"), "profile-elements")
+    reach = sets.groupBy("element").agg(F.min("least").alias("mn"), F.max("most").alias("mx")).where(F.col("mn") < ratio * F.col("mx"))
+    sets = sets.join(reach.hint("shuffle_hash"), "element")
+    ask = sets.where(F.col("least") < ratio * F.col("mx")).select("element", F.col("p").alias("ps"), "least")
+    sets = sets.where(ratio * F.col("most") > F.col("mn")).select("element", "p", "most")
+    both = sets.join(ask.hint("merge"), "element").where(F.col("least") < ratio * F.col("most")).groupBy("ps", "p").agg(F.count(F.lit(1)).alias("shared"))
+    both = write_shared(both, "profile-pairs")
     # equal profiles need no comparison, but are compared all the same
     enough = F.col("shared") >= F.ceil(contain * F.col("n") - 1e-9)
     ok = write_shared(heavy.withColumnRenamed("p", "ps").join(both, "ps").where(enough).select("ps", "n", "p", "k"), "profile-links")
