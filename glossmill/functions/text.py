@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The 29 white-space code points of Unicode-aware strip().
-WHITE = "\\x{9}-\\x{d}\\x{1c}-\\x{20}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+WHITE = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def clean_lines(df: DataFrame, column: str = "text") -> DataFrame:
@@ -26,7 +26,7 @@ def docs_to_lines(df: DataFrame, text: str = "text", pos: str = "pos", line: str
 def format_number(n: Column) -> Column:
     """999 -> 999, 1500 -> 1k, 5000000 -> 5m."""
     n = n.cast("long")
-    div = lambda d: F.floor(n / d).cast("long").cast("string")
+    div = lambda d: F.call_function("div", n, F.lit(d)).cast("string")
     return F.when(n >= 1_000_000, F.concat(div(1_000_000), F.lit("m"))).when(n >= 1000, F.concat(div(1000), F.lit("k"))).otherwise(n.cast("string"))
 
 

@@ -23,7 +23,6 @@ def load(path: str):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
     return lambda texts: [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_lines
+from . import tokenize
+
 SPECIAL = ("<unk>", "<s>", "</s>", "<pad>", "<mask>")
 MARK = "▁"
 
@@ -23,7 +28,7 @@ def rejection(token: Column, freq: Column, min_frequency: int = 1, special: bool
     never = F.lit(False)
     reason = F.when(freq < min_frequency, "below_min_frequency")
     reason = reason.when(token.isin(*SPECIAL) if special else never, "special_token")
-    reason = reason.when(token.startswith("<madeupword") if special else never, "madeupword")
+    reason = reason.when(token.startswith("<madeupword") if special else never, "madeupword_token")
     reason = reason.when(token.isin(*registered) if special and registered else never, "registered_special")
     return reason.when(F.length(F.replace(token, F.lit(MARK), F.lit(""))) == 1 if single else never, "single_char")
 
@@ -65,6 +70,24 @@ def overlap(old: DataFrame, new: DataFrame) -> DataFrame:
     return per.agg(F.sum("o").alias("old_size"), F.sum("w").alias("new_size"), shared.alias("shared"), (100.0 * shared / F.nullif(F.sum("w"), F.lit(0))).alias("percent_of_new"))
 
 
+def tokenizer_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """(id, token, freq) of a public vocabulary's ids in the stripped texts; blank texts count for nothing."""
+    spark = df.sparkSession
+    pieces = spark.createDataFrame(tokenize.vocabulary_of(path), "token string, id int")  # as many as the vocabulary has
+    ids = clean_lines(df.select(F.col(text).alias("text"))).select(F.explode(tokenize.encode(F.col("text"), path)).alias("id"))
+    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("freq")).join(F.broadcast(pieces), "id").select("id", "token", "freq")
+
+
+def extract_seed_vocabulary(df: DataFrame, path: str, output: str, text: str = "text", **options) -> bool:
+    """Writes the kept tokens and counts of a public vocabulary; False, and nothing done, if the output exists."""
+    from ..sources import files
+
+    if os.path.exists(output):
+        return False
+    files.write_seed_vocabulary(seed_vocabulary(tokenizer_counts(df, path, text), **options).select("token", "freq"), output)
+    return True
+
+
 def special_tokens(config: dict | None = None, inherit: bool = True) -> dict[str, object]:
     """Names and ids of special tokens with their defaults; further ones as user_defined_symbols."""
     config = config or {}

@@ -20,7 +20,7 @@ def prepare(spark: SparkSession, config: dict, tokenizer_file: str, root: str =
 
     def make() -> DataFrame:
         presplit = not raw.where(~F.col("split").isin("train")).isEmpty()
-        rows = raw.withColumn("row_id", F.concat_ws(":", "source_idx", F.col("row_idx").cast("string")))
+        rows = raw.withColumn("row_id", F.concat_ws(":", "source_idx", F.to_json(F.struct("row_idx"))))
         rows = rows if presplit else rows.drop("split")
         return tokenize.tokenize(rows, tokenizer_file, config["training"]["max_length"], config["training"].get("dev_size"), seed=config["seed"])
 

@@ -34,7 +34,7 @@ def docs_to_lines(spark, sf):
 
 def documents_of_language(spark, sf):
     out = corpus.read_documents(spark, f"{sf}/documents.parquet", "fr")
-    return out.groupBy("split", "source_name").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).alias("n_chars"))
+    return out.select("split", "source_name", "row_idx.doc", "row_idx.pos", F.col("text").alias("line"))
 
 
 def plaintext_clean(spark, sf):
@@ -46,7 +46,7 @@ def plaintext_clean(spark, sf):
 def concat_sources(spark, sf):
     parts = [("documents", "doc_id"), ("conversations", F.col("conv_id") * 1000 + F.col("turn")), ("benchmark", "item_id")]
     out = [_t(spark, sf, n).select(F.lit("train").alias("split"), F.lit(n).alias("source_name"), (F.col(k) if isinstance(k, str) else k).alias("row_idx"), "text") for n, k in parts]
-    return corpus.concat(out).select("source_idx", "source_name", "row_idx", F.length("text").alias("n_chars"))
+    return corpus.concat(out).select("source_idx", "source_name", "row_idx", "text")
 
 
 def dir_sources(spark, sf):
@@ -143,8 +143,11 @@ def seed_vocab(spark, sf):
     return vocab.seed_vocabulary(_counts(spark, sf), **OPTIONS)
 
 
+EXTRA = (("<s>", 5), ("<mask>", 3), ("<madeupword1>", 7), ("<madeupword2>", 1), ("▁<s>", 4))
+
+
 def seed_reasons(spark, sf):
-    return vocab.reasons(_counts(spark, sf), **OPTIONS)
+    return vocab.reasons(_counts(spark, sf).unionByName(spark.createDataFrame(list(EXTRA), "token string, freq long")), **OPTIONS)
 
 
 def seed_totals(spark, sf):
@@ -185,6 +188,12 @@ def collate_pad(spark, sf):
     return c.select("doc_id", *[F.array_join(x, ",").alias(x) for x in ("input_ids", "labels", "attention_mask")])
 
 
+def token_id_counts(spark, sf):
+    import public_tokenizers
+
+    return vocab.tokenizer_counts(_docs(spark, sf), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def tokenize_public(spark, sf):
     import public_tokenizers
 
@@ -388,7 +397,7 @@ TRAIN_SQL = f"""WITH {SPLIT_SQL}, {_alloc_sql(ALPHA)},
 WORDS_SQL = "list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> '')"
 TOKENS_SQL = f"c AS (SELECT token, count(*) AS freq FROM (SELECT '▁' || unnest({WORDS_SQL}) AS token FROM documents) GROUP BY token)"
 REASON_SQL = """q AS (SELECT token, freq, CASE WHEN freq < 2 THEN 'below_min_frequency' WHEN token IN ('<unk>', '<s>', '</s>', '<pad>', '<mask>') THEN 'special_token'
-    WHEN starts_with(token, '<madeupword') THEN 'madeupword' WHEN token IN ('▁the', '▁de') THEN 'registered_special' WHEN length(replace(token, '▁', '')) = 1 THEN 'single_char' END AS reason FROM c)"""
+    WHEN starts_with(token, '<madeupword') THEN 'madeupword_token' WHEN token IN ('▁the', '▁de') THEN 'registered_special' WHEN length(replace(token, '▁', '')) = 1 THEN 'single_char' END AS reason FROM c)"""
 LOG_SQL = "g AS (SELECT 'run' || (user_id % 4) AS run, event_id AS step, " + ", ".join(f"CASE WHEN event_type = '{k}' THEN value END AS {k}" for k in ("view", "signup", "purchase", "error", "click")) + " FROM events)"
 LOSS_SQL = "g AS (SELECT user_id % 8 AS run, event_id AS step, value - 1 AS loss FROM events WHERE value IS NOT NULL)"
 PRED_SQL = f"p0 AS (SELECT lang, doc_id, {WORDS_SQL} AS w FROM documents)"
@@ -423,11 +432,11 @@ def oracle_sql() -> dict[str, str]:
     e16 = f"e AS (SELECT doc_id, list_slice(list_transform({WORDS_SQL}, lambda w: length(w)), 1, 16) AS x FROM documents)"
     return {
         "docs_to_lines": LINES_SQL,
-        "documents_of_language": "SELECT 'train' AS split, 'fr' AS source_name, count(*) AS n_lines, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE lang = 'fr')",
+        "documents_of_language": "SELECT 'train' AS split, 'fr' AS source_name, doc_id AS doc, CAST(unnest(range(len(l))) AS INTEGER) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE lang = 'fr')",
         "plaintext_clean": f"""WITH l AS ({LINES_SQL}), p AS (SELECT doc_id, pos, CASE WHEN pos % 5 = 0 THEN chr(8195) || ' ' || chr(9) ELSE chr(160) || chr(9) || line || ' ' || chr(8195) || chr(13) END AS t FROM l),
   s AS (SELECT doc_id, pos, regexp_replace(t, '^[{WHITE_SQL}]+|[{WHITE_SQL}]+$', '', 'g') AS text FROM p) SELECT * FROM s WHERE length(text) > 0""",
-        "concat_sources": """SELECT 0 AS source_idx, 'documents' AS source_name, doc_id AS row_idx, CAST(length(text) AS INTEGER) AS n_chars FROM documents
-  UNION ALL SELECT 1, 'conversations', conv_id * 1000 + turn, CAST(length(text) AS INTEGER) FROM conversations UNION ALL SELECT 2, 'benchmark', item_id, CAST(length(text) AS INTEGER) FROM benchmark""",
+        "concat_sources": """SELECT 0 AS source_idx, 'documents' AS source_name, doc_id AS row_idx, text FROM documents
+  UNION ALL SELECT 1, 'conversations', conv_id * 1000 + turn, text FROM conversations UNION ALL SELECT 2, 'benchmark', item_id, text FROM benchmark""",
         "split_fraction": f"WITH {SPLIT_SQL} SELECT * FROM s",
         "split_count": "SELECT doc_id AS row_id, CASE WHEN row_number() OVER (ORDER BY md5('1:split:all:' || doc_id), doc_id) <= 50 THEN 'dev' ELSE 'train' END AS split FROM documents",
         "alpha_probabilities": f"SELECT source, n, round(pow(n, CAST({ALPHA} AS DOUBLE)) / sum(pow(n, CAST({ALPHA} AS DOUBLE))) OVER (), 9) AS p FROM (SELECT lang AS source, count(*) AS n FROM documents GROUP BY lang)",
@@ -442,7 +451,7 @@ def oracle_sql() -> dict[str, str]:
         "subset_jsonl": f"SELECT text FROM ({subset})",
         "token_counts": f"WITH {TOKENS_SQL} SELECT token, freq FROM c",
         "seed_vocab": f"WITH {TOKENS_SQL}, {REASON_SQL} SELECT token, freq FROM q WHERE reason IS NULL",
-        "seed_reasons": f"WITH {TOKENS_SQL}, {REASON_SQL} SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY reason",
+        "seed_reasons": f"WITH {TOKENS_SQL.replace('c AS', 'c0 AS', 1)}, c AS (SELECT * FROM c0 UNION ALL VALUES {', '.join(f"('{t}', {n})" for t, n in EXTRA)}), {REASON_SQL} SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY reason",
         "seed_totals": f"WITH {TOKENS_SQL}, {REASON_SQL} SELECT count(*) AS n_tokens, CAST(sum(freq) AS BIGINT) AS total_freq FROM q WHERE reason IS NULL",
         "vocab_preview": f"WITH {TOKENS_SQL}, {REASON_SQL} SELECT token, freq FROM q WHERE reason IS NULL ORDER BY freq DESC, token LIMIT 20",
         "vocab_validation": f"WITH {TOKENS_SQL} SELECT count(*) AS n, count(DISTINCT id) AS ids, min(id) AS low, max(id) AS high FROM (SELECT row_number() OVER (ORDER BY freq DESC, token) - 1 AS id FROM c)",
@@ -490,7 +499,7 @@ SELECT row_number() OVER (ORDER BY k, name) - 1 AS pos, name AS metric FROM f"""
 def queries():
     names = """docs_to_lines documents_of_language plaintext_clean concat_sources dir_sources split_fraction split_count alpha_probabilities allocation sample_without sample_with
     multinomial_train multinomial_dev multinomial_report shuffle_order vocab_subset subset_jsonl token_counts seed_vocab seed_reasons seed_totals vocab_preview vocab_validation
-    vocab_overlap encode_truncate collate_pad tokenize_public argmax distinct_all distinct_unmasked distinct_by_lang runlog_union runlog_list runlog_series runlog_melt runlog_runs
+    vocab_overlap encode_truncate collate_pad token_id_counts tokenize_public argmax distinct_all distinct_unmasked distinct_by_lang runlog_union runlog_list runlog_series runlog_melt runlog_runs
     expand_patterns divergence early_stop unfreeze freeze_prefix cadence format_number shortname artifact_suffix path_parts config_diff embed_overlap embed_similarity embed_sparsemax
     embed_combine embed_initialise""".split()
     return {n: globals()[n] for n in names}

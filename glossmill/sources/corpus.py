@@ -1,6 +1,7 @@
 """Text corpora: one row a text, with split, source_idx, source_name and row_idx.
 
-row_idx gives the order within a source; (source_idx, row_idx) that of a union.
+row_idx gives the order within a source; (source_idx, row_idx) that of a union.  It is a number, or for
+lines of documents (doc, pos): the document's id and the line's number.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ def read_documents(spark: SparkSession, path: str, language: str, text: str = "t
     """Lines of one language's documents, as they are: neither stripped nor filtered."""
     docs = spark.read.parquet(path).where(F.col(lang) == language).select(F.col(key).alias("doc"), F.col(text).alias("text"))
     lines = docs_to_lines(docs)
-    return _named(lines.select(F.struct("doc", "pos").alias("at"), F.col("line").alias("text")).select(F.concat_ws(":", F.col("at.doc"), F.lpad(F.col("at.pos").cast("string"), 9, "0")).alias("row_idx"), "text"), 0, language)
+    return _named(lines.select(F.struct("doc", "pos").alias("row_idx"), F.col("line").alias("text")), 0, language)
 
 
 def read_plaintext(spark: SparkSession, path: str, strict: bool = True, name: str | None = None, idx: int = 0) -> DataFrame:
@@ -69,13 +70,25 @@ def read_plaintext_dir(spark: SparkSession, directory: str, pattern: str = "*.tx
 
 
 def concat(sources: list[DataFrame]) -> DataFrame:
-    """Ordered union of the sources' train rows."""
+    """Ordered union of the sources' train rows.
+
+    Where kinds of row_idx differ, all become (doc, pos), with numbers as docs; docs of several types
+    become strings, whole numbers padded so that their order stays.
+    """
     if not sources:
         raise ValueError("the list of sources is empty")
     parts = [s.where("split = 'train'").withColumn("source_idx", F.lit(i)) for i, s in enumerate(sources)]
-    common = "string" if len({dict(p.dtypes)["row_idx"] for p in parts}) > 1 else None
-    if common:
-        parts = [p.withColumn("row_idx", F.col("row_idx").cast("string")) for p in parts]
+    if len({dict(p.dtypes)["row_idx"] for p in parts}) > 1:
+        parts = [p if dict(p.dtypes)["row_idx"].startswith("struct") else p.withColumn("row_idx", F.struct(F.col("row_idx").alias("doc"), F.lit(0).alias("pos"))) for p in parts]
+        kinds = [p.select("row_idx.doc").dtypes[0][1] for p in parts]
+        number = lambda k: k in ("tinyint", "smallint", "int", "bigint")
+        for i, (p, k) in enumerate(zip(parts, kinds, strict=True)):
+            doc = F.col("row_idx.doc")
+            if all(map(number, kinds)):
+                doc = doc.cast("long")
+            elif number(k):
+                doc = F.lpad(doc.cast("string"), 20, "0")
+            parts[i] = p.withColumn("row_idx", F.struct(doc.cast("long" if all(map(number, kinds)) else "string").alias("doc"), F.col("row_idx.pos").cast("int").alias("pos")))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -87,7 +100,7 @@ def mixture(sources: list[DataFrame], names: list[str], alpha: float, total_samp
         raise ValueError("two sources have one name")
     if bad := [n for n in names if n in RESERVED]:
         raise ValueError(f"{bad[0]} is a reserved name")
-    all_ = concat(sources).withColumn("source", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("source_idx") + 1)).withColumn("row_id", F.col("row_idx").cast("string"))
+    all_ = concat(sources).withColumn("source", F.element_at(F.array(*[F.lit(n) for n in names]), F.col("source_idx") + 1)).withColumn("row_id", F.to_json(F.struct("row_idx")))
     train, dev, _ = sampling.multinomial(all_, alpha, total_samples, dev_size, seed=seed)
     cols = ["source_idx", F.col("source").alias("source_name"), "row_idx", "text"]
     return train.select(F.lit("train").alias("split"), *cols, "shuffle_key").unionByName(dev.select(F.col("source").alias("split"), *cols, F.lit(None).cast("string").alias("shuffle_key")))

@@ -71,10 +71,14 @@ def read_run_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_raw_log(spark: SparkSession, path: str, skip_lines: int = 0) -> DataFrame:
-    """Log lines that hold one dictionary each, with single quotes; run is the file's stem."""
+    """Log lines that hold one dictionary each, with single quotes; run is the file's stem.
+
+    A line that holds anything else is an error, as soon as the lines are read.
+    """
     text = spark.read.text(path, wholetext=True).select(file_stem(F.col("_metadata.file_path")).alias("run"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
     lines = text.where((F.col("at") >= skip_lines) & (F.trim("line") != "")).select("run", F.translate("line", "'", '"').alias("line"))
-    logged = lines.select("run", F.from_json("line", "map<string,string>").alias("m")).where("m is not null")
+    logged = lines.select("run", F.from_json("line", "map<string,string>").alias("m"), "line")
+    logged = logged.select("run", F.coalesce("m", F.raise_error(F.concat(F.lit("not a log line: "), "line")).cast("map<string,string>")).alias("m"))
     names = sorted(r[0] for r in logged.select(F.explode(F.map_keys("m"))).distinct().collect())
     if not names:
         return logged.select("run")

@@ -72,7 +72,7 @@ def test_reasons_in_order(spark):
     counts = spark.createDataFrame([("<s>", 1), ("<s>x", 5), ("<mask>", 5), ("<madeupword3>", 5), ("▁reg", 5), ("▁a", 5), ("▁", 5), ("▁ok", 5)], "token string, freq long")
     r = vocab.rejection(F.col("token"), F.col("freq"), min_frequency=2, single=True, registered=("▁reg",))
     got = {x.token: x.r for x in counts.select("token", r.alias("r")).collect()}
-    assert got == {"<s>": "below_min_frequency", "<s>x": None, "<mask>": "special_token", "<madeupword3>": "madeupword", "▁reg": "registered_special", "▁a": "single_char", "▁": None, "▁ok": None}
+    assert got == {"<s>": "below_min_frequency", "<s>x": None, "<mask>": "special_token", "<madeupword3>": "madeupword_token", "▁reg": "registered_special", "▁a": "single_char", "▁": None, "▁ok": None}
 
 
 def test_special_tokens_and_algorithms():
@@ -159,3 +159,44 @@ def test_auxiliary_vectors(spark):
     df = spark.createDataFrame([(["a", "b", "c", "rare"] if i == 0 else ["a", "b", "c"],) for i in range(10)], "tokens array<string>")
     got = {r.token: r.aux for r in embed.auxiliary(df, dim=8).collect()}
     assert set(got) == {"a", "b", "c"} and all(len(v) == 8 for v in got.values())
+
+
+def test_counts_of_a_public_vocabulary(spark, tmp_path):
+    import public_tokenizers
+    import sentencepiece
+    from collections import Counter
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["  the house  ", "", None, " \u2003 ", "the river and the house", "été"]
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    want = Counter(i for t in texts if t and t.strip() for i in model.encode(t.strip()))
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = vocab.tokenizer_counts(df, path).collect()
+    assert {r.id: r.freq for r in got} == want and all(model.id_to_piece(r.id) == r.token for r in got)
+    out = str(tmp_path / "seed.tsv")
+    assert vocab.extract_seed_vocabulary(df, path, out, min_frequency=2) and not vocab.extract_seed_vocabulary(df, path, out)
+    with open(out, encoding="utf-8") as f:
+        assert [x.rstrip("\n").split("\t") for x in f] == [[model.id_to_piece(i), str(n)] for i, n in sorted(want.items(), key=lambda x: (-x[1], model.id_to_piece(x[0]))) if n > 1]
+
+
+def test_lines_of_documents_are_in_numeric_order(spark, tmp_path):
+    from glossmill.sources import corpus
+
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(i, "\n".join(f"{i}-{k}" for k in range(12)), "en") for i in (9, 10, 100, 1)], "doc_id long, text string, lang string").write.parquet(path)
+    docs = corpus.read_documents(spark, path, "en")
+    want = [f"{i}-{k}" for i in (1, 9, 10, 100) for k in range(12)]
+    assert [r.text for r in docs.orderBy("row_idx").collect()] == want
+    other = docs.select("split", "source_idx", "source_name", F.monotonically_increasing_id().alias("row_idx"), "text").where("text = '1-0'")
+    both = corpus.concat([docs, other])
+    assert [r.text for r in both.orderBy("source_idx", "row_idx").collect()] == [*want, "1-0"]
+
+
+def test_a_log_line_of_another_kind_is_an_error(spark, tmp_path):
+    from glossmill.sources import files
+
+    path = str(tmp_path / "a.log")
+    with open(path, "w") as f:
+        f.write("{'loss': 1.5, 'step': 1}\nTraining ended\n")
+    with pytest.raises(Exception, match="not a log line"):
+        files.read_raw_log(spark, path).collect()
