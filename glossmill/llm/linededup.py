@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, table, write_shared
 
-SMALL = 500_000  # rows of one number that are broadcast: some 20 MB
+SMALL = 2_000  # rows of one number that are broadcast, which the driver holds several times
 SALTS = 16
 SKETCH = 8
 
@@ -24,7 +24,8 @@ def _lookup(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> D
     if right.count() <= SMALL:
         return left.join(F.broadcast(right), key)
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"]).drop("_salt")
+    # its files may be small enough for Spark to broadcast them; the salted table isn't
+    return left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
 def _often(pairs: DataFrame, key: str, least) -> DataFrame:
@@ -80,7 +81,7 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = 10, long_docs
     backers = own.join(inside, "h1").where(F.col("inside") - F.col("own") <= share * (F.col("size") + 1 - F.col("own"))).select("template", "h1", "need")
     # the other lines of these texts: copies begin and end them alike
     rest = lines.select("h1", "pos", F.xxhash64(F.substring_index("line", " ", 3)).alias("head"), F.xxhash64(F.substring_index("line", " ", -3)).alias("tail"))
-    rest = rest.join(of.select("h1", "pos"), ["h1", "pos"], "left_anti")
+    rest = rest.join(of.select("h1", "pos").hint("merge"), ["h1", "pos"], "left_anti")
     sketch = rest.groupBy("h1").agg(*[F.min(F.least(F.xxhash64(F.lit(k), "head"), F.xxhash64(F.lit(k), "tail"))).alias(f"m{k}") for k in range(SKETCH)])
     backers = backers.join(sketch, "h1").select("template", "need", F.posexplode(F.array(*[F.col(f"m{k}") for k in range(SKETCH)])).alias("k", "m"))
     agree = backers.groupBy("template", "k", "m").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("need"))

@@ -69,6 +69,15 @@ def sets(texts):
     return [set(e[b - k : b].tolist()) for b, k in zip(at, n, strict=True)]
 
 
+def test_large_lookups_are_not_broadcast(spark, tmp_path):
+    # 600,000 numbers make files of less than Spark's threshold, but many salted rows
+    spark.range(600_000).select((F.col("id") * 2).alias("k")).write.parquet(f"{tmp_path}/right")
+    left = spark.range(1000).select(F.col("id").alias("k"), F.col("id").alias("pos"))
+    got = linededup._lookup(left, spark.read.parquet(f"{tmp_path}/right"), "k", ["pos"])
+    assert got.count() == 500
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shingles_against_brute_force():
     for t, s in zip(texts := [prose(3, 50), "", None, "one two", "a b c a b c", "x"], sets(texts), strict=True):
         w = (t or "").split()
