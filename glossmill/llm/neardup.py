@@ -18,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,10 +33,11 @@ _A = (_rng.integers(0, 1 << 31, HASHES) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xD6E8FEB86659FD93)
-SMALL = 200_000  # rows of a few numbers that are broadcast or gathered
+SMALL = 200_000  # rows of one number that are broadcast
+EDGES = 20_000  # edges that the driver joins
 FULL = 200  # members of larger buckets meet in blocks of families, not in emitted pairs
 LOCAL = 64  # members of a bucket that one task sends on; of more, their edges and one member
-MASK = 64 << 20  # bytes of the broadcast filter of what is asked for
+MASK = 64 << 20  # bytes of the filter of what is asked for, which tasks read from the shared folder
 HOT = 1 << 20  # elements of many texts that are known to every task
 TASK = 16 << 20  # bytes of texts whose sets meet in one task
 _U48 = np.uint64((1 << 48) - 1)
@@ -209,14 +211,14 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     """id, group: the least id of each connected component of the edges (a, b).
 
     In each round a vertex joins its least neighbour and the edges are contracted, so that they shrink
-    to nothing; once they are at most SMALL, the driver joins the rest.
+    to nothing; once they are at most EDGES, the driver joins the rest.
     """
     spark = edges.sparkSession
     label = None
     edges = write_shared(edges.select("a", "b").where("a <> b").distinct(), "edges")
     for _ in range(most):
         many = edges.count()
-        if many <= SMALL:
+        if many <= EDGES:
             got = edges.toArrow()
             rest = gather(np.asarray(got["a"]), np.asarray(got["b"])) if many else {}
             small = spark.createDataFrame(pa.table({"id": pa.array(list(rest), pa.int64()), "group": pa.array(list(rest.values()), pa.int64())}))
@@ -638,17 +640,28 @@ def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> D
     return rows.mapInArrow(run, "kind byte, h1 long, n int, p long, element long")
 
 
+def _mask(files: list[str], page: int, pages: int) -> np.ndarray:
+    """The bits of the pages that the Parquet files hold."""
+    out = np.zeros(pages * page // 8, np.uint8)
+    for f in files:
+        t = pq.read_table(f, columns=["page", "bits"])
+        for k, bits in zip(t["page"].to_pylist(), t["bits"], strict=True):
+            out[k * page // 8 : (k + 1) * page // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+    return out
+
+
 def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -> DataFrame:
     """small, large: candidates of sizes further apart than ``ratio``.
 
     A filter of all that is asked for keeps back most elements of the sets that answer, as long as it
-    is small (MASK); beyond that all elements go to the join.
+    is small (MASK); beyond that all elements go to the join.  It lies in the shared folder: the driver
+    never holds it.
     """
     asked = asked.where("kind = 0").select("h1", "n", F.col("p").alias("must"), "element").dropDuplicates(["h1", "element"])
     pages = max(1, -(-16 * asked.count() // page))
     spot = lambda e, k: (((e.astype(np.uint64) ^ (e.astype(np.uint64) >> np.uint64(17))) * (_C, _D, np.uint64(0xC2B2AE3D27D4EB4F))[k]) >> np.uint64(20)) % np.uint64(pages * page)
-    shared = None
-    if pages * page // 8 <= MASK:
+    files: list[str] = []
+    if masked := pages * page // 8 <= MASK:
 
         def bits(batches):
             for batch in batches:
@@ -662,18 +675,16 @@ def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -
             return pa.table({"page": group["page"].slice(0, 1), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
 
         filled = asked.select("element").mapInArrow(bits, "page long, bit int").groupBy("page").applyInArrow(fill, "page long, bits binary")
-        mask = np.zeros(pages * page // 8, np.uint8)
-        for r in filled.toLocalIterator():
-            mask[r.page * page // 8 : (r.page + 1) * page // 8] = np.frombuffer(r.bits, np.uint8)
-        shared = rows.sparkSession.sparkContext.broadcast(mask)
+        files = write_shared(filled, "asked-mask").inputFiles()
 
     def answer(batches):
+        mask = _mask(files, page, pages) if masked else None
         for h1, texts in _once(batches):
             elements, counts = shingles(*as_text(texts))
             at = np.arange(len(elements))
-            for k in range(3 if shared else 0):
+            for k in range(3 if masked else 0):
                 x = spot(elements[at], k).astype(np.int64)
-                at = at[(shared.value[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1]
+                at = at[(mask[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1]
             own = np.repeat(np.arange(len(counts)), counts)[at]
             yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(counts[own].astype(np.int32)), pa.array(elements[at])], ["hl", "nl", "element"])
 

@@ -227,6 +227,18 @@ def test_components(spark):
     assert {got[i] for i in range(31)} == {0} and {got[i] for i in (90, 100, 101)} == {90}
 
 
+def test_the_driver_holds_few_edges_and_no_filter(spark, monkeypatch):
+    joined, sent, gather, broadcast = [], [], neardup.gather, spark.sparkContext.broadcast
+    monkeypatch.setattr(neardup, "gather", lambda a, b: joined.append(len(a)) or gather(a, b))
+    pairs = spark.range(25_000).select((F.col("id") * 2).alias("a"), (F.col("id") * 2 + 1).alias("b"))
+    label = neardup.components(pairs)
+    assert label.where("group = id - id % 2").count() == label.count() == 50_000 and sum(joined) <= 20_000
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda x: sent.append(x.dtype) or broadcast(x))
+    docs = spark.createDataFrame([(0, prose(1, 60)), (1, prose(1, 60) + "\n" + prose(2, 600)), (2, prose(3, 600))], "doc_id long, text string")
+    assert [(r.a, r.b) for r in neardup.near_duplicates(docs)[1].collect()] == [(0, 1)]
+    assert sent == [np.int64]  # the elements of many texts
+
+
 def test_near_duplicates_of_odd_tables(nasty, empty):
     kept = neardup.keep_one(nasty)
     assert kept.columns == nasty.columns
