@@ -11,6 +11,7 @@ from __future__ import annotations
 import heapq
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -180,71 +181,88 @@ def _code(pattern):
     return F.to_json(F.struct(pattern.alias("p")), {"ignoreNullFields": "false"})
 
 
+def _plan(cells, at: dict, goal: list[float], own: bool, most: int) -> list[tuple]:
+    """(p, own, whole passes, words beyond these) of each cell, by the flow; cells: (p, own, size, members, told)."""
+    cells = sorted(cells, key=lambda x: (x[0], x[1] is None, x[1] or ""))
+    place: dict[str, int] = {}
+    full: list[int] = []
+    told: list[int | None] = []
+    belong: list[list[int]] = []
+    room: dict[tuple[int, int], int] = {}
+    for p, mine, size, members, words_of in cells:
+        if p not in place:
+            place[p] = len(full)
+            full.append(0), told.append(words_of), belong.append([])
+        k = place[p]
+        full[k] += size
+        for s in [mine] if own else members:
+            belong[k].append(at[s])
+            room[k, at[s]] = most * size
+    flow = route([min(f, t or f) for f, t in zip(full, told, strict=True)], belong, [round(g) for g in goal], tuple(k * (k + 1) // 2 for k in range(most)), room if own else None)
+    use: dict[tuple[int, int | None], int] = {}
+    for (p, s), v in flow.items():
+        k = (p, s if own else None)
+        use[k] = use.get(k, 0) + v
+    out = []
+    for p, mine, size, _, _ in cells:
+        v = use.get((place[p], at[mine] if own else None), 0)
+        whole = min(most, v // size) if size else 0
+        out.append((p, mine, whole, v - whole * size))
+    return out
+
+
+PLAN = "p string, own string, passes int, rest long"
+
+
 def mix(docs: DataFrame, members: str = "members", size: str = "size", key: str = "doc_id", own: str | None = None, supply: DataFrame | None = None, weights=None, most: int = 3, seed: int = 1, rounds: int = 4, bits: int = 12, max_patterns: int = 50_000) -> tuple[DataFrame, list[tuple]]:
     """docs with ``taken`` (words the mix takes, whole documents, repeats counted) and ``copies``.
 
     members: array of the sources that hold a document (null or empty: the source null).  own: column of
     the one source that a row belongs to, where several rows hold a text (see shared_texts(), which also
-    makes ``supply``); without it a row serves any of its members.  weights: function of the sorted
-    sources, default 1, 2, 3 repeating.  The ``max_patterns`` patterns of most words take part in the
-    flow as they are; any other document counts as its own source's (without ``own``: its first
-    member's) alone, so that the driver only holds a bounded table and the targets are still met.
+    makes ``supply``); without it a row serves any of its members.  All patterns take part in the flow:
+    where patterns by own source are at most ``max_patterns``, the flow runs in the driver and what it
+    gives is broadcast; of more, it runs in one task and is joined, so that the driver never holds them.
     Documents of size 0 are neither needed nor dropped: they follow their pattern's whole passes.  Ties
     in the seeded order go by id; rows equal in id and size are interchangeable.  An empty table gives an
     empty result.  Returns (docs, sources) where sources lists (source, size, target).
     """
     spark = docs.sparkSession
     names = docs.columns
-    cell, r, low = (fresh(names, x) for x in ("_cell", "_r", "_low"))
+    cell, r = (fresh(names, x) for x in ("_cell", "_r"))
     pattern = F.when(F.coalesce(F.size(members), F.lit(0)) <= 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(members)))
     mine = F.col(own).cast("string") if own else F.lit(None).cast("string")
     draw = F.xxhash64(F.lit(seed), F.col(key), F.lit("mix"))
     keys = write_shared(docs.select(_code(pattern).alias("p"), mine.alias("own"), F.col(size).cast("long").alias("size"), draw.alias("r"), F.col(key).cast("string").alias("id"), pattern.alias("members")), "mix-keys")
-    totals = write_shared(keys.groupBy("p", "own").agg(F.sum("size").alias("size"), F.first("members").alias("members")), "mix-totals")
-    rare = None
-    if totals.count() > max_patterns:
-        kept = totals.groupBy("p").agg(F.sum("size").alias("size")).orderBy(F.desc("size"), "p").limit(max_patterns).select("p")
-        kept = write_shared(kept, "mix-patterns").withColumn("kept", F.lit(True))
-        rare = lambda df, p: df.join(F.broadcast(kept.withColumnRenamed("p", p)), p, "left")
-        alone = F.array(F.col("own") if own else F.element_at("members", 1))
-        one = lambda df: rare(df, "p").withColumn("members", F.when(F.col("kept"), F.col("members")).otherwise(alone)).withColumn("p", _code(F.col("members"))).drop("kept")
-        keys = write_shared(one(keys), "mix-keys")
-        totals = one(totals).groupBy("p", "own").agg(F.sum("size").alias("size"), F.first("members").alias("members"))
-    keys = keys.withColumn("cell", F.concat("p", _code(F.col("own"))))
-    got = sorted(totals.collect(), key=lambda x: (x["p"], x["own"] is None, x["own"] or ""))
-    patterns = sorted({x["p"]: x["members"] for x in got}.items())
-    place = {p: i for i, (p, _) in enumerate(patterns)}
-    sources = by_code_point({s for _, m in patterns for s in m} if not own else {x["own"] for x in got})
+    totals = keys.groupBy("p", "own").agg(F.sum("size").alias("size"), F.first("members").alias("members"))
+    if supply is None:
+        totals = totals.withColumn("told", F.lit(None).cast("long"))
+    else:
+        totals = totals.join(supply.select(_code(F.col("members")).alias("p"), F.col("size").cast("long").alias("told")), "p", "left")
+    totals = write_shared(totals, "mix-totals")
+    keys = keys.withColumn("cell", F.concat("p", _code(F.col("own")))).drop("members")
+    of = totals.select(F.col("own") if own else F.explode("members").alias("own"), "size").groupBy("own").agg(F.sum("size").alias("size"))
+    sizes = {x["own"]: x["size"] for x in of.collect()}
+    sources = by_code_point(list(sizes))
     at = {s: i for i, s in enumerate(sources)}
-    sizes, full, room = [0] * len(sources), [0] * len(patterns), {}
-    for x in got:
-        full[place[x["p"]]] += x["size"]
-        for s in [x["own"]] if own else x["members"]:
-            sizes[at[s]] += x["size"]
-            room[place[x["p"]], at[s]] = most * x["size"]
-    words_of = full
-    if supply is not None:
-        told = {x["p"]: x["size"] for x in supply.select(_code(F.col("members")).alias("p"), "size").join(F.broadcast(spark.createDataFrame([(p,) for p, _ in patterns], "p string")), "p").collect()} if patterns else {}
-        words_of = [min(f, told.get(p) or f) for (p, _), f in zip(patterns, full, strict=True)]
-    total = sum(x["size"] for x in got)
-    weigh = weights or (lambda names: [1 + i % 3 for i in range(len(names))])
-    goal = targets(sizes, weigh(sources), total, most)
-    belong: list[list[int]] = [[] for _ in patterns]
-    for p, s in room:
-        belong[p].append(s)
-    flow = route(words_of, belong, [round(g) for g in goal], tuple(k * (k + 1) // 2 for k in range(most)), room if own else None)
-    use: dict[tuple[int, int | None], int] = {}
-    for (p, s), v in flow.items():
-        k = (p, s if own else None)
-        use[k] = use.get(k, 0) + v
-    plan = []
-    for x in got:
-        v = use.get((place[x["p"]], at[x["own"]] if own else None), 0)
-        whole = min(most, v // x["size"]) if x["size"] else 0
-        plan.append((x["p"], x["own"], whole, v - whole * x["size"]))
-    small = spark.createDataFrame(plan, "p string, own string, passes int, rest long").withColumn("cell", F.concat("p", _code(F.col("own")))).drop("p", "own")
-    picks = small.join(_choose(keys, small, rounds, bits), "cell", "left")  # as many rows as cells
-    took = {c: fresh([*names, cell, r, low], f"_{c}") for c in ("passes", "rest", "bucket", "last_r", "last_id", "added")}
+    total = totals.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    goal = targets([sizes[s] for s in sources], (weights or (lambda names: [1 + i % 3 for i in range(len(names))]))(sources), total, most)
+    cells = totals.select("p", "own", "size", "members", "told")
+    one = own is not None
+    if totals.count() <= max_patterns:
+        near = F.broadcast
+        small = spark.createDataFrame(_plan([tuple(x) for x in cells.collect()], at, goal, one, most), PLAN)
+    else:
+        near = lambda df: df.hint("merge")
+
+        def run(group: pa.Table) -> pa.Table:
+            got = _plan(zip(*[c.to_pylist() for c in group.columns], strict=True), at, goal, one, most)
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+            return pa.table([pa.array([x[k] for x in got], t) for k, t in enumerate(kinds)], names=["p", "own", "passes", "rest"])
+
+        small = write_shared(cells.groupBy().applyInArrow(run, PLAN), "mix-plan")
+    small = small.withColumn("cell", F.concat("p", _code(F.col("own")))).drop("p", "own")
+    picks = small.join(_choose(keys, small, rounds, bits, near), "cell", "left")  # as many rows as cells
+    took = {c: fresh([*names, cell, r], f"_{c}") for c in ("passes", "rest", "bucket", "last_r", "last_id", "added")}
     picks = picks.select(F.col("cell").alias(cell), *[F.col(c).alias(n) for c, n in took.items()])
     t = {c: F.col(n) for c, n in took.items()}
     r_, k_ = F.col(r), F.col(key).cast("string")
@@ -253,52 +271,50 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", key: str
     under = (bucket < first) | ((bucket == first) & (F.struct(r_, k_) <= F.struct(t["last_r"], t["last_id"])))
     extra = F.coalesce(F.array_contains(t["added"], F.struct(r_.alias("r"), k_.alias("id"))), F.lit(False))
     copies = t["passes"] + F.when((t["rest"] > 0) & (F.coalesce(under, F.lit(False)) | extra), 1).otherwise(0)
-    out = docs.withColumns({low: _code(pattern), r: draw})
-    if rare:
-        out = rare(out, low).withColumn(low, F.when(F.col("kept"), F.col(low)).otherwise(_code(F.array(mine if own else F.element_at(pattern, 1)))))
-    out = out.withColumn(cell, F.concat(F.col(low), _code(mine))).join(F.broadcast(picks), cell)
+    out = docs.withColumns({cell: F.concat(_code(pattern), _code(mine)), r: draw}).join(near(picks), cell)
     out = out.withColumn(r, copies)
-    return out.select(*[c for c in names if c not in ("copies", "taken")], F.col(r).alias("copies"), (F.col(r) * F.col(size)).alias("taken")), list(zip(sources, sizes, goal, strict=True))
+    return out.select(*[c for c in names if c not in ("copies", "taken")], F.col(r).alias("copies"), (F.col(r) * F.col(size)).alias("taken")), [(s, sizes[s], g) for s, g in zip(sources, goal, strict=True)]
 
 
-def _choose(keys: DataFrame, plan: DataFrame, rounds: int, bits: int) -> DataFrame:
+def _choose(keys: DataFrame, plan: DataFrame, rounds: int, bits: int, near) -> DataFrame:
     """Per cell, documents in seeded order whose words come next below ``rest``.
 
     cell, bucket (whole buckets below it are taken), last_r and last_id (of the last taken one in it),
     added (documents that fill what remains: largest first, and one that may go a little beyond it).
-    The order is cut into 2^bits buckets: only the one that holds the boundary is sorted.
+    The order is cut into 2^bits buckets: only the one that holds the boundary is sorted.  near: hint for
+    joins with a row per cell.
     """
     b = F.shiftrightunsigned("r", 64 - bits)
-    keys = keys.select("cell", "size", "r", "id").join(F.broadcast(plan.where("rest > 0")), "cell").withColumn("b", b)
+    keys = keys.select("cell", "size", "r", "id").join(near(plan.where("rest > 0")), "cell").withColumn("b", b)
     w = Window.partitionBy("cell").orderBy("b")
     sums = keys.groupBy("cell", "b", "rest").agg(F.sum("size").alias("in_bucket")).withColumn("upto", F.sum("in_bucket").over(w))
     edge = sums.where("upto > rest and upto - in_bucket <= rest").select("cell", F.col("b").alias("bucket"), (F.col("upto") - F.col("in_bucket")).alias("below"))
     edge = write_shared(edge, "mix-edge")  # a row per cell
-    inside = keys.join(F.broadcast(edge), "cell").where("b = bucket").groupBy("cell", "bucket", "below", "rest", "r", "id").agg(F.sum("size").alias("size"))
+    inside = keys.join(near(edge), "cell").where("b = bucket").groupBy("cell", "bucket", "below", "rest", "r", "id").agg(F.sum("size").alias("size"))
     w = Window.partitionBy("cell").orderBy("r", "id")
     inside = inside.withColumn("upto", F.col("below") + F.sum("size").over(w)).where("upto <= rest")
     last = inside.groupBy("cell").agg(F.max(F.struct("r", "id", "upto")).alias("m"))
-    state = edge.join(last, "cell", "left").join(plan.select("cell", "rest"), "cell").select("cell", "bucket", F.col("m.r").alias("last_r"), F.col("m.id").alias("last_id"), F.coalesce("m.upto", "below").alias("have"), "rest")
-    spark = keys.sparkSession
-    schema = "cell string, bucket long, last_r long, last_id string, have long, rest long, added array<struct<r:long,id:string>>"
-    rows = [[*x, []] for x in state.collect()]
+    none = F.array().cast("array<struct<r:long,id:string>>")
+    state = edge.join(last, "cell", "left").join(plan.select("cell", "rest"), "cell").select("cell", "bucket", F.col("m.r").alias("last_r"), F.col("m.id").alias("last_id"), F.coalesce("m.upto", "below").alias("have"), "rest", none.alias("added"))
+    state = write_shared(state, "mix-state")
     k = 0
-    while k <= rounds and any(x[4] < x[5] for x in rows):
-        now = F.broadcast(spark.createDataFrame([x for x in rows if x[4] < x[5]], schema).drop("rest"))
+    while k <= rounds and not (now := state.where("have < rest").drop("rest")).isEmpty():
         under = (F.col("b") < F.col("bucket")) | ((F.col("b") == F.col("bucket")) & F.coalesce(F.struct("r", "id") <= F.struct("last_r", "last_id"), F.lit(False)))
         gap = F.col("rest") - F.col("have")
         # at last, one that leaves less above the target than is missing below it
         fits = F.col("size") <= gap if k < rounds else (F.col("size") > gap) & (F.col("size") < 2 * gap)
-        left = keys.join(now, "cell").where(~under & (F.col("size") > 0) & fits & ~F.array_contains("added", F.struct("r", "id")))
+        left = keys.join(near(now), "cell").where(~under & (F.col("size") > 0) & fits & ~F.array_contains("added", F.struct("r", "id")))
         sums = left.groupBy("cell", "r", "id").agg(F.sum("size").alias("size"), F.max(gap).alias("gap")).where("size <= gap" if k < rounds else "size < 2 * gap")
         pick = F.max(F.struct("size", "r", "id")) if k < rounds else F.min(F.struct("size", "r", "id"))
-        best = {x["cell"]: x for x in sums.groupBy("cell").agg(pick.alias("m")).collect()}
-        for x in rows:
-            if y := best.get(x[0]):
-                x[4] += y["m"]["size"]
-                x[6] = [*x[6], (y["m"]["r"], y["m"]["id"])]
-        k = k + 1 if best or k >= rounds else rounds
-    return spark.createDataFrame(rows, schema).select("cell", "bucket", "last_r", "last_id", "added")
+        best = write_shared(sums.groupBy("cell").agg(pick.alias("m")), "mix-best")
+        if best.isEmpty():
+            k = rounds if k < rounds else rounds + 1
+            continue
+        more = F.when(F.col("m").isNull(), F.col("added")).otherwise(F.concat("added", F.array(F.struct("m.r", "m.id"))))
+        state = state.join(near(best), "cell", "left").select("cell", "bucket", "last_r", "last_id", (F.col("have") + F.coalesce("m.size", F.lit(0))).alias("have"), "rest", more.alias("added"))
+        state = write_shared(state, "mix-state")
+        k += 1
+    return state.select("cell", "bucket", "last_r", "last_id", "added")
 
 
 def op7_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,15 @@ def test_texts_of_several_sources_serve_where_they_are_needed(spark):
     assert all(abs(again[s] - goal) <= 10 for s, _, goal in sources)
 
 
+def test_patterns_beyond_the_drivers_take_part(spark):
+    # only the texts that a shares with others can serve them where these run short
+    rows = [(i, ["a", "b"] if i % 4 == 0 else ["a", "c"] if i % 4 == 1 else ["a"], i % 9 + 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, members array<string>, size long")
+    out, sources = mixing.mix(docs)
+    few, same = mixing.mix(docs, max_patterns=1)
+    assert same == sources and sorted(few.collect()) == sorted(out.collect())
+
+
 def test_flow_with_room_against_brute_force():
     r = np.random.default_rng(2)
     for _ in range(25):
