@@ -262,15 +262,15 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", key: str
         small = write_shared(cells.groupBy().applyInArrow(run, PLAN), "mix-plan")
     small = small.withColumn("cell", F.concat("p", _code(F.col("own")))).drop("p", "own")
     picks = small.join(_choose(keys, small, rounds, bits, near), "cell", "left")  # as many rows as cells
-    took = {c: fresh([*names, cell, r], f"_{c}") for c in ("passes", "rest", "bucket", "last_r", "last_id", "added")}
+    took = {c: fresh([*names, cell, r], f"_{c}") for c in ("passes", "rest", "bucket", "last_r", "last_id", "added", "left_out")}
     picks = picks.select(F.col("cell").alias(cell), *[F.col(c).alias(n) for c, n in took.items()])
     t = {c: F.col(n) for c, n in took.items()}
     r_, k_ = F.col(r), F.col(key).cast("string")
     first = F.coalesce(t["bucket"], F.lit(-1))
     bucket = F.shiftrightunsigned(r_, 64 - bits)
     under = (bucket < first) | ((bucket == first) & (F.struct(r_, k_) <= F.struct(t["last_r"], t["last_id"])))
-    extra = F.coalesce(F.array_contains(t["added"], F.struct(r_.alias("r"), k_.alias("id"))), F.lit(False))
-    copies = t["passes"] + F.when((t["rest"] > 0) & (F.coalesce(under, F.lit(False)) | extra), 1).otherwise(0)
+    among = lambda c: F.coalesce(F.array_contains(t[c], F.struct(r_.alias("r"), k_.alias("id"))), F.lit(False))
+    copies = t["passes"] + F.when((t["rest"] > 0) & (F.coalesce(under, F.lit(False)) | among("added")) & ~among("left_out"), 1).otherwise(0)
     out = docs.withColumns({cell: F.concat(_code(pattern), _code(mine)), r: draw}).join(near(picks), cell)
     out = out.withColumn(r, copies)
     return out.select(*[c for c in names if c not in ("copies", "taken")], F.col(r).alias("copies"), (F.col(r) * F.col(size)).alias("taken")), [(s, sizes[s], g) for s, g in zip(sources, goal, strict=True)]
@@ -280,7 +280,8 @@ def _choose(keys: DataFrame, plan: DataFrame, rounds: int, bits: int, near) -> D
     """Per cell, documents in seeded order whose words come next below ``rest``.
 
     cell, bucket (whole buckets below it are taken), last_r and last_id (of the last taken one in it),
-    added (documents that fill what remains: largest first, and one that may go a little beyond it).
+    added (documents that fill what remains: largest first, and one that may go a little beyond it),
+    left_out (documents taken so far that make up for that one: largest first).
     The order is cut into 2^bits buckets: only the one that holds the boundary is sorted.  near: hint for
     joins with a row per cell.
     """
@@ -314,7 +315,21 @@ def _choose(keys: DataFrame, plan: DataFrame, rounds: int, bits: int, near) -> D
         state = state.join(near(best), "cell", "left").select("cell", "bucket", "last_r", "last_id", (F.col("have") + F.coalesce("m.size", F.lit(0))).alias("have"), "rest", more.alias("added"))
         state = write_shared(state, "mix-state")
         k += 1
-    return state.select("cell", "bucket", "last_r", "last_id", "added")
+    state = state.withColumn("left_out", none)
+    for _ in range(rounds):
+        if (now := state.where("have > rest").drop("rest")).isEmpty():
+            break
+        under = (F.col("b") < F.col("bucket")) | ((F.col("b") == F.col("bucket")) & F.coalesce(F.struct("r", "id") <= F.struct("last_r", "last_id"), F.lit(False)))
+        this, beyond = F.struct("r", "id"), F.col("have") - F.col("rest")
+        held = keys.join(near(now), "cell").where((under | F.array_contains("added", this)) & (F.col("size") > 0) & (F.col("size") <= beyond) & ~F.array_contains("left_out", this))
+        sums = held.groupBy("cell", "r", "id").agg(F.sum("size").alias("size"), F.max(beyond).alias("beyond")).where("size <= beyond")
+        best = write_shared(sums.groupBy("cell").agg(F.max(F.struct("size", "r", "id")).alias("m")), "mix-best")
+        if best.isEmpty():
+            break
+        more = F.when(F.col("m").isNull(), F.col("left_out")).otherwise(F.concat("left_out", F.array(F.struct("m.r", "m.id"))))
+        state = state.join(near(best), "cell", "left").select("cell", "bucket", "last_r", "last_id", (F.col("have") - F.coalesce("m.size", F.lit(0))).alias("have"), "rest", "added", more.alias("left_out"))
+        state = write_shared(state, "mix-state")
+    return state.select("cell", "bucket", "last_r", "last_id", "added", "left_out")
 
 
 def op7_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,20 @@ def test_texts_of_several_sources_serve_where_they_are_needed(spark):
     assert all(abs(again[s] - goal) <= 10 for s, _, goal in sources)
 
 
+def test_a_document_beyond_the_target_is_made_up_for(spark):
+    # where the largest document of a comes last in the seeded order, only it fills the gap, with too much
+    sizes = [108, 226, 272, 324, 327, 376, 1386]
+    docs = lambda k: spark.createDataFrame([(100 * k + i, [f"a{k}"], n) for i, n in enumerate(sizes)], "doc_id long, members array<string>, size long")
+    some = docs(0)
+    for k in range(1, 30):
+        some = some.union(docs(k))
+    out, sources = mixing.mix(some, weights=lambda names: [1 + 2 * (i % 2) for i in range(len(names))])
+    taken = Counter()
+    for r in out.collect():
+        taken[r.members[0]] += r.taken
+    assert all(abs(taken[s] - goal) <= 150 for s, _, goal in sources)
+
+
 def test_patterns_beyond_the_drivers_take_part(spark):
     # only the texts that a shares with others can serve them where these run short
     rows = [(i, ["a", "b"] if i % 4 == 0 else ["a", "c"] if i % 4 == 1 else ["a"], i % 9 + 1) for i in range(400)]
