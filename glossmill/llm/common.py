@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +46,25 @@ def write_shared(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow, whose freed memory goes back when a task ends: workers outlive tasks, and would hold it beside those of later stages."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return out
+
+
 def crc_of_id(key: str = "doc_id"):
     """crc32 of the id as decimal text."""
     return F.crc32(F.col(key).cast("string").cast("binary"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import as_text, fresh, runs, table, write_shared
+from .common import as_text, fresh, give_back, lean, runs, table, write_shared
 from .features import GAP, chunks, prefix_sums, span_hash, spans
 
 HASHES = 240
@@ -40,6 +40,7 @@ LOCAL = 64  # members of a bucket that one task sends on; of more, their edges a
 MASK = 64 << 20  # bytes of the filter of what is asked for, which tasks read from the shared folder
 HOT = 1 << 20  # elements of many texts that are known to every task
 TASK = 16 << 20  # bytes of texts whose sets meet in one task
+PIECE = 1 << 20  # bytes of texts, or four of these of keys, that a task works on at once: its memory, not its result
 _U48 = np.uint64((1 << 48) - 1)
 
 
@@ -238,7 +239,7 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
     raise ValueError("the components didn't settle")
 
 
-def _once(batches, size: int = 4 << 20):
+def _once(batches, size: int = PIECE):
     """(h1 of different texts, their Arrow texts), of batches (h1, text): a task yields a text once, as long as it remembers it."""
     seen: set[int] = set()
     for batch in batches:
@@ -280,94 +281,121 @@ def _met(rows: DataFrame, many: int, contain: float, ratio: float, recall: float
     own_bits = np.uint64(parts.bit_length() - 1)
     shift = np.uint64(64) - own_bits
 
-    def pack(keys, h1):
-        k, h, cut = _runs_of(keys, h1)
-        n = np.diff(cut)
-        hot = np.flatnonzero(n > LOCAL)
-        marks = np.zeros(0, np.uint64)
-        if len(hot):
-            lead, big = np.repeat(h[cut[hot]], n[hot]), np.repeat(n > LOCAL, n)
-            yield -1, lead, h[big], marks
-            marks = k[cut[hot]]
-            gone = np.isin(keys, marks)
-            keys, h1 = np.r_[keys[~gone], marks], np.r_[h1[~gone], h[cut[hot]]]
-        part = keys >> shift
-        o = np.argsort(part, kind="stable")
-        bound = np.searchsorted(part[o], np.arange(parts + 1, dtype=np.uint64))
-        at = marks >> shift
+    def pack(keys, where, h1):
+        """A row for each part of the keys of the sets ``where`` (numbers in h1), one part at a time."""
+        part = (keys >> shift).astype(np.min_scalar_type(parts - 1))
+        order = np.argsort(part, kind="stable")
+        bound = np.r_[0, np.cumsum(np.bincount(part, minlength=parts))]
         for p in np.flatnonzero(np.diff(bound)).tolist():
-            use = o[bound[p] : bound[p + 1]]
-            own, place = np.unique(h1[use], return_inverse=True)
+            use = order[bound[p] : bound[p + 1]]
+            k, h, marks = keys[use], h1[where[use]], np.zeros(0, np.uint64)
+            met, who, cut = _runs_of(k, h)
+            n = np.diff(cut)
+            hot = np.flatnonzero(n > LOCAL)
+            if len(hot):
+                lead, big = np.repeat(who[cut[hot]], n[hot]), np.repeat(n > LOCAL, n)
+                yield -1, lead.tobytes(), who[big].tobytes(), b""
+                marks = met[cut[hot]]
+                left = ~np.isin(k, marks)
+                k, h = np.r_[k[left], marks], np.r_[h[left], who[cut[hot]]]
+            own, place = np.unique(h, return_inverse=True)
             # within a part, the 48 bits below its own tell keys apart; texts are numbered
-            k = (keys[use] << own_bits) >> np.uint64(16)
-            cols = np.empty((len(use), 4), np.uint16)
+            k = (k << own_bits) >> np.uint64(16)
+            cols = np.empty((len(k), 4), np.uint16)
             cols[:, :3] = np.stack([(k >> np.uint64(c)) & np.uint64(0xFFFF) for c in (0, 16, 32)], 1)
             cols[:, 3] = place
-            yield p, cols, own, (marks[at == p] << own_bits) >> np.uint64(16)
+            yield p, cols.tobytes(), own.tobytes(), ((marks << own_bits) >> np.uint64(16)).tobytes()
 
     def sign(batches):
-        ks, hs, ts, held = [], [], [], 0
+        ks, ws, hs, held, sets = [], [], [], 0, 0
+
+        def batch_of(rows_):
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), *[pa.array([r[c] for r in rows_], pa.binary()) for c in (1, 2, 3)]], ["part", "k", "h", "marks"])
 
         def out():
-            rows_ = list(pack(np.concatenate(ks), np.concatenate(hs)))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_], pa.int32()), *[pa.array([r[c].tobytes() for r in rows_], pa.binary()) for c in (1, 2, 3)]], ["part", "k", "h", "marks"])
+            keys, where, h1 = np.concatenate(ks), np.concatenate(ws), np.concatenate(hs)
+            for x in (ks, ws, hs):
+                x.clear()
+            rows_, size = [], 0
+            for r in pack(keys, where, h1):
+                rows_.append(r)
+                size += len(r[1]) + len(r[2])
+                if size > 4 * PIECE:
+                    yield batch_of(rows_)
+                    rows_, size = [], 0
+            if rows_:
+                yield batch_of(rows_)
 
         for h1, texts in _once(batches):
             elements, counts = shingles(*as_text(texts))
             full = np.flatnonzero(counts)
             if len(full):
                 keys, where = buckets(signature(elements, counts, HASHES), counts[full], contain, ratio, recall)
-                ks.append(keys), hs.append(h1[full][where]), ts.append(len(full))
-                held += len(keys)
-            if held > 1 << 21 or sum(ts) > 50_000:
-                yield out()
-                ks, hs, ts, held = [], [], [], 0
+                # at most 60,000 sets are held
+                ks.append(keys), ws.append((where + sets).astype(np.uint16)), hs.append(h1[full])
+                held, sets = held + len(keys), sets + len(full)
+            if held > 1 << 21 or sets > 50_000:
+                yield from out()
+                held, sets = 0, 0
         if held:
-            yield out()
+            yield from out()
+
+    def edges(got):
+        a, b = (np.concatenate([np.frombuffer(g[c], np.int64) for g in got]) for c in (0, 1))
+        return a, b, np.ones(len(a), bool)
+
+    def pairs(keys, h1, marks):
+        k, h, cut = _runs_of(keys, h1)
+        n = np.diff(cut)
+        big = (n > FULL) | np.isin(k[cut[:-1]], marks)
+        a, b = [np.repeat(h[cut[:-1][big]], n[big])], [h[np.repeat(big, n)]]
+        fam = [np.ones(len(a[0]), bool)]
+        for m in np.unique(n[~big & (n > 1)]).tolist():
+            block = h[cut[:-1][(n == m) & ~big][:, None] + np.arange(m)]
+            i, j = np.triu_indices(m, 1)
+            x, y = block[:, i].ravel(), block[:, j].ravel()
+            o = np.lexsort((y, x))
+            x, y = x[o], y[o]
+            new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
+            a.append(x[new]), b.append(y[new]), fam.append(np.zeros(int(new.sum()), bool))
+        return np.concatenate(a), np.concatenate(b), np.concatenate(fam)
 
     def meet(batches):
         now, got = None, []
 
-        def out():
-            if now is not None and now < 0:
-                a, b = (np.concatenate([np.frombuffer(g[c], np.int64) for g in got]) for c in (0, 1))
-                fam = np.ones(len(a), bool)
-            else:
-                cols = [np.frombuffer(g[0], np.uint16).reshape(-1, 4) for g in got]
-                h1 = np.concatenate([np.frombuffer(g[1], np.int64)[c[:, 3]] for g, c in zip(got, cols, strict=True)])
-                keys = np.concatenate([c[:, 0].astype(np.uint64) | (c[:, 1].astype(np.uint64) << np.uint64(16)) | (c[:, 2].astype(np.uint64) << np.uint64(32)) for c in cols])
-                marks = np.unique(np.concatenate([np.frombuffer(g[2], np.uint64) for g in got]))
-                k, h, cut = _runs_of(keys, h1)
-                n = np.diff(cut)
-                big = (n > FULL) | np.isin(k[cut[:-1]], marks)
-                a, b = [np.repeat(h[cut[:-1][big]], n[big])], [h[np.repeat(big, n)]]
-                fam = [np.ones(len(a[0]), bool)]
-                for m in np.unique(n[~big & (n > 1)]).tolist():
-                    block = h[cut[:-1][(n == m) & ~big][:, None] + np.arange(m)]
-                    i, j = np.triu_indices(m, 1)
-                    x, y = block[:, i].ravel(), block[:, j].ravel()
-                    o = np.lexsort((y, x))
-                    x, y = x[o], y[o]
-                    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]
-                    a.append(x[new]), b.append(y[new]), fam.append(np.zeros(int(new.sum()), bool))
-                a, b, fam = np.concatenate(a), np.concatenate(b), np.concatenate(fam)
+        def batch_of(a, b, fam):
             use = a != b
             return pa.RecordBatch.from_arrays([pa.array(a[use]), pa.array(b[use]), pa.array(fam[use])], ["a", "b", "family"])
 
+        def out():
+            if now < 0:
+                yield batch_of(*edges(got))
+                return
+            cols = [np.frombuffer(g[0], np.uint16).reshape(-1, 4) for g in got]
+            own = [np.frombuffer(g[1], np.int64) for g in got]
+            marks = np.unique(np.concatenate([np.frombuffer(g[2], np.uint64) for g in got]))
+            # a range of keys at a time, by the highest of their bits
+            bits = min(16, max(0, (sum(map(len, cols)) * 8 // (4 * PIECE)).bit_length()))
+            for s in range(1 << bits):
+                use = [c[c[:, 2] >> np.uint16(16 - bits) == s] if bits else c for c in cols]
+                h1 = np.concatenate([o[c[:, 3]] for o, c in zip(own, use, strict=True)])
+                keys = np.concatenate([c[:, 0].astype(np.uint64) | (c[:, 1].astype(np.uint64) << np.uint64(16)) | (c[:, 2].astype(np.uint64) << np.uint64(32)) for c in use])
+                yield batch_of(*pairs(keys, h1, marks))
+
         for batch in batches:
-            for p, k, h, marks in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for i, p in enumerate(batch.column(0).to_pylist()):
                 if got and (p != now or p < 0 and len(got) >= 64):
-                    yield out()
+                    yield from out()
                     got = []
                 now = p
-                got.append((k, h, marks))
+                got.append([batch.column(c)[i].as_buffer() for c in (1, 2, 3)])
         if got:
-            yield out()
+            yield from out()
 
-    signed = rows.mapInArrow(sign, "part int, k binary, h binary, marks binary")
+    signed = rows.mapInArrow(lean(sign), "part int, k binary, h binary, marks binary")
     spread = F.when(F.col("part") < 0, F.xxhash64("h")).otherwise(F.col("part"))
     tasks = max(parts // 4, 16)
-    return signed.repartition(tasks, spread).sortWithinPartitions("part").mapInArrow(meet, "a long, b long, family boolean").distinct()
+    return signed.repartition(tasks, spread).sortWithinPartitions("part").mapInArrow(lean(meet), "a long, b long, family boolean").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", contain: float = 0.7, ratio: float = 0.7, recall: float = 0.99) -> tuple[DataFrame, DataFrame]:
@@ -456,14 +484,14 @@ def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """id, set: the shingle sets of the texts whose hashes are the ids."""
 
     def sets(batches):
-        for h1, texts in _once(batches, 1 << 20):
+        for h1, texts in _once(batches):
             elements, counts = shingles(*as_text(texts))
             yield pa.RecordBatch.from_arrays([pa.array(h1), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(elements))], ["id", "set"])
 
     ids = ids.select(F.col("id").alias("h1")).distinct()
     few = ids.count() <= SMALL
     some = rows.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
-    return some.mapInArrow(sets, "id long, set array<long>")
+    return some.mapInArrow(lean(sets), "id long, set array<long>")
 
 
 def _held(sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -472,17 +500,24 @@ def _held(sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(sets["id"]), np.asarray(col.flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(col)))].astype(np.int64)
 
 
+def _views(sets: pa.Table) -> dict[int, np.ndarray]:
+    """The sets by id, where they lie."""
+    out = {}
+    for part in sets.select(["id", "set"]).to_batches():
+        flat, off = np.asarray(part["set"].flatten()), np.r_[0, np.cumsum(np.asarray(pc.list_value_length(part["set"])))].tolist()
+        out.update((k, flat[i:j]) for k, i, j in zip(part["id"].to_pylist(), off, off[1:], strict=False))
+    return out
+
+
 def _compare(contain: float, ratio: float | None, hot: np.ndarray | None = None):
     """Links of the asked pairs; with ``ratio``, of sizes at most so far apart; with ``hot``, where the hot elements alone don't suffice."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, flat, off = _held(left.combine_chunks())
-        at = {k: i for i, k in enumerate(ids.tolist())}
+        sets = _views(left)
         a, b = np.asarray(right["a"]), np.asarray(right["b"])
         c = np.zeros(len(a))
         for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-            i, j = at[x], at[y]
-            u, v = flat[off[i] : off[i + 1]], flat[off[j] : off[j + 1]]
+            u, v = sets[x], sets[y]
             if len(u) > len(v):
                 u, v = v, u
             if ratio is not None and len(u) < ratio * len(v):
@@ -494,6 +529,8 @@ def _compare(contain: float, ratio: float | None, hot: np.ndarray | None = None)
                 continue
             c[k] = len(shared) / len(u)
         ok = c > 0
+        del sets
+        give_back()
         return pa.table({"a": a[ok], "b": b[ok], "containment": c[ok]})
 
     return compare
@@ -544,11 +581,11 @@ def _hot(rows: DataFrame, many: int, sample: int = 5000, least: int = 10) -> np.
     """
 
     def elements(batches):
-        for _, texts in _once(batches, 1 << 20):
+        for _, texts in _once(batches):
             yield pa.RecordBatch.from_arrays([pa.array(shingles(*as_text(texts))[0])], ["element"])
 
     part = rows.where(F.pmod(F.xxhash64("h1", F.lit("hot")), F.lit(max(1, many // sample))) == 0).dropDuplicates(["h1"])
-    often = part.mapInArrow(elements, "element long").groupBy("element").count().where(F.col("count") >= least)
+    often = part.mapInArrow(lean(elements), "element long").groupBy("element").count().where(F.col("count") >= least)
     got = often.orderBy(F.desc("count"), "element").limit(HOT).select("element").toArrow()
     return np.sort(np.asarray(got["element"]).astype(np.int64))
 
@@ -637,7 +674,7 @@ def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> D
             kind, h, n, p, e = (np.concatenate([x[c] for x in out]) for c in range(5))
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(h), pa.array(n.astype(np.int32)), pa.array(p), pa.array(e)], ["kind", "h1", "n", "p", "element"])
 
-    return rows.mapInArrow(run, "kind byte, h1 long, n int, p long, element long")
+    return rows.mapInArrow(lean(run), "kind byte, h1 long, n int, p long, element long")
 
 
 def _mask(files: list[str], page: int, pages: int) -> np.ndarray:
@@ -674,7 +711,7 @@ def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -
             x[np.asarray(group["bit"])] = True
             return pa.table({"page": group["page"].slice(0, 1), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
 
-        filled = asked.select("element").mapInArrow(bits, "page long, bit int").groupBy("page").applyInArrow(fill, "page long, bits binary")
+        filled = asked.select("element").mapInArrow(lean(bits), "page long, bit int").groupBy("page").applyInArrow(fill, "page long, bits binary")
         files = write_shared(filled, "asked-mask").inputFiles()
 
     def answer(batches):
@@ -688,7 +725,7 @@ def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -
             own = np.repeat(np.arange(len(counts)), counts)[at]
             yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(counts[own].astype(np.int32)), pa.array(elements[at])], ["hl", "nl", "element"])
 
-    held = rows.mapInArrow(answer, "hl long, nl int, element long")
+    held = rows.mapInArrow(lean(answer), "hl long, nl int, element long")
     met = asked.join(held, "element").where(F.col("n") < ratio * F.col("nl"))
     hits = met.groupBy("h1", "hl", "must").agg(F.count_distinct("element").alias("hits")).where("hits >= must")
     return hits.select(F.col("h1").alias("small"), F.col("hl").alias("large"))

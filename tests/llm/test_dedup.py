@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -239,6 +240,60 @@ def test_the_driver_holds_few_edges_and_no_filter(spark, monkeypatch):
     assert sent == [np.int64]  # the elements of many texts
 
 
+class Tasks:
+    """Stands for a DataFrame and keeps the functions that its tasks would run."""
+
+    def __init__(self, spark):
+        self.sparkSession, self.run = spark, []
+
+    def mapInArrow(self, f, schema):
+        self.run.append(f)
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+def most_mb(run, batch):
+    """Peak MB of what a task holds beside its batch, whose results go as they come."""
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        n = sum(b.num_rows for b in run(iter([batch])))
+        return n, (tracemalloc.get_traced_memory()[1] - before) / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_little_beside_their_texts(spark):
+    r = np.random.default_rng(5)
+    texts = [" ".join(map(str, r.integers(10**5, 10**6, 300))) for _ in range(4000)]  # 8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(texts)], ["h1", "t"])
+    rows = Tasks(spark)
+    neardup._met(rows, 10**6, 0.7, 0.7, 0.99)
+    n, mb = most_mb(rows.run[0], batch)
+    assert n >= 64 and mb < 25
+    rows = Tasks(spark)
+    neardup._asked(rows, np.zeros(0, np.int64), 0.7, 0.99)
+    n, mb = most_mb(rows.run[0], batch)
+    assert n >= 4 * 4000 and mb < 25
+
+
+def test_pieces_of_any_size_give_the_same_links(spark, monkeypatch):
+    base = prose(5, 200)
+    texts = [edited(base, i, 0.01) for i in range(90)] + [edited(prose(k, 150), j, 0.02) for k in range(30, 50) for j in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(neardup, "LOCAL", 8)
+
+    def links():
+        found, pairs = neardup.near_duplicates(docs, recall=0.999)
+        return {(r.a, r.b, r.containment) for r in pairs.collect()}, {tuple(r) for r in found.collect()}
+
+    whole = links()
+    monkeypatch.setattr(neardup, "PIECE", 1 << 8)
+    assert links() == whole and len(whole[0]) > 2900
+
+
 def test_near_duplicates_of_odd_tables(nasty, empty):
     kept = neardup.keep_one(nasty)
     assert kept.columns == nasty.columns
