@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_text, fresh, runs, table, write_shared
+from .common import as_text, fresh, lean, runs, table, write_shared
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -123,7 +123,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
         salt = (context.partitionId() if context else 0) << 33
         for batch in batches:
             raw, lo, hi = as_text(batch.column(1))
-            for i, j in runs(lo, hi, 1 << 22):
+            for i, j in runs(lo, hi, 1 << 20):
                 ids, counts = code.encode(raw, lo[i:j], hi[i:j], end)
                 ids = np.ascontiguousarray(ids, "<u4")
                 n = -(-counts // capacity)
@@ -141,7 +141,7 @@ def pieces(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id
                     cols.append(pa.ListArray.from_arrays(pa.array(np.r_[at, len(ids)].astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(cols, [key, "piece", "start", "length", "ids_crc32", "salt", "ids"][: len(cols)])
 
-    return df.select(key, text).mapInArrow(cut, schema)
+    return df.select(key, text).mapInArrow(lean(cut), schema)
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, task_rows: int = 200_000, rounds: int = 6, join: int = 16) -> DataFrame:

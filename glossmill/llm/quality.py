@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, fresh, table
+from .common import as_text, fresh, give_back, lean, table
 from .features import GAP, chunks, fit_dense, fit_logistic, grams, prefix_sums, sigmoid, span_hash, spans, sums_of
 
 BITS = 14
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, text="text", lang="lang", source="
                 vals[k] = (c[cols[k]] / max(1, c.sum())).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), batch.column(4), pa.array(list(counts)), pa.array(cols, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], ["r", "l", "s", "y", "counts", "cols", "vals"])
 
-    got = some.select("_t", "_r", "_l", "_s", "_y").mapInArrow(features, "r long, l int, s int, y int, counts array<double>, cols array<int>, vals array<float>").toArrow().combine_chunks()
+    got = some.select("_t", "_r", "_l", "_s", "_y").mapInArrow(lean(features), "r long, l int, s int, y int, counts array<double>, cols array<int>, vals array<float>").toArrow().combine_chunks()
     order = np.lexsort((np.asarray(got["y"].fill_null(-1)), np.asarray(got["r"])))
     got = got.take(pa.array(order))
     y = np.asarray(got["y"].fill_null(-1)).astype(int)
@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: Model | None, text="text", lang="lang", source
         raw, lo, hi = as_text(x)
         meta = metadata(layout(raw, lo, hi), np.asarray(lang_), np.asarray(source_))
         t, m, q = model.combine(model.text_logit(raw, lo, hi), model.meta_logit(meta))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(t), pa.array(m), pa.array(q)], ["t", "m", "q"])
 
     got = fresh(docs.columns, "_got")

@@ -19,7 +19,7 @@ _LETTER, _NUMBER, _OTHER, _WHITE, _EDGE, _UNSURE = 0, 1, 2, 3, 4, 5
 _TABLE = 0x30000
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 
 
 @lru_cache(1)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -33,6 +34,33 @@ def test_ids_are_those_of_the_tokenizer(code, public, alphabet):
         assert ids[b - k : b].tolist() == [*public.encode(t or "", add_special_tokens=False).ids, 2]
 
 
+def test_a_task_holds_little_beside_its_texts(spark):
+    r = np.random.default_rng(5)
+    texts = pa.array([" ".join(x) for x in r.choice([f"w{k}" for k in range(1000)], (2000, 800))])  # 8 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), texts], ["doc_id", "text"])
+
+    class Docs:
+        schema = spark.range(0).withColumnRenamed("id", "doc_id").schema
+
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    cut = packing.pieces(Docs(), packing.tokenizer_path())
+    assert sum(b.num_rows for b in cut(iter([batch]))) >= 2000  # what the encoder remembers is there
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        for _ in cut(iter([batch])):
+            pass
+        most = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert most < 35e6
+
+
 def test_a_very_long_text_is_cut_where_no_token_is(code, public):
     r = random.Random(2)
     text = " ".join("".join(r.choice("abc'sé,1") for _ in range(r.randint(1, 9))) for _ in range(500_000))
