@@ -214,6 +214,12 @@ def _plan(cells, at: dict, goal: list[float], own: bool, most: int) -> list[tupl
 PLAN = "p string, own string, passes int, rest long"
 
 
+def _plan_table(rows: list[tuple]) -> pa.Table:
+    """PLAN, as an Arrow table."""
+    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
+    return pa.table([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["p", "own", "passes", "rest"])
+
+
 def mix(docs: DataFrame, members: str = "members", size: str = "size", key: str = "doc_id", own: str | None = None, supply: DataFrame | None = None, weights=None, most: int = 3, seed: int = 1, rounds: int = 4, bits: int = 12, max_patterns: int = 50_000) -> tuple[DataFrame, list[tuple]]:
     """docs with ``taken`` (words the mix takes, whole documents, repeats counted) and ``copies``.
 
@@ -250,14 +256,13 @@ def mix(docs: DataFrame, members: str = "members", size: str = "size", key: str
     one = own is not None
     if totals.count() <= max_patterns:
         near = F.broadcast
-        small = spark.createDataFrame(_plan([tuple(x) for x in cells.collect()], at, goal, one, most), PLAN)
+        # an Arrow table stays with the JVM: of a list, every task that reads it would start a Python worker
+        small = spark.createDataFrame(_plan_table(_plan([tuple(x) for x in cells.collect()], at, goal, one, most)), PLAN)
     else:
         near = lambda df: df.hint("merge")
 
         def run(group: pa.Table) -> pa.Table:
-            got = _plan(zip(*[c.to_pylist() for c in group.columns], strict=True), at, goal, one, most)
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            return pa.table([pa.array([x[k] for x in got], t) for k, t in enumerate(kinds)], names=["p", "own", "passes", "rest"])
+            return _plan_table(_plan(zip(*[c.to_pylist() for c in group.columns], strict=True), at, goal, one, most))
 
         small = write_shared(cells.groupBy().applyInArrow(run, PLAN), "mix-plan")
     small = small.withColumn("cell", F.concat("p", _code(F.col("own")))).drop("p", "own")

@@ -15,8 +15,9 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
-from .common import as_text, fresh, give_back, lean, table
+from .common import as_text, fresh, lean, table
 from .features import GAP, chunks, fit_dense, fit_logistic, grams, prefix_sums, sigmoid, span_hash, spans, sums_of
 
 BITS = 14
@@ -207,16 +208,16 @@ def score(docs: DataFrame, model: Model | None, text="text", lang="lang", source
         half = F.lit(0.5)
         return docs.select(*names, half.alias("text_score"), half.alias("meta_score"), half.alias("quality_score"), F.lit(1).alias("quality_pred"))
 
-    @F.arrow_udf("struct<t:double,m:double,q:double>")
-    def rate(x: pa.Array, lang_: pa.Array, source_: pa.Array) -> pa.Array:
-        raw, lo, hi = as_text(x)
-        meta = metadata(layout(raw, lo, hi), np.asarray(lang_), np.asarray(source_))
-        t, m, q = model.combine(model.text_logit(raw, lo, hi), model.meta_logit(meta))
-        give_back()
-        return pa.StructArray.from_arrays([pa.array(t), pa.array(m), pa.array(q)], ["t", "m", "q"])
+    def rate(batches):
+        for x, lang_, source_ in batches:
+            raw, lo, hi = as_text(x)
+            meta = metadata(layout(raw, lo, hi), np.asarray(lang_), np.asarray(source_))
+            t, m, q = model.combine(model.text_logit(raw, lo, hi), model.meta_logit(meta))
+            yield pa.StructArray.from_arrays([pa.array(t), pa.array(m), pa.array(q)], ["t", "m", "q"])
 
     got = fresh(docs.columns, "_got")
-    out = docs.withColumn(got, rate(*_views(docs, text, lang, source)))
+    rated = F.arrow_udf(lean(rate), "struct<t:double,m:double,q:double>", ArrowUDFType.SCALAR_ITER)
+    out = docs.withColumn(got, rated(*_views(docs, text, lang, source)))
     q = F.col(got)["q"]
     return out.select(*names, F.col(got)["t"].alias("text_score"), F.col(got)["m"].alias("meta_score"), q.alias("quality_score"), F.when(q >= threshold, 1).otherwise(0).alias("quality_pred"))
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossmill.llm import mixing, sharding
@@ -199,3 +200,11 @@ def test_flow_of_many_patterns_is_fast():
     began = time.time()
     flow = mixing.route(r.integers(1, 1000, 5000).tolist(), members, [60_000] * 40)
     assert sum(flow.values()) == 40 * 60_000 and time.time() - began < 60
+
+
+def test_the_plan_of_a_mix_needs_no_python_workers(spark):
+    docs = spark.createDataFrame(pa.table({"doc_id": list(range(60)), "members": [[f"s{k % 3}"] for k in range(60)], "size": [5 + k % 7 for k in range(60)]}))
+    out, _ = mixing.mix(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "Python" not in plan
+    assert out.count() == 60
