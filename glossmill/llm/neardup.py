@@ -13,6 +13,7 @@ groups; a text within a much larger one is linked to it, but stays on its own.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +36,11 @@ _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xD6E8FEB86659FD93)
 SMALL = 200_000  # rows of one number that are broadcast
 EDGES = 20_000  # edges that the driver joins
+FEW = 64  # sets that may hold an element which is always asked for
 FULL = 200  # members of larger buckets meet in blocks of families, not in emitted pairs
 LOCAL = 64  # members of a bucket that one task sends on; of more, their edges and one member
-MASK = 64 << 20  # bytes of the filter of what is asked for, which tasks read from the shared folder
+MASK = 64 << 20  # bytes of a filter of elements, which tasks read from the shared folder
+PAGE = 1 << 16  # bits of a filter that a task sets at once
 HOT = 1 << 20  # elements of many texts that are known to every task
 TASK = 16 << 20  # bytes of texts whose sets meet in one task
 PIECE = 1 << 20  # bytes of texts, or four of these of keys, that a task works on at once: its memory, not its result
@@ -240,7 +243,7 @@ def components(edges: DataFrame, most: int = 100) -> DataFrame:
 
 
 def _once(batches, size: int = PIECE):
-    """(h1 of different texts, their Arrow texts), of batches (h1, text): a task yields a text once, as long as it remembers it."""
+    """(h1 of different texts, their Arrow texts, other columns), of batches (h1, text, others): a task yields a text once, as long as it remembers it."""
     seen: set[int] = set()
     for batch in batches:
         h1 = np.asarray(batch.column(0))
@@ -252,7 +255,7 @@ def _once(batches, size: int = PIECE):
             if len(seen) < 500_000:
                 seen.update(h1[new].tolist())
             if len(new):
-                yield h1[new], batch.column(1).take(pa.array(new))
+                yield h1[new], *(c.take(pa.array(new)) for c in batch.columns[1:])
 
 
 def _runs_of(keys: np.ndarray, h1: np.ndarray):
@@ -417,8 +420,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", co
     every = every.join(of("a", "_i"), "a").join(of("b", "_j"), "b").select(F.least("_i", "_j").alias("a"), F.greatest("_i", "_j").alias("b"), "containment")
     # salted: one text may be that of many rows
     salts = 16
-    ids = docs.select(F.col(key), F.xxhash64(text).alias("h1"), F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int").alias("salt"))
-    out = ids.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["h1", "salt"])
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
+    ids = docs.select(F.col(key), F.xxhash64(text).alias("h1"), salt(F.col(key).cast(found.schema["real"].dataType)).alias("salt"))
+    every_salt = F.when(F.col("copies") == 1, F.array(salt("real"))).otherwise(F.sequence(F.lit(0), F.lit(salts - 1)))
+    out = ids.join(found.withColumn("salt", F.explode(every_salt)), ["h1", "salt"])
     return out.select(key, "text_id", "class_id", "copies", "n_links"), every
 
 
@@ -460,8 +465,10 @@ def _unlike(rows: DataFrame, sizes: DataFrame, many: int, contain: float, ratio:
     """(links of sizes further apart than ``ratio``, (h1, n: number of those by profile alone), these, expanded)."""
     hot = _hot(rows, many)
     asked = write_shared(_asked(rows, hot, contain, recall), "asked")
-    far = _verify_far(rows, sizes, _far(rows, asked, ratio), hot, contain)
-    return far, *_profiles(asked, ratio, contain)
+    met = write_shared(_far(rows, asked, ratio), "far-pairs")
+    counts, quoted, has, shared = _profiles(asked, ratio, contain)
+    far = _verify_far(rows, sizes, met.where("need > 0").select("small", "large"), contain)
+    return far.unionByName(_mostly_hot(met.where("need = 0"), has, shared, contain)), counts, quoted
 
 
 def _place(family: DataFrame, sizes: DataFrame, most: int):
@@ -480,18 +487,26 @@ def _place(family: DataFrame, sizes: DataFrame, most: int):
     return write_shared(placed, "families"), task
 
 
-def _sets(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set: the shingle sets of the texts whose hashes are the ids."""
+def _sets(rows: DataFrame, where: DataFrame, files: Sequence[str] = (), pages: int = 0) -> DataFrame:
+    """The rows of ``where`` (id and others) with the shingle sets of the texts whose hashes are the ids, of what the filter lets through.
+
+    The others are known before the sets are made, so that these are sent only once, to where they are compared.
+    """
 
     def sets(batches):
-        for h1, texts in _once(batches):
+        mask = _mask(files, pages)
+        for h1, texts, to in _once(batches):
             elements, counts = shingles(*as_text(texts))
-            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(elements))], ["id", "set"])
+            if pages:
+                at = _passing(mask, elements)
+                elements, counts = elements[at], np.bincount(np.repeat(np.arange(len(counts)), counts)[at], minlength=len(counts))
+            yield pa.RecordBatch.from_arrays([pa.array(h1), pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(elements)), to], ["id", "set", "to"])
 
-    ids = ids.select(F.col("id").alias("h1")).distinct()
-    few = ids.count() <= SMALL
-    some = rows.join(F.broadcast(ids) if few else ids, "h1", "left_semi")
-    return some.mapInArrow(lean(sets), "id long, set array<long>")
+    places = where.groupBy(F.col("id").alias("h1")).agg(F.collect_set(F.struct(*[c for c in where.columns if c != "id"])).alias("to"))
+    places = write_shared(places, "places")
+    few = places.count() <= SMALL
+    some = rows.join(F.broadcast(places) if few else places, "h1").select("h1", "t", "to")
+    return some.mapInArrow(lean(sets), f"id long, set array<long>, to {some.schema['to'].dataType.simpleString()}").select("id", "set", F.inline("to"))
 
 
 def _held(sets: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -509,8 +524,8 @@ def _views(sets: pa.Table) -> dict[int, np.ndarray]:
     return out
 
 
-def _compare(contain: float, ratio: float | None, hot: np.ndarray | None = None):
-    """Links of the asked pairs; with ``ratio``, of sizes at most so far apart; with ``hot``, where the hot elements alone don't suffice."""
+def _compare(contain: float, ratio: float | None):
+    """Links of the asked pairs, of sizes at most ``ratio`` apart; without it, of a whole set and what another one may share with it."""
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = _views(left)
@@ -518,20 +533,17 @@ def _compare(contain: float, ratio: float | None, hot: np.ndarray | None = None)
         c = np.zeros(len(a))
         for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
             u, v = sets[x], sets[y]
-            if len(u) > len(v):
+            if ratio is not None and len(u) > len(v):
                 u, v = v, u
-            if ratio is not None and len(u) < ratio * len(v):
+            if ratio is not None and len(u) < ratio * len(v) or not len(v):
                 continue
             shared = u[v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u]
-            if len(shared) < contain * len(u) - 1e-9:
-                continue
-            if hot is not None and len(hot) and (hot[np.minimum(np.searchsorted(hot, shared), len(hot) - 1)] == shared).sum() >= math.ceil(contain * len(u) - 1e-9):
-                continue
-            c[k] = len(shared) / len(u)
+            if len(shared) >= contain * len(u) - 1e-9:
+                c[k] = len(shared) / len(u)
         ok = c > 0
         del sets
         give_back()
-        return pa.table({"a": a[ok], "b": b[ok], "containment": c[ok]})
+        return pa.table({"a": np.minimum(a, b)[ok], "b": np.maximum(a, b)[ok], "containment": c[ok]})
 
     return compare
 
@@ -544,34 +556,37 @@ def verify(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, contain: float,
 
     Pairs meet in the families that they form.  Families share tasks; a larger family is cut into
     blocks, and every two of its blocks meet.  So a set travels once, or once for each block of its
-    family, and not once for each pair.
+    family in which it has a pair, and not once for each pair.
     """
     pairs = write_shared(pairs, "pairs")
     placed, task = _place(components(pairs), sizes, 1000)
-    where = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    where = where.select("id", task(F.least("own", "other"), F.greatest("own", "other")).alias("task")).distinct()
     end = lambda x: placed.select(F.col("id").alias(x), "group", "blocks", F.col("own").alias(f"_{x}"))
     asked = pairs.join(end("a"), "a").join(end("b").drop("group", "blocks"), "b").select("a", "b", task(F.least("_a", "_b"), F.greatest("_a", "_b")).alias("task"))
-    sent = _sets(rows, placed).join(where, "id").select("task", "id", "set")
+    asked = write_shared(asked, "asked-pairs")
+    where = asked.select(F.col("a").alias("id"), "task").union(asked.select("b", "task")).distinct()
+    sent = _sets(rows, where).select("task", "id", "set")
     return sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain, ratio), LINK)
 
 
-def _verify_far(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, hot: np.ndarray, contain: float) -> DataFrame:
-    """Links of pairs of a small set and a larger one, less those that the profiles hold.
+def _verify_far(rows: DataFrame, sizes: DataFrame, pairs: DataFrame, contain: float) -> DataFrame:
+    """Links of pairs of a small set, whose hot elements alone don't suffice, and a larger one.
 
-    Pairs meet by larger set; those of one that many ask are spread over several tasks.
+    Pairs meet by larger set; those of one that many ask are spread over several tasks.  Small sets travel
+    as they are, and larger ones without what no small set has.
     """
     size = lambda x: sizes.select(F.col("h1").alias(x), F.col("size").alias(f"_{x}"))
-    pairs = write_shared(pairs.join(size("small"), "small").join(size("large"), "large"), "far-pairs")
+    pairs = write_shared(pairs.join(size("small"), "small").join(size("large"), "large"), "far-sizes")
     per = pairs.groupBy("large").agg((F.sum("_small") + F.max("_large")).alias("bytes"))
     total = per.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     tasks = max(1, -(-total // TASK))
     salts = F.ceil(F.col("bytes") / TASK).cast("int")
     asked = pairs.join(per, "large").withColumn("task", F.pmod(F.xxhash64("large", F.pmod(F.xxhash64("small"), salts)), F.lit(tasks)))
     where = asked.select(F.col("small").alias("id"), "task").union(asked.select("large", "task")).distinct()
-    asked = asked.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), "task")
-    sent = _sets(rows, where.select("id")).join(where, "id").select("task", "id", "set")
-    return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain, None, hot), LINK), "far-links")
+    asked = asked.select(F.col("small").alias("a"), F.col("large").alias("b"), "task")
+    small = _sets(rows, pairs.select(F.col("small").alias("id"), F.lit(0).alias("task")))
+    files, pages = _write_mask(write_shared(small.select(F.explode("set").alias("element")), "small-elements"), "small-mask")
+    sent = _sets(rows, where, files, pages).select("task", "id", "set")
+    return write_shared(sent.groupBy("task").cogroup(asked.groupBy("task")).applyInArrow(_compare(contain, None), LINK), "far-links")
 
 
 def _hot(rows: DataFrame, many: int, sample: int = 5000, least: int = 10) -> np.ndarray:
@@ -641,7 +656,7 @@ def asks(elements: np.ndarray, counts: np.ndarray, hot: np.ndarray, contain: flo
 def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> DataFrame:
     """kind, h1, n, p, element.
 
-    0: an element that a set asks for; p is the number of hits that must be.  1: a set of n elements with the profile p of its hot ones; element is 1 if it is heavy.
+    0: an element that a set asks for; p is the number of hits that must be, 0 if it is heavy.  1: a set of n elements with the profile p of its hot ones; element is their number, negative unless it is heavy.
     2: an element of profile p.
     """
     shared = rows.sparkSession.sparkContext.broadcast(hot)
@@ -653,14 +668,14 @@ def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> D
             e, m, must, common, heavy = asks(elements, counts, shared.value, contain, recall)
             own = np.repeat(np.arange(len(counts)), counts)
             a = np.repeat(np.arange(len(counts)), m)
-            out = [(np.zeros(len(e), np.int8), h1[a], counts[a], must[a], e)]
+            out = [(np.zeros(len(e), np.int8), h1[a], counts[a], np.where(heavy, 0, must)[a], e)]
             mine, hers = own[common], elements[common]
             if len(mine):
                 mixed = (hers.astype(np.uint64) ^ (hers.astype(np.uint64) >> np.uint64(23))) * _C
                 mixed = (mixed ^ (mixed >> np.uint64(31))) * _D
                 has = np.unique(mine)
                 p = np.add.reduceat(mixed, np.searchsorted(mine, has)).view(np.int64)
-                out.append((np.ones(len(has), np.int8), h1[has], counts[has], p, heavy[has].astype(np.int64)))
+                out.append((np.ones(len(has), np.int8), h1[has], counts[has], p, np.where(heavy, 1, -1)[has] * np.diff(np.r_[np.searchsorted(mine, has), len(mine)])))
                 new = np.zeros(len(counts), bool)
                 for k, x in zip(has.tolist(), p.tolist(), strict=True):
                     if x not in known:
@@ -677,79 +692,105 @@ def _asked(rows: DataFrame, hot: np.ndarray, contain: float, recall: float) -> D
     return rows.mapInArrow(lean(run), "kind byte, h1 long, n int, p long, element long")
 
 
-def _mask(files: list[str], page: int, pages: int) -> np.ndarray:
+def _spot(elements: np.ndarray, k: int) -> np.ndarray:
+    """The k-th of an element's three bits, which lie in one page."""
+    e = elements.astype(np.uint64)
+    return ((((e ^ (e >> np.uint64(17))) * (_C, _D, np.uint64(0xC2B2AE3D27D4EB4F))[k]) >> np.uint64(40)) % np.uint64(PAGE)).astype(np.int64)
+
+
+def _write_mask(elements: DataFrame, label: str) -> tuple[list[str], int]:
+    """(files, pages) of a filter of the elements, of 16 bits for each or MASK bytes; (none, 0) where that leaves fewer than 2 bits."""
+    many = elements.count()
+    if 2 * many > 8 * MASK:
+        return [], 0
+    pages = max(1, min(-(-16 * many // PAGE), 8 * MASK // PAGE))
+
+    def fill(group: pa.Table) -> pa.Table:
+        x, e = np.zeros(PAGE, bool), np.asarray(group["element"])
+        for k in range(3):
+            x[_spot(e, k)] = True
+        return pa.table({"page": group["page"].slice(0, 1), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
+
+    filled = elements.select((F.col("element") % pages).alias("page"), "element").groupBy("page").applyInArrow(fill, "page long, bits binary")
+    return write_shared(filled, label).inputFiles(), pages
+
+
+def _mask(files: Sequence[str], pages: int) -> np.ndarray:
     """The bits of the pages that the Parquet files hold."""
-    out = np.zeros(pages * page // 8, np.uint8)
+    out = np.zeros(pages * PAGE // 8, np.uint8)
     for f in files:
         t = pq.read_table(f, columns=["page", "bits"])
         for k, bits in zip(t["page"].to_pylist(), t["bits"], strict=True):
-            out[k * page // 8 : (k + 1) * page // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
+            out[k * PAGE // 8 : (k + 1) * PAGE // 8] = np.frombuffer(bits.as_buffer(), np.uint8)
     return out
 
 
-def _far(rows: DataFrame, asked: DataFrame, ratio: float, page: int = 1 << 16) -> DataFrame:
-    """small, large: candidates of sizes further apart than ``ratio``.
+def _passing(mask: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """Where the elements are that a filter lets through: all, if it has no pages."""
+    at = np.arange(len(elements))
+    for k in range(3 if len(mask) else 0):
+        x = elements[at] % (len(mask) * 8 // PAGE) * PAGE + _spot(elements[at], k)
+        at = at[(mask[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1]
+    return at
 
-    A filter of all that is asked for keeps back most elements of the sets that answer, as long as it
-    is small (MASK); beyond that all elements go to the join.  It lies in the shared folder: the driver
-    never holds it.
+
+def _far(rows: DataFrame, asked: DataFrame, ratio: float) -> DataFrame:
+    """small, n, large, need, hits: candidates of sizes further apart than ``ratio``; need is 0 where the small set is heavy.
+
+    A filter of all that is asked for keeps back most elements of the sets that answer, as long as MASK
+    bytes suffice; beyond that all elements go to the join.  It lies in the shared folder: the driver
+    never holds it.  A set that must have m hits has m - k of them without any k < m of its elements: as
+    many of those that more than FEW sets hold, the commonest first, are left out, so that these don't
+    pair all their sets.
     """
-    asked = asked.where("kind = 0").select("h1", "n", F.col("p").alias("must"), "element").dropDuplicates(["h1", "element"])
-    pages = max(1, -(-16 * asked.count() // page))
-    spot = lambda e, k: (((e.astype(np.uint64) ^ (e.astype(np.uint64) >> np.uint64(17))) * (_C, _D, np.uint64(0xC2B2AE3D27D4EB4F))[k]) >> np.uint64(20)) % np.uint64(pages * page)
-    files: list[str] = []
-    if masked := pages * page // 8 <= MASK:
-
-        def bits(batches):
-            for batch in batches:
-                e = np.asarray(batch.column(0))
-                at = np.unique(np.concatenate([spot(e, k) for k in range(3)])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(at // page), pa.array((at % page).astype(np.int32))], ["page", "bit"])
-
-        def fill(group: pa.Table) -> pa.Table:
-            x = np.zeros(page, bool)
-            x[np.asarray(group["bit"])] = True
-            return pa.table({"page": group["page"].slice(0, 1), "bits": pa.array([np.packbits(x).tobytes()], pa.binary())})
-
-        filled = asked.select("element").mapInArrow(lean(bits), "page long, bit int").groupBy("page").applyInArrow(fill, "page long, bits binary")
-        files = write_shared(filled, "asked-mask").inputFiles()
+    asked = asked.where("kind = 0").select("h1", "n", F.col("p").alias("must"), "element")
+    files, pages = _write_mask(asked.select("element"), "asked-mask")
 
     def answer(batches):
-        mask = _mask(files, page, pages) if masked else None
+        mask = _mask(files, pages)
         for h1, texts in _once(batches):
             elements, counts = shingles(*as_text(texts))
-            at = np.arange(len(elements))
-            for k in range(3 if masked else 0):
-                x = spot(elements[at], k).astype(np.int64)
-                at = at[(mask[x >> 3] >> (7 - (x & 7)).astype(np.uint8)) & 1 == 1]
+            at = _passing(mask, elements)
             own = np.repeat(np.arange(len(counts)), counts)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(counts[own].astype(np.int32)), pa.array(elements[at])], ["hl", "nl", "element"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1[own]), pa.array(counts[own].astype(np.int32)), pa.array(elements[at])], ["h1", "n", "element"])
 
-    held = rows.mapInArrow(lean(answer), "hl long, nl int, element long")
-    met = asked.join(held, "element").where(F.col("n") < ratio * F.col("nl"))
-    hits = met.groupBy("h1", "hl", "must").agg(F.count_distinct("element").alias("hits")).where("hits >= must")
-    return hits.select(F.col("h1").alias("small"), F.col("hl").alias("large"))
+    held = rows.mapInArrow(lean(answer), "h1 long, n int, element long")
+    both = asked.unionByName(held, allowMissingColumns=True)
+    holds, one = F.col("must").isNull(), Window.partitionBy("element")
+    both = both.withColumns({"many": F.count(F.when(holds, 1)).over(one), "most": F.max(F.when(holds, F.col("n"))).over(one), "least": F.min(F.when(~holds, F.col("n"))).over(one)})
+    both = both.where(F.when(holds, F.col("least") < ratio * F.col("n")).otherwise(F.col("n") < ratio * F.col("most")))
+    both = write_shared(both.select("h1", "n", "must", "element", "many"), "elements-met")
+    own = Window.partitionBy("h1")
+    out = (F.col("many") > FEW) & (F.row_number().over(own.orderBy(F.desc("many"), "element")) < F.col("must"))
+    asks = both.where(~holds).repartition("h1").dropDuplicates(["h1", "element"]).withColumns({"have": F.count(F.lit(1)).over(own), "out": out}).where("have >= must")
+    asks = asks.withColumn("need", F.col("must") - F.count(F.when(F.col("out"), 1)).over(own)).where("not out").select(F.col("h1").alias("small"), "n", "need", "element")
+    met = asks.join(both.where(holds).select(F.col("h1").alias("large"), F.col("n").alias("nl"), "element"), "element").where(F.col("n") < ratio * F.col("nl"))
+    return met.groupBy("small", "n", "large", "need").agg(F.count_distinct("element").alias("hits")).where("hits >= need")
 
 
-def _profiles(asked: DataFrame, ratio: float, contain: float) -> tuple[DataFrame, DataFrame]:
-    """(h1, n: number of links by profile alone), (these links, expanded).
+def _profiles(asked: DataFrame, ratio: float, contain: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(h1, n: number of links by profile alone), (these links, expanded), (h1, n, p, heavy), (ps, p, shared: elements of both, where they are enough for a heavy set of ps to be in a set of p).
 
     Sets of one profile and size are counted together: a heavy set of n elements is linked to all sets
     of more than n / ratio elements whose profile shares ``contain`` of n with its own.
     """
-    has = asked.where("kind = 1").groupBy("h1").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.max("element").alias("heavy"))
-    has = write_shared(has, "profiled")
+    has = asked.where("kind = 1").groupBy("h1").agg(F.first("n").alias("n"), F.first("p").alias("p"), F.first("element").alias("hot"))
+    has = write_shared(has.select("h1", "n", "p", (F.col("hot") > 0).cast("int").alias("heavy"), F.abs("hot").alias("hot")), "profiled")
     heavy = has.where("heavy = 1").groupBy("p", "n").agg(F.count(F.lit(1)).alias("k"))
     sets = asked.where("kind = 2").select("p", "element").distinct()
     # only elements of which a larger set has one that a heavy set asks for, and only in such sets
-    sizes = has.groupBy("p").agg(F.min(F.when(F.col("heavy") == 1, F.col("n"))).alias("least"), F.max("n").alias("most"))
+    n_heavy = F.when(F.col("heavy") == 1, F.col("n"))
+    # a heavy set of n elements, of which n - hot are not hot, must share contain * n - (n - hot) hot ones, however it is found
+    bound = F.ceil(F.max("hot") - (1 - contain) * F.max(n_heavy) - 1e-6).cast("int")
+    sizes = has.groupBy("p").agg(F.min(n_heavy).alias("least"), F.max("n").alias("most"), F.max("hot").alias("hot"), bound.alias("bound"))
     sets = write_shared(sets.join(sizes, "p"), "profile-elements")
     reach = sets.groupBy("element").agg(F.min("least").alias("mn"), F.max("most").alias("mx")).where(F.col("mn") < ratio * F.col("mx"))
     sets = sets.join(reach.hint("shuffle_hash"), "element")
-    ask = sets.where(F.col("least") < ratio * F.col("mx")).select("element", F.col("p").alias("ps"), "least")
-    sets = sets.where(ratio * F.col("most") > F.col("mn")).select("element", "p", "most")
-    both = sets.join(ask.hint("merge"), "element").where(F.col("least") < ratio * F.col("most")).groupBy("ps", "p").agg(F.count(F.lit(1)).alias("shared"))
-    both = write_shared(both, "profile-pairs")
+    ask = sets.where(F.col("least") < ratio * F.col("mx")).select("element", F.col("p").alias("ps"), "least", "bound")
+    sets = sets.where(ratio * F.col("most") > F.col("mn")).select("element", "p", "most", "hot")
+    both = sets.join(ask.hint("merge"), "element").where((F.col("least") < ratio * F.col("most")) & (F.col("hot") >= F.col("bound")))
+    both = both.groupBy("ps", "p").agg(F.count(F.lit(1)).alias("shared"), F.first("bound").alias("bound")).where("shared >= bound")
+    both = write_shared(both.select("ps", "p", "shared"), "profile-pairs")
     # equal profiles need no comparison, but are compared all the same
     enough = F.col("shared") >= F.ceil(contain * F.col("n") - 1e-9)
     ok = write_shared(heavy.withColumnRenamed("p", "ps").join(both, "ps").where(enough).select("ps", "n", "p", "k"), "profile-links")
@@ -770,7 +811,16 @@ def _profiles(asked: DataFrame, ratio: float, contain: float) -> tuple[DataFrame
     right = has.select(F.col("h1").alias("b"), F.col("n").alias("nb"), "p")
     pairs = left.join(ok.select("ps", F.col("n").alias("na"), "p").join(both, ["ps", "p"]), ["ps", "na"]).join(right, "p").where(F.col("na") < ratio * F.col("nb"))
     quoted = pairs.select("a", "b", (F.col("shared") / F.col("na")).alias("containment"))
-    return small_n.unionByName(large_n), quoted
+    return small_n.unionByName(large_n), quoted, has, both
+
+
+def _mostly_hot(met: DataFrame, has: DataFrame, shared: DataFrame, contain: float) -> DataFrame:
+    """Links of heavy sets, less those that the profiles hold: of pairs (small, n, large, hits), where all that isn't hot was asked for, profiles know the rest."""
+    of = lambda h, p: has.select(F.col("h1").alias(h), F.col("p").alias(p))
+    met = met.join(of("small", "ps"), "small").join(of("large", "p"), "large", "left").join(shared, ["ps", "p"], "left")
+    warm = F.coalesce("shared", F.lit(0))
+    met = met.where((warm + F.col("hits") >= contain * F.col("n") - 1e-9) & (warm < F.ceil(contain * F.col("n") - 1e-9)))
+    return met.select(F.least("small", "large").alias("a"), F.greatest("small", "large").alias("b"), ((warm + F.col("hits")) / F.col("n")).alias("containment"))
 
 
 def overlaps(elements: np.ndarray, own: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -830,7 +880,7 @@ def _within(rows: DataFrame, sizes: DataFrame, family: DataFrame, contain: float
             c.append((shared / less)[i, j])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "containment": np.concatenate(c)})
 
-    sent = _sets(rows, placed).join(where, "id").select("task", "id", "group", "own", "set")
+    sent = _sets(rows, where).select("task", "id", "group", "own", "set")
     return sent.groupBy("task").applyInArrow(compare, LINK)
 
 

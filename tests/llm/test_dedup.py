@@ -301,3 +301,60 @@ def test_near_duplicates_of_odd_tables(nasty, empty):
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 13] and sum(r.doc_id is None for r in rows) == 1
     assert neardup.near_duplicates(nasty)[0].count() == nasty.count()
     assert neardup.keep_one(empty).count() == 0
+
+
+def words(seed, n):
+    return [f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**9, n)]
+
+
+def shuffled(spark, run):
+    """(result, records that its stages wrote for others)."""
+    store, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    none = jvm.java.util.ArrayList()
+
+    def records():
+        store.listenerBus().waitUntilEmpty()
+        got = store.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (got.apply(i) for i in range(got.size()))}
+
+    before = records()
+    return run(), sum(n for k, n in records().items() if k not in before)
+
+
+def test_common_elements_dont_pair_all_their_sets(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_hot", lambda *a, **k: np.zeros(0, np.int64))
+    passage = words(0, 8)
+    short = [words(1 + i, 40) + passage for i in range(300)]
+    long = [words(1001 + i, 300) + passage + (short[i] if i < 20 else []) for i in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(short + long)], "doc_id long, text string")
+    links, n = shuffled(spark, lambda: neardup.near_duplicates(docs, recall=0.999)[1].collect())
+    assert sorted((r.a, r.b) for r in links) == [(i, 300 + i) for i in range(20)] and all(r.containment == 1 for r in links)
+    assert n < 100_000  # 90,000 pairs share the passage, and two or three of its elements are asked for
+
+
+def test_sets_of_hot_and_other_elements(spark):
+    # of the first text most is hot; the second has three of its four passages and what isn't hot, the third one passage and that
+    hot = [words(k, 12) for k in range(4)]
+    own = words(5, 10)
+    texts = [sum(hot, []) + own, words(6, 80) + hot[0] + hot[1] + hot[2] + words(7, 3) + own, words(8, 90) + hot[3] + own, *(words(100 + k, 60) + hot[k % 4] for k in range(60))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in texts]
+    want = {(i, j): len(x & y) / min(len(x), len(y)) for (i, x), (j, y) in combinations(enumerate(sets), 2) if len(x & y) >= 0.7 * min(len(x), len(y))}
+    found, links = neardup.near_duplicates(docs, recall=0.999)
+    got = {(r.a, r.b): r.containment for r in links.collect()}
+    assert set(want) == {(0, 1)} and got == pytest.approx(want)
+    assert {r.doc_id: r.n_links for r in found.collect() if r.n_links} == {0: 1, 1: 1}
+
+
+def test_the_filter_of_elements(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    some, others = np.unique(r.integers(0, 1 << 48, 20_000)), r.integers(0, 1 << 48, 20_000)
+    table = spark.createDataFrame(pa.table({"element": some}))
+    files, pages = neardup._write_mask(table, "mask")
+    mask = neardup._mask(files, pages)
+    assert len(neardup._passing(mask, some)) == len(some) and len(neardup._passing(mask, others)) < 400
+    monkeypatch.setattr(neardup, "MASK", 8 << 10)  # one page: 3 bits an element
+    files, pages = neardup._write_mask(table, "mask")
+    assert pages == 1 and len(neardup._passing(neardup._mask(files, pages), some)) == len(some)
+    monkeypatch.setattr(neardup, "MASK", 1 << 10)
+    assert neardup._write_mask(table, "mask") == ([], 0) and len(neardup._passing(neardup._mask([], 0), others)) == len(others)
