@@ -9,12 +9,15 @@ what counts are texts whose other lines mostly don't recur, and differ between t
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, table, write_shared
 
 SMALL = 2_000  # rows of one number that are broadcast, which the driver holds several times
+BITS = 1 << 26  # of a filter of numbers, at most
 SALTS = 16
 SKETCH = 8
 
@@ -28,6 +31,20 @@ def _lookup(left: DataFrame, right: DataFrame, key: str, spread: list[str]) -> D
     return left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), [key, "_salt"]).drop("_salt")
 
 
+def _maybe(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of ``left`` whose number may be in ``right``: all that are, and few others (more, if BITS bits are few for the numbers).
+
+    So most rows need not travel to a lookup.
+    """
+    size = min(BITS, 1 << max(6, (32 * right.count()).bit_length()))
+    at = f"({key} & {size - 1}L)"
+    words = right.select(F.expr(f"int(shiftright({at}, 6))").alias("word"), F.expr(f"shiftleft(1L, int({at} & 63))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[np.asarray(words["word"])] = np.asarray(words["bits"])
+    row = left.sparkSession.createDataFrame(pa.table({"_bits": pa.ListArray.from_arrays(pa.array([0, len(bits)], pa.int32()), pa.array(bits))}))
+    return left.join(F.broadcast(row), F.expr(f"shiftright(_bits[int(shiftright({at}, 6))], int({at} & 63)) & 1 = 1")).drop("_bits")
+
+
 def _often(pairs: DataFrame, key: str, least) -> DataFrame:
     """Keys that at least ``least`` different texts have."""
     return pairs.distinct().groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least).select(key)
@@ -40,11 +57,15 @@ def _lines(docs: DataFrame, text: str, depth: int) -> DataFrame:
     without spaces).
     """
     white = "\t\r\x0b\x0c "
-    whole = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.octet_length(text).alias("size"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    # hashed before the text is split, not once for each line
+    whole = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.octet_length(text).alias("size"), F.col(text).alias("text"))
+    whole = whole.select("h1", "size", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    # blank lines go by the line as it is: a filter of the masked one would mask each line twice
+    whole = whole.where(F.trim("line", F.lit(white)) != "")
     # the costly functions only for lines that need them
     odd = F.col("line").rlike(r"[\t\r\x0b\x0c0-9]")
     masked = F.regexp_replace(F.translate("line", white, " " * len(white)), r"[^ 0-9]*[0-9][^ ]*", "<*>")
-    whole = whole.withColumn("line", F.when(odd, masked).otherwise(F.col("line"))).where(F.trim("line") != "")
+    whole = whole.withColumn("line", F.when(odd, masked).otherwise(F.col("line")))
     bytes_ = F.octet_length("line")
     whole = whole.withColumn("n", bytes_ - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     units = F.greatest(F.col("n"), F.floor((bytes_ - F.length("line")) / 6).cast("int"))
@@ -67,7 +88,7 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = 10, long_docs
     # leaves and long lines are counted in one pass; warm: a leaf
     hot = either.select("k", "h1", (F.col("k") == F.col("leaf")).cast("int").alias("warm")).distinct().groupBy("k", "warm").agg(F.count(F.lit(1)).alias("_n"))
     hot = write_shared(hot.where(F.col("_n") >= F.when(F.col("warm") == 1, min_docs).otherwise(long_docs)).select("k", "warm"), "hot-leaves")
-    some = _lookup(either, hot, "k", ["h1", "pos"]).groupBy("h1", "pos").agg(*[F.first(c).alias(c) for c in ("size", "line", "n", "leaf")], F.first(need).alias("need"), F.max("warm").alias("warm"))
+    some = _lookup(_maybe(either, hot, "k"), hot, "k", ["h1", "pos"]).groupBy("h1", "pos").agg(*[F.first(c).alias(c) for c in ("size", "line", "n", "leaf")], F.first(need).alias("need"), F.max("warm").alias("warm"))
     some = write_shared(some.withColumn("bytes", F.octet_length("line") + 1), "leaf-lines")
     tokens = some.where("warm = 1").select("h1", "pos", "leaf", F.posexplode(F.split("line", " ")).alias("p", "token")).select("h1", "pos", F.xxhash64("leaf", "p", "token").alias("k"))
     fixed = write_shared(_often(tokens.select("k", "h1"), "k", min_docs), "constant-tokens")
@@ -80,7 +101,8 @@ def recurring(docs: DataFrame, text: str = "text", min_docs: int = 10, long_docs
     inside = own.groupBy("h1").agg(F.sum("own").alias("inside"))
     backers = own.join(inside, "h1").where(F.col("inside") - F.col("own") <= share * (F.col("size") + 1 - F.col("own"))).select("template", "h1", "need")
     # the other lines of these texts: copies begin and end them alike
-    rest = lines.select("h1", "pos", F.xxhash64(F.substring_index("line", " ", 3)).alias("head"), F.xxhash64(F.substring_index("line", " ", -3)).alias("tail"))
+    these = _maybe(docs.select(F.col(text).alias("text"), F.xxhash64(text).alias("h1")), of.select("h1").distinct(), "h1")
+    rest = _lines(these.select("text"), "text", depth).select("h1", "pos", F.xxhash64(F.substring_index("line", " ", 3)).alias("head"), F.xxhash64(F.substring_index("line", " ", -3)).alias("tail"))
     rest = rest.join(of.select("h1", "pos").hint("merge"), ["h1", "pos"], "left_anti")
     sketch = rest.groupBy("h1").agg(*[F.min(F.least(F.xxhash64(F.lit(k), "head"), F.xxhash64(F.lit(k), "tail"))).alias(f"m{k}") for k in range(SKETCH)])
     backers = backers.join(sketch, "h1").select("template", "need", F.posexplode(F.array(*[F.col(f"m{k}") for k in range(SKETCH)])).alias("k", "m"))

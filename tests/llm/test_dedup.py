@@ -358,3 +358,24 @@ def test_the_filter_of_elements(spark, monkeypatch):
     assert pages == 1 and len(neardup._passing(neardup._mask(files, pages), some)) == len(some)
     monkeypatch.setattr(neardup, "MASK", 1 << 10)
     assert neardup._write_mask(table, "mask") == ([], 0) and len(neardup._passing(neardup._mask([], 0), others)) == len(others)
+
+
+def test_lines_that_dont_recur_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", 0)
+    # 300 texts with a template and 12,000 lines of their own, 300 texts of 12,000 lines without it
+    rows = [(i, prose(i, 480) + ("\n" + boiler(i)) * (i < 300)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out, n = shuffled(spark, lambda: linededup.dedup_lines(docs).collect())
+    assert {r.doc_id: r.n_dropped for r in out} == {i: int(i < 300) for i in range(600)}
+    assert n < 95_000
+
+
+def test_filter_of_numbers(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    some, others = (r.integers(-(1 << 63), 1 << 63, 5000) for _ in range(2))
+    frame = lambda x: spark.createDataFrame(pa.table({"k": x}))
+    every, right = frame(np.r_[some, others]), frame(some)
+    got = {x.k for x in linededup._maybe(every, right, "k").collect()}
+    assert got >= set(some.tolist()) and len(got) < 5500
+    monkeypatch.setattr(linededup, "BITS", 64)
+    assert linededup._maybe(every, right, "k").count() == 10_000 and linededup._maybe(every, right.limit(0), "k").count() == 0
