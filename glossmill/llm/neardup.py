@@ -34,7 +34,6 @@ _A = (_rng.integers(0, 1 << 31, HASHES) * 2 + 1).astype(np.uint32)
 _B = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _C = np.uint64(0x9E3779B97F4A7C15)
 _D = np.uint64(0xD6E8FEB86659FD93)
-SMALL = 200_000  # rows of one number that are broadcast
 EDGES = 20_000  # edges that the driver joins
 FEW = 64  # sets that may hold an element which is always asked for
 FULL = 200  # members of larger buckets meet in blocks of families, not in emitted pairs
@@ -491,6 +490,8 @@ def _sets(rows: DataFrame, where: DataFrame, files: Sequence[str] = (), pages: i
     """The rows of ``where`` (id and others) with the shingle sets of the texts whose hashes are the ids, of what the filter lets through.
 
     The others are known before the sets are made, so that these are sent only once, to where they are compared.
+    A filter in the shared folder keeps back the texts that nobody asks for; the rest is joined by shuffles, as the
+    number of those that are asked for, and of the places of one, grows with the input.
     """
 
     def sets(batches):
@@ -504,8 +505,15 @@ def _sets(rows: DataFrame, where: DataFrame, files: Sequence[str] = (), pages: i
 
     places = where.groupBy(F.col("id").alias("h1")).agg(F.collect_set(F.struct(*[c for c in where.columns if c != "id"])).alias("to"))
     places = write_shared(places, "places")
-    few = places.count() <= SMALL
-    some = rows.join(F.broadcast(places) if few else places, "h1").select("h1", "t", "to")
+    wanted, width = _write_mask(places.select(F.col("h1").bitwiseAND(int(_U48)).alias("element")), "places-mask")
+
+    def texts(batches):
+        mask = _mask(wanted, width)
+        asked = (b.take(pa.array(_passing(mask, np.asarray(b.column(0)) & np.int64(_U48)))) for b in batches)
+        for h1, t in _once(asked):
+            yield pa.RecordBatch.from_arrays([pa.array(h1), t], ["h1", "t"])
+
+    some = rows.select("h1", "t").mapInArrow(lean(texts), "h1 long, t string").join(places, "h1").select("h1", "t", "to")
     return some.mapInArrow(lean(sets), f"id long, set array<long>, to {some.schema['to'].dataType.simpleString()}").select("id", "set", F.inline("to"))
 
 

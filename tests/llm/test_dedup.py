@@ -379,3 +379,18 @@ def test_filter_of_numbers(spark, monkeypatch):
     assert got >= set(some.tolist()) and len(got) < 5500
     monkeypatch.setattr(linededup, "BITS", 64)
     assert linededup._maybe(every, right, "k").count() == 10_000 and linededup._maybe(every, right.limit(0), "k").count() == 0
+
+
+def test_lookups_of_sets_arent_sent_to_the_driver(spark):
+    docs = spark.createDataFrame([(i, prose(i)) for i in range(40)], "doc_id long, t string").select(F.xxhash64("t").alias("h1"), "t")
+    where = docs.where("h1 % 2 = 0").select(F.col("h1").alias("id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("task"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # what is small by its size may be broadcast
+    try:
+        out = neardup._sets(docs, where)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.id, r.task): r.set for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = {r.h1: neardup.shingles(*as_text(pa.array([r.t])))[0].tolist() for r in docs.collect() if r.h1 % 2 == 0}
+    assert got == {(h, t): s for h, s in want.items() for t in (1, 2)} and want
