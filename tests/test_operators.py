@@ -1,8 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from glossmill import queries
 from glossmill.functions import text as fn
 from glossmill.operators import embed, metrics, monitor, runlog, tokenize, vocab
 
@@ -200,3 +202,20 @@ def test_a_log_line_of_another_kind_is_an_error(spark, tmp_path):
         f.write("{'loss': 1.5, 'step': 1}\nTraining ended\n")
     with pytest.raises(Exception, match="not a log line"):
         files.read_raw_log(spark, path).collect()
+
+
+def _random_vectors(spark, n, seed, name):
+    rng = np.random.default_rng(seed)
+    odd = [None, [], [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0], [1.0, 2.0]]
+    return spark.createDataFrame([(i, v) for i, v in enumerate([*rng.normal(size=(n, 6)).tolist(), *odd])], f"{name} int, aux array<double>")
+
+
+def test_similarity_works_on_matrices(spark, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", 16)
+    monkeypatch.setattr(embed, "CELLS", 100)
+    q, k = _random_vectors(spark, 50, 1, "id"), _random_vectors(spark, 90, 2, "key")
+    out = embed.similarity(q, k)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    want = q.select("id", embed.unit(F.col("aux")).alias("_q")).crossJoin(k.select("key", embed.unit(F.col("aux")).alias("_k"))).select("id", "key", embed.dot(F.col("_q"), F.col("_k")).alias("z"))
+    plain = lambda df: {(r.id, r.key): None if r.z is None else round(r.z, 9) for r in df.collect()}
+    assert plain(out) == plain(want) and out.count() == 55 * 95
