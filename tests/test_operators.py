@@ -219,3 +219,22 @@ def test_similarity_works_on_matrices(spark, monkeypatch):
     want = q.select("id", embed.unit(F.col("aux")).alias("_q")).crossJoin(k.select("key", embed.unit(F.col("aux")).alias("_k"))).select("id", "key", embed.dot(F.col("_q"), F.col("_k")).alias("z"))
     plain = lambda df: {(r.id, r.key): None if r.z is None else round(r.z, 9) for r in df.collect()}
     assert plain(out) == plain(want) and out.count() == 55 * 95
+
+
+def test_contenders_are_few_and_have_all_weights(spark, monkeypatch):
+    monkeypatch.setattr(embed, "BLOCK", 64)
+    monkeypatch.setattr(embed, "TOP", 8)
+    q, k = _random_vectors(spark, 40, 3, "id"), _random_vectors(spark, 600, 4, "key")
+    q = q.unionByName(spark.createDataFrame([(99, [float("nan")] * 6)], q.schema))
+    some = embed.contenders(q.where("id <> 42"), k)  # query 42 is zero: all keys contend
+    weights = lambda z: {(r.id, r.key): round(r.weight, 9) for r in embed.sparsemax(z).collect() if r.weight > 1e-9}
+    want = weights(embed.similarity(q.where("id <> 42"), k))
+    assert weights(some) == want and {i for i, _ in want} >= set(range(40)) and some.where("not isnan(z)").count() < 40 * 605 / 4
+    assert weights(embed.contenders(q.where("id = 42"), k)) == weights(embed.similarity(q.where("id = 42"), k))
+
+
+@pytest.mark.parametrize("name", ["embed_sparsemax"])
+def test_queries_of_weights_get_contenders_only(spark, monkeypatch, name):
+    asked, whole = [], embed.contenders
+    monkeypatch.setattr(embed, "contenders", lambda *a: asked.append(a) or whole(*a))
+    assert queries.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1 and asked
