@@ -233,7 +233,7 @@ def test_contenders_are_few_and_have_all_weights(spark, monkeypatch):
     assert weights(embed.contenders(q.where("id = 42"), k)) == weights(embed.similarity(q.where("id = 42"), k))
 
 
-@pytest.mark.parametrize("name", ["embed_sparsemax"])
+@pytest.mark.parametrize("name", ["embed_sparsemax", "embed_combine"])
 def test_queries_of_weights_get_contenders_only(spark, monkeypatch, name):
     asked, whole = [], embed.contenders
     monkeypatch.setattr(embed, "contenders", lambda *a: asked.append(a) or whole(*a))
