@@ -233,6 +233,15 @@ def test_contenders_are_few_and_have_all_weights(spark, monkeypatch):
     assert weights(embed.contenders(q.where("id = 42"), k)) == weights(embed.similarity(q.where("id = 42"), k))
 
 
+def test_sparsemax_of_initial_embeddings_gets_contenders_only(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(embed, "similarity", lambda *a, **k: asked.append(a) or 1 / 0)
+    old = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 2.0])], "token string, embedding array<double>")
+    new = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "token string, id int")
+    aux = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "token string, aux array<double>")
+    assert {r.token: r.embedding for r in embed.initialise(old, new, aux).collect()}["c"] == [1.0, 0.0] and not asked
+
+
 @pytest.mark.parametrize("name", ["embed_sparsemax", "embed_combine"])
 def test_queries_of_weights_get_contenders_only(spark, monkeypatch, name):
     asked, whole = [], embed.contenders
