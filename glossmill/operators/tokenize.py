@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import sampling
 
+PIECE = 1 << 18
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+
 
 @lru_cache(4)
 def load(path: str):
@@ -37,14 +44,43 @@ def vocabulary_of(path: str) -> list[tuple[str, int]]:
     return sorted(Tokenizer.from_file(path).get_vocab().items(), key=lambda x: x[1])
 
 
-def encode(text: Column, path: str) -> Column:
-    """Ids of a text (null: null), in Arrow batches; the model is loaded once a worker."""
+def pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of at most PIECE bytes together, or one longer text."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
+    i = 0
+    while i < len(texts):
+        done = ends[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + PIECE, "right")))
+        yield texts.slice(i, j - i)
+        i = j
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: a worker would hold it beside that of the next batch."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def encode(text: Column, path: str, most: int | None = None) -> Column:
+    """The first ``most`` (all) ids of a text (null: null), in Arrow batches; the model is loaded once a worker.
+
+    Lists of Python numbers take ten times the texts' memory and more, so that only PIECE bytes of texts
+    are encoded at once, or one text.
+    """
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def ids(x: pa.Array) -> pa.Array:
-        texts = x.to_pylist()
-        got = iter(load(path)([t for t in texts if t is not None]))
-        return pa.array([None if t is None else next(got) for t in texts], pa.list_(pa.int32()))
+        kind = pa.list_(pa.int32())
+        out = [pa.array([], kind)]
+        for part in pieces(x):
+            texts = part.to_pylist()
+            got = iter(load(path)([t for t in texts if t is not None]))
+            out.append(pa.array([None if t is None else next(got)[:most] for t in texts], kind))
+        whole = pa.concat_arrays(out)
+        del out
+        give_back()
+        return whole
 
     return ids(text)
 
@@ -64,7 +100,7 @@ def tokenize(df: DataFrame, path: str, max_length: int, dev_size: float | None =
             raise ValueError("unsplit data need dev_size")
         named = df.withColumn("_s", F.lit("all"))
         df = sampling.split(named, dev_size, "_s", row, seed).drop("_s", "pool_idx").withColumn("split", F.when(F.col("split") == "dev", "test").otherwise("train"))
-    out = df.withColumn("input_ids", truncate(encode(F.col(text), path), max_length)).drop(text)
+    out = df.withColumn("input_ids", encode(F.col(text), path, max_length)).drop(text)
     return out.withColumn("attention_mask", mask(F.col("input_ids")))
 
 

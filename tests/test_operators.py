@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,28 @@ def test_queries_of_weights_get_contenders_only(spark, monkeypatch, name):
     asked, whole = [], embed.contenders
     monkeypatch.setattr(embed, "contenders", lambda *a: asked.append(a) or whole(*a))
     assert queries.queries()[name](spark, "/root/testdata/sf0.001").limit(1).count() == 1 and asked
+
+
+def test_texts_are_encoded_in_small_pieces(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(tokenize, "PIECE", 1000)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [None, "", *(f"some words of text {i} " * (i % 9) for i in range(200)), "long " * 900, None]
+    sizes = []
+
+    def watched(x):
+        sizes.append(sum(map(len, x)))
+        assert len(x) == 1 or sizes[-1] <= 1000
+        return tokenize.load(path)(x)
+
+    want = iter(tokenize.load(path)([t for t in texts if t is not None]))
+    want = [None if t is None else next(want) for t in texts]
+    ids = tokenize.encode(F.col("v"), path)
+    few = tokenize.encode(F.col("v"), path, 5)
+    assert [r.x for r in column(spark, texts).orderBy("i").select(few.alias("x")).collect()] == [t and t[:5] for t in want]
+    assert [r.x for r in column(spark, texts).orderBy("i").select(ids.alias("x")).collect()] == want
+    parts = list(tokenize.pieces(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 10
+    assert all(watched([t for t in p.to_pylist() if t is not None]) is not None for p in parts) and max(sizes) == 4500
+    assert list(tokenize.pieces(pa.array([], pa.string()))) == []
