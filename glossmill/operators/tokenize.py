@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +86,22 @@ def encode(text: Column, path: str, most: int | None = None) -> Column:
     return ids(text)
 
 
+def id_counts(texts: DataFrame, path: str, size: int) -> DataFrame:
+    """(id, freq) of the only column's texts, by a vocabulary of ``size`` ids; ids stay in the tasks, which send their counts."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for part in pieces(batch.column(0)):
+                got = load(path)([t for t in part.to_pylist() if t is not None])
+                total += np.bincount(np.fromiter(chain.from_iterable(got), np.int64), minlength=size)
+            give_back()
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "freq"])
+
+    return texts.mapInArrow(run, "id int, freq long").groupBy("id").agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("freq"))
+
+
 def truncate(ids: Column, max_length: int) -> Column:
     return F.slice(ids, 1, max_length)
 

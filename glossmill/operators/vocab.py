@@ -72,10 +72,10 @@ def overlap(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def tokenizer_counts(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """(id, token, freq) of a public vocabulary's ids in the stripped texts; blank texts count for nothing."""
-    spark = df.sparkSession
-    pieces = spark.createDataFrame(tokenize.vocabulary_of(path), "token string, id int")  # as many as the vocabulary has
-    ids = clean_lines(df.select(F.col(text).alias("text"))).select(F.explode(tokenize.encode(F.col("text"), path)).alias("id"))
-    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("freq")).join(F.broadcast(pieces), "id").select("id", "token", "freq")
+    known = tokenize.vocabulary_of(path)
+    pieces = df.sparkSession.createDataFrame(known, "token string, id int")  # as many as the vocabulary has
+    counts = tokenize.id_counts(clean_lines(df.select(F.col(text).alias("text"))), path, len(known))
+    return counts.join(F.broadcast(pieces), "id").select("id", "token", "freq")
 
 
 def extract_seed_vocabulary(df: DataFrame, path: str, output: str, text: str = "text", **options) -> bool:

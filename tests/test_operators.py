@@ -273,3 +273,16 @@ def test_texts_are_encoded_in_small_pieces(spark, monkeypatch):
     assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 10
     assert all(watched([t for t in p.to_pylist() if t is not None]) is not None for p in parts) and max(sizes) == 4500
     assert list(tokenize.pieces(pa.array([], pa.string()))) == []
+
+
+def test_ids_are_counted_where_they_are_made(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = [None, "", "  ", *(f"some words of text {i} " * (i % 9) for i in range(60))]
+    out = vocab.tokenizer_counts(column(spark, texts).withColumnRenamed("v", "text"), path)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan and "Generate" not in plan
+    ids = [x for t in tokenize.load(path)([t.strip() for t in texts if t and t.strip()]) for x in t]
+    assert {r.id: r.freq for r in out.collect()} == {x: ids.count(x) for x in ids}
+    assert vocab.tokenizer_counts(column(spark, [None, ""]).withColumnRenamed("v", "text"), path).count() == 0
